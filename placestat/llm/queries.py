@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placestat.llm.quality import adaptive_verdict
 from placestat.llm.simhash import simhash_components
 
 
@@ -17,8 +18,62 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return adaptive_verdict(docs, keep_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Features and sketch bins of the quality rules; {docs} is the table they are made from.
+QUALITY_CTES = r"""
+q_words AS (
+  SELECT *, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM {docs}),
+q_windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS k
+  FROM q_words WHERE len(w) >= 3),
+q_hit AS (SELECT doc_id, i FROM q_windows QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+q_rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM q_hit) GROUP BY doc_id),
+q_counts AS (
+  SELECT d.*, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM q_words d LEFT JOIN q_rep r ON r.doc_id = d.doc_id),
+q_feat AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, coalesce('=' || lang, '') AS gl, coalesce('=' || source, '') AS gs,
+    [1000 * n_symbols // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1),
+     1000 * word_chars // greatest(n_words, 1), 1000 * n_words // greatest(word_chars, 1)] AS f FROM q_counts),
+q_value AS (SELECT gl, gs, unnest([0, 1, 2, 3, 4]) AS feature, unnest(f) AS v FROM q_feat WHERE NOT base_failed),
+q_bin AS (
+  SELECT gl, gs, feature, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS b, count(*) AS n FROM q_value GROUP BY ALL),
+q_level AS (
+  SELECT 0 AS level, gl, gs, feature, b, n FROM q_bin UNION ALL SELECT 1, gl, '', feature, b, sum(n) FROM q_bin GROUP BY gl, feature, b
+  UNION ALL SELECT 2, '', '', feature, b, sum(n) FROM q_bin GROUP BY feature, b),
+q_seen AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, gl, gs, feature ORDER BY b) AS seen, sum(n) OVER (PARTITION BY level, gl, gs, feature) AS texts,
+    CASE WHEN b < 64 THEN b ELSE ((b - (b // 32 - 1) * 32 + 1) << (b // 32 - 1)) - 1 END AS top FROM q_level),
+q_fence AS (
+  SELECT level, gl, gs, feature, max(texts) AS texts,
+    greatest(4 * min(top) FILTER (4 * seen >= 3 * texts) - 3 * min(top) FILTER (4 * seen >= texts), [100, 300, 300, 10000, 400][feature + 1]) AS fence
+  FROM q_seen GROUP BY level, gl, gs, feature),
+q_wide AS (SELECT level, gl, gs, max(texts) AS texts, list(fence ORDER BY feature) AS fence FROM q_fence GROUP BY level, gl, gs),
+q_judged AS (
+  SELECT d.*, CASE WHEN a.texts >= 100 THEN a.fence WHEN b.texts >= 100 THEN b.fence ELSE c.fence END AS fence
+  FROM q_feat d LEFT JOIN q_wide a ON a.level = 0 AND a.gl = d.gl AND a.gs = d.gs LEFT JOIN q_wide b ON b.level = 1 AND b.gl = d.gl
+    LEFT JOIN q_wide c ON c.level = 2),
+q_kept AS (
+  SELECT *, NOT base_failed AND NOT (f[1] > fence[1] OR f[2] > fence[2] OR f[3] > fence[3] OR f[4] > fence[4] OR f[5] > fence[5]) AS kept FROM q_judged)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": "WITH " + QUALITY_CTES.replace("{docs}", "documents")
+    + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM q_kept",
+}
