@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from placestat.llm.linededup import drop_repeated_chunks
+from placestat.llm.mixture import poisson_mixture
 from placestat.llm.quality import adaptive_verdict
 from placestat.llm.simhash import simhash_components
 
@@ -25,9 +27,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_chunks(docs).select("doc_id", "n_chunks_removed", "n_chars_removed", "text")
+
+
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mixture(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
+    "op10_source_mixture": op10_source_mixture,
 }
 
 #: Features and sketch bins of the quality rules; {docs} is the table they are made from.
@@ -73,7 +86,20 @@ q_kept AS (
   SELECT *, NOT base_failed AND NOT (f[1] > fence[1] OR f[2] > fence[2] OR f[3] > fence[3] OR f[4] > fence[4] OR f[5] > fence[5]) AS kept FROM q_judged)
 """
 
+MIXTURE_SQL = """
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rate AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS r FROM n),
+cdf AS (
+  SELECT source, k, sum(exp(-r + k * ln(r) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM rate, range(0, 200) t(k)),
+u AS (SELECT *, ('0x' || substr(md5('42|1|' || doc_id), 1, 12))::BIGINT / 281474976710656.0 AS u FROM documents),
+drawn AS (SELECT u.doc_id, u.source, u.text, count(*) AS n_copies FROM u JOIN cdf ON cdf.source IS NOT DISTINCT FROM u.source AND cdf.c <= u.u GROUP BY ALL),
+spread AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM drawn)
+SELECT doc_id, source, copy, n_copies, md5('42:order|' || doc_id || '|' || copy) AS shuffle_key, text FROM spread
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_source_mixture": MIXTURE_SQL,
     "op3_quality_rules": "WITH " + QUALITY_CTES.replace("{docs}", "documents")
     + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM q_kept",
 }
