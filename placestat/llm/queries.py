@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from placestat.llm.licences import known_licences, scan_licences
 from placestat.llm.linededup import drop_repeated_chunks
 from placestat.llm.mixture import poisson_mixture
+from placestat.llm.pseudonyms import pseudonymise
 from placestat.llm.quality import adaptive_verdict
 from placestat.llm.simhash import simhash_components
 
@@ -27,6 +30,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"), known_licences(spark))
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, key="placestat demo key").select("doc_id", F.size("found").alias("n_found"), F.array_join("found.kind", ",").alias("kinds"), "text")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeated_chunks(docs).select("doc_id", "n_chunks_removed", "n_chars_removed", "text")
@@ -39,7 +51,9 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op7_licence_scan": op7_licence_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_source_mixture": op10_source_mixture,
 }
 
