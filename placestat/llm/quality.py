@@ -193,3 +193,16 @@ def adaptive_verdict(
     if not keep_text:
         counted = checkpoint(counted.drop(text_col))
     return judge(counted, thresholds(counted, spread, LEAST | (least or {})), min_group)
+
+
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, columns as they are.
+
+    The counts are worked out once, without carrying the texts along; the verdicts come back by id and
+    digest of the text, so rows that share an id keep verdicts of their own.
+    """
+    digest = F.md5(F.col(text_col).cast("binary"))
+    small = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__l"), F.col(source_col).alias("__s"))
+    small = small.withColumn("__digest", F.md5(F.col("__text").cast("binary")))
+    good = adaptive_verdict(small, "__text", "__l", "__s", keep_text=False, **options).where("kept").select("__id", "__digest").distinct()
+    return docs.join(good, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi")
