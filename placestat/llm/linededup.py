@@ -69,27 +69,29 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     its decisions. Input columns named like a new one are replaced.
 
     Only hashes are shuffled to find candidates; then the texts of the chunks that stay go to the documents
-    that repeat them. A chunk that a third of all texts share is counted with map-side sums.
+    that repeat them; both need the texts dealt by id, which Spark does once. A chunk that a third of all texts share is counted with map-side sums.
     """
-    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    usable = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    whole = docs.where(usable)
+    base = whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     rows = base.select("id", F.posexplode(chunks(F.col("t"))).alias("at", "c")).where("c.lines >= 2")
     rows = rows.where(F.regexp_count(F.col("c.text"), F.lit(WORD)) >= min_words)
     sig = checkpoint(rows.select("id", "at", F.xxhash64("c.text").alias("h")))
     seen = sig.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where("n > 1").drop("n")
     found = checkpoint(sig.join(seen, "h"))
     stays = found.where("id = owner").groupBy("h", "id").agg(F.min("at").alias("at"))
-    per_owner = stays.groupBy("id").agg(F.collect_list(F.struct("at", "h")).alias("own"))
+    per_owner = stays.groupBy(F.col("id").alias("__own")).agg(F.collect_list(F.struct("at", "h")).alias("own"))
     held = (
-        base.dropDuplicates(["id"]).join(per_owner, "id")
-        .select("own", chunks(F.col("t")).alias("c"))
+        whole.join(per_owner, F.col(id_col) == F.col("__own"))
+        .select("own", chunks(F.col(text_col)).alias("c"))
         .select(F.explode(F.transform("own", lambda o: F.struct(o["h"].alias("h"), F.col("c")[o["at"]]["text"].alias("chunk")))).alias("x"))
-        .select("x.h", "x.chunk")
+        .select("x.h", "x.chunk").dropDuplicates(["h"])
     )
     first = stays.select("h", F.col("id").alias("owner"), F.col("at").alias("first_at"))
     again = found.join(first, ["h", "owner"]).where("NOT (id = owner AND at = first_at)")
     gone = again.join(held, "h").groupBy(F.col("id").alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct("at", "chunk"))).alias("__gone"))
 
-    out = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
+    out = whole.join(gone, F.col(id_col) == F.col("__id"), "left").unionByName(docs.where(~usable), allowMissingColumns=True)
     all_chunks = chunks(F.col(text_col))
     kept = F.when(
         F.col("__gone").isNotNull(),
