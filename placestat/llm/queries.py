@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placestat.llm.decontaminate import contaminated_pairs
 from placestat.llm.licences import known_licences, scan_licences
 from placestat.llm.linededup import drop_repeated_chunks
+from placestat.llm.mixing_lm import score_texts
 from placestat.llm.mixture import poisson_mixture
 from placestat.llm.pseudonyms import pseudonymise
 from placestat.llm.quality import adaptive_verdict
@@ -35,6 +36,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scored = score_texts(docs, ~held & F.col("doc_id").isNotNull())
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"), known_licences(spark))
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_licence_scan": op7_licence_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
