@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placestat.llm.decontaminate import contaminated_pairs
+from placestat.llm.langid import label_languages
 from placestat.llm.licences import known_licences, scan_licences
 from placestat.llm.linededup import drop_repeated_chunks
 from placestat.llm.mixing_lm import score_texts
@@ -15,6 +16,7 @@ from placestat.llm.mixture import poisson_mixture
 from placestat.llm.pseudonyms import pseudonymise
 from placestat.llm.quality import adaptive_verdict
 from placestat.llm.simhash import simhash_components
+from placestat.llm.toxicity import chain_probabilities
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return label_languages(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -43,6 +51,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    found = chain_probabilities(table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+    return found.select("doc_id", F.col("p_low_quality"), F.col("p_toxic"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"), known_licences(spark))
 
@@ -65,7 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_toxicity_chain": op6_toxicity_chain,
     "op7_licence_scan": op7_licence_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
