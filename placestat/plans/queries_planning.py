@@ -11,7 +11,7 @@ from placestat.plans.registry import query
 CATEGORY = "CASE category WHEN '1-URGENT' THEN 'FLOODING' WHEN '2-HIGH' THEN 'WATER_SUPPLY' WHEN '3-MEDIUM' THEN 'HEALTHCARE' WHEN '5-LOW' THEN 'PARKS' ELSE 'EDUCATION' END"
 METRIC = "CASE metric WHEN 'water_demand_mld' THEN 'water_supplied_mld' WHEN 'waste_generation_tpd' THEN 'waste_processed_tpd' ELSE metric END"
 INPUT_FIXTURES = "wards assets cases satellite land service"
-INPUTS = f"""cp AS (SELECT ward_id, {CATEGORY} AS category, created_at FROM cases), sv AS (SELECT ward_id, {METRIC} AS metric, month, value / 1e5 AS value FROM service WHERE ward_id % 5 <> 4),
+INPUTS = f"""cp AS (SELECT ward_id, {CATEGORY} AS category, created_at FROM cases), sv AS (SELECT ward_id, {METRIC} AS metric, month, value / 1e5 AS value FROM service),
 i AS (SELECT w.*, coalesce(a.health, 0) AS n_healthcare, coalesce(a.edu, 0) AS n_education, coalesce(a.school, 0) AS n_education_school, coalesce(a.bus, 0) AS n_bus_stop, coalesce(a.rail, 0) AS n_rail_station,
  coalesce(c.flood, 0) AS c_flooding, coalesce(c.water, 0) AS c_water_supply, coalesce(c.health, 0) AS c_healthcare, coalesce(c.parks, 0) AS c_parks, coalesce(c.edu, 0) AS c_education,
  s.built_up_sq_km, l.forest_green_pct AS green_share_pct, v.water_mld, v.waste_tpd
@@ -41,7 +41,7 @@ def complaints(t):
 
 
 def inputs(t):
-    served = t.service.where("ward_id % 5 <> 4").select("ward_id", F.expr(METRIC).alias("metric"), "month", (F.col("value") / 1e5).alias("value"))
+    served = t.service.select("ward_id", F.expr(METRIC).alias("metric"), "month", (F.col("value") / 1e5).alias("value"))
     return M.region_inputs(t.wards, t.assets, complaints(t), t.satellite, t.land, served)
 
 
