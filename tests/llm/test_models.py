@@ -80,12 +80,13 @@ def tiny():
     bits = 16
     counts = np.zeros(2 << bits, dtype=np.int32)
     for g in mixing_lm.batches(iter(token_lists)):
-        for s, x, _ in mixing_lm.pieces(mixing_lm.symbols(code, g)):
-            _, ids, b, _ = mixing_lm.slots(code, s, x, bits)
+        for spelled, s, x, _ in mixing_lm.pieces(code, mixing_lm.symbols(code, g)):
+            _, ids, b = mixing_lm.slots(code, s, x, bits, spelled)
             for i in ids:
                 np.add.at(counts, i.astype(np.int64) * 2 + b, 1)
     table = np.ascontiguousarray(counts.reshape(-1, 2).T)
-    stream = (mixing_lm.slots(code, s, x, bits)[1:] for g in mixing_lm.batches(iter(token_lists)) for s, x, _ in mixing_lm.pieces(mixing_lm.symbols(code, g)))
+    parts = ((spelled, mixing_lm.slots(code, s, x, bits, spelled)) for g in mixing_lm.batches(iter(token_lists)) for spelled, s, x, _ in mixing_lm.pieces(code, mixing_lm.symbols(code, g)))
+    stream = ((ids, b, spelled) for spelled, (_, ids, b) in parts)
     mixer = mixing_lm.fit_mixer(stream, table)
     return code, mixing_lm.pack(table), bits, mixer.weights, mixer.log10_table()
 
