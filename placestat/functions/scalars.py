@@ -11,7 +11,7 @@ from placestat.functions import constants as K
 def haversine(lat1, lng1, lat2, lng2, radius: float = K.R_KM) -> Column:
     """Great-circle km; null if any coordinate is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.when(a.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a))))
 
 
 def polyline_km(points: Column) -> Column:
@@ -42,7 +42,8 @@ def pct_change(new: Column, old: Column) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Within 0 and 1; null stays null, which least and greatest alone would pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def month_start(ts: Column) -> Column:
@@ -65,7 +66,8 @@ def project_population(base: Column, year, base_year: int = 2011, growth: float
 
 def normalised_difference(a: Column, b: Column) -> Column:
     """(a-b)/(a+b) within -1 and 1; null where it isn't finite."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(a - b, a + b)))
+    d = F.try_divide(a - b, a + b)
+    return F.when(d.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d)))
 
 
 def request_uid(ts: Column, number: Column) -> Column:

@@ -11,8 +11,10 @@ from placestat.operators import joins as J
 from placestat.operators import ranking as R
 from placestat.plans.registry import query
 
-NOW_CASES = "timestamp '2001-08-01'"
-NOW = F.lit("2001-08-01").cast("date")
+
+
+def now():
+    return F.lit("2001-08-01").cast("date")
 
 
 @query("prj1_filter_requests", "SELECT request_id, ward_id, category, status FROM requests WHERE ward_id = 3 AND status = 'OPEN' AND contains(lower(category), 'cl')", "requests")
@@ -27,7 +29,7 @@ def _(t):
 
 @query("prj3_lookback_months", "SELECT request_id FROM cases WHERE created_at >= timestamp '2001-02-01'", "cases")
 def _(t):
-    return P.lookback_months(t.cases, "created_at", NOW, 6).select("request_id")
+    return P.lookback_months(t.cases, "created_at", now(), 6).select("request_id")
 
 
 @query("prj4_in_bbox", "SELECT request_id, coalesce(lat BETWEEN 18.9 AND 19.1 AND lng BETWEEN 72.8 AND 72.95, false) AS inside FROM requests", "requests")
@@ -263,7 +265,7 @@ GROWTH2 = "SELECT *, CASE WHEN previous > 0 THEN round(100.0 * (recent - previou
 
 @query("agg9_two_period_growth", GROWTH2, "cases")
 def _(t):
-    return A.two_period_growth(t.cases, NOW)
+    return A.two_period_growth(t.cases, now())
 
 
 @query("agg10_weighted_mean", "SELECT round(sum(forest_green_pct * population) / sum(population), 4) AS mean FROM land JOIN wards USING (ward_id)", "land wards")
@@ -447,12 +449,12 @@ def _(t):
 HAV = "2 * {r} * asin(sqrt(least(1.0, pow(sin(radians(19.0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(19.0)) * pow(sin(radians(72.9 - lng) / 2), 2))))"
 
 
-@query("fn1_haversine_km", f"SELECT request_id, round({HAV.format(r='6371.0')}, 6) AS km FROM requests", "requests")
+@query("fn1_haversine_km", f"SELECT request_id, CASE WHEN lat IS NOT NULL THEN round({HAV.format(r='6371.0')}, 6) END AS km FROM requests", "requests")
 def _(t):
     return t.requests.select("request_id", F.round(S.haversine(F.col("lat"), F.col("lng"), F.lit(19.0), F.lit(72.9)), 6).alias("km"))
 
 
-@query("fn2_haversine_mean_km", f"SELECT request_id, round({HAV.format(r='6371.0088')}, 6) AS km FROM requests", "requests")
+@query("fn2_haversine_mean_km", f"SELECT request_id, CASE WHEN lat IS NOT NULL THEN round({HAV.format(r='6371.0088')}, 6) END AS km FROM requests", "requests")
 def _(t):
     return t.requests.select("request_id", F.round(S.haversine(F.col("lat"), F.col("lng"), F.lit(19.0), F.lit(72.9), S.K.R_MEAN_KM), 6).alias("km"))
 

@@ -1,0 +1,170 @@
+"""Fixed expectations and edge cases of operators."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from placestat.functions import scalars as S
+from placestat.operators import forecasting, learning, planning, quality, raster, scenarios, spatial, text
+from placestat.operators.graph import connected_components
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_clean_text(spark):
+    got = one(spark, text.clean_text(F.lit("<b>No  water!!!</b>\n\nsince   Monday...")))
+    assert got == "No water! since Monday."
+    assert one(spark, text.clean_text(F.lit(None).cast("string"))) == ""
+
+
+def test_compose(spark):
+    df = spark.createDataFrame([("café",), ("plain",), (None,)], "text string")
+    assert {r.text for r in text.compose(df).collect()} == {"café", "plain", None}
+
+
+def test_language(spark):
+    f = lambda t: one(spark, text.detect_language(F.lit(t), ["paani", "nahi", "hai"], ["आहे"], ["है"]))
+    assert f("water pipe broken")["code"] == "en" and f("paani nahi aaya")["code"] == "hi-en"
+    assert f("पाणी नाही आहे")["code"] == "mr" and f("पानी नहीं है")["code"] == "hi" and f("")["confidence"] == 0.0
+
+
+def test_severity_and_growth_classes(spark):
+    assert [one(spark, S.severity_band(F.lit(x))) for x in (40.0, 39.9, 20.0, 5.0, 4.9)] == ["CRITICAL", "HIGH", "HIGH", "MODERATE", "LOW"]
+    f = lambda *a: one(spark, planning.classify_growth(*[F.lit(x).cast("double") for x in a]))
+    assert f(9, 0, 30, 0) == "RAPID_EXPANSION" and f(5, -6, 30, 0) == "RAPID_EXPANSION" and f(1, 0, 60, 0) == "DENSIFYING"
+    assert f(0, 12, 30, 0) == "GREENING" and f(None, None, None, None) == "STABLE"
+
+
+def inputs(spark, **over):
+    base = {"ward_id": 1, "population": 300_000, "area_sq_km": 10.0, "low_lying_share": 0.3, "built_up_sq_km": 7.0, "green_share_pct": 4.0, "water_mld": 30.0, "waste_tpd": 100.0}
+    base |= {f"n_{n.lower()}": 0 for n in planning.FACILITIES} | {f"c_{n.lower()}": 0 for n in planning.COMPLAINTS} | over
+    return spark.createDataFrame([tuple(base.values())], ", ".join(f"{k} {'double' if isinstance(v, float) or v is None else 'long'}" for k, v in base.items()))
+
+
+def test_gaps(spark):
+    g = {r.sector: r for r in planning.recompute_gaps(inputs(spark, n_healthcare=10, n_bus_stop=10, n_rail_station=2)).collect()}
+    assert g["Healthcare Capacity"].required_capacity == 20 and g["Healthcare Capacity"].deficit_percentage == 50 and g["Healthcare Capacity"].severity == "CRITICAL"
+    assert g["Public Transit Access"].required_capacity == 28 and g["Public Transit Access"].existing_capacity == 16
+    assert g["Water Supply"].required_capacity == 40.5 and g["Waste Management"].required_capacity == 135
+    assert g["Drainage & Storm Water"].severity == "CRITICAL" and g["Drainage & Storm Water"].deficit_percentage == 50
+    assert g["Open Space"].required_capacity == 300 and g["Open Space"].existing_capacity == 40
+    few = {r.sector for r in planning.recompute_gaps(inputs(spark, green_share_pct=None, water_mld=None, waste_tpd=None)).collect()}
+    assert few == {"Healthcare Capacity", "Education", "Public Transit Access", "Drainage & Storm Water"}
+
+
+def test_priorities_reach_both_ends(spark):
+    cols = list(planning.K.PRIORITY_WEIGHTS)
+    df = spark.createDataFrame([(1, *[9.0] * 5), (2, *[1.0] * 5)], "ward_id int, " + ", ".join(f"{c} double" for c in cols))
+    assert {r.ward_id: r.score for r in planning.priority_scores(df).collect()} == {1: 100.0, 2: 0.0}
+
+
+def test_spectral_indices(spark):
+    px = spark.createDataFrame([(0.5, 0.1, 0.2, 0.1), (0.0, 0.0, 0.1, 0.0), (0.1, 0.3, 0.3, 0.3)], "nir double, red double, swir double, green double")
+    rows = raster.land_cover(raster.spectral_indices(px)).collect()
+    assert rows[0].ndvi == pytest.approx(0.4 / 0.6) and rows[0].cover == "vegetation"
+    assert rows[1].ndvi is None and rows[1].cover is None and rows[2].cover == "water"
+
+
+def test_points_on_edges_and_in_holes(spark):
+    ring = lambda *ps: [(float(x), float(y)) for x, y in ps]
+    outer, hole = ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0)), ring((1, 1), (2, 1), (2, 2), (1, 2), (1, 1))
+    lshape = ring((10, 0), (12, 0), (12, 1), (11, 1), (11, 3), (10, 3), (10, 0))
+    regions = spark.createDataFrame([(1, [outer, hole]), (2, [lshape])], "ward_id int, rings array<array<struct<x:double,y:double>>>")
+    pts = {"in": (3.0, 3.0), "hole": (1.5, 1.5), "edge": (4.0, 2.0), "corner": (0.0, 0.0), "l": (10.5, 2.0), "notch": (11.5, 2.0), "near": (4.005, 2.0), "far": (7.0, 2.0), "none": (None, 1.0)}
+    p = spark.createDataFrame([(k, y, x) for k, (x, y) in pts.items()], "id string, lat double, lng double")
+    assert {r.id: r.ward_id for r in spatial.points_in_regions(p, regions, "id", cell=0.5).collect()} == {"in": 1, "l": 2}
+    snapped = {r.id: r.ward_id for r in spatial.snap_to_region(p.where("id IN ('near', 'far', 'none')"), regions, "id", max_km=1.0, cell=0.5).collect()}
+    assert snapped == {"near": 1}
+
+
+def test_dbscan_finds_a_blob_and_noise(spark):
+    pts = [(i, 19.0 + i * 1e-4, 72.9, "c") for i in range(10)] + [(99, 19.2, 72.9, "c"), (100, None, None, "c")]
+    d = spatial.dbscan(spark.createDataFrame(pts, "request_id long, lat double, lng double, category string"), 0.05, 3)
+    got = {r.request_id: r.cluster for r in d.collect()}
+    assert len(got) == 11 and set(got[i] for i in range(10)) == {1} or set(got[i] for i in range(10)) == {0}
+    assert got[99] is None
+
+
+def test_connected_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(300)] + [(i, i + 1) for i in range(1000, 1100)]
+    parent = {}
+    for a, b in edges:
+        parent.setdefault(a, a), parent.setdefault(b, b)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {n: root(n) for a, b in edges if a != b for n in (a, b)}
+
+
+def test_scenario_levers(spark):
+    base = {"scope": "city", "population": 1_000_000, "area_sq_km": 50.0, "ridership": 500_000, "congestion": 2.0, "bus_stops": 100, "flood_risk": 0.5, "flood_complaints": 40.0, "drain_required": 600.0, "drain_capacity": 300.0, "runoff": 0.7,
+            "water_required": 135.0, "water_supplied": 100.0, "waste_generated": 450.0, "waste_processed": 400.0, "health": 40, "schools": 100, "green_sq_km": 2.0, "green_share": 4.0, "open_space": 2.0}
+    b = spark.createDataFrame([tuple(base.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'double' if isinstance(v, float) else 'long'}" for k, v in base.items()))
+    s = spark.createDataFrame([("none", 0.0, 0.0), ("both", 10.0, 100.0)], "scenario string, population_pct double, drainage_pct double")
+    for lever in scenarios.LEVERS:
+        s = s if lever in s.columns else s.withColumn(lever, F.lit(None).cast("double"))
+    got = {r.scenario: r for r in scenarios.scored(scenarios.apply_levers(b, s)).collect()}
+    assert got["both"].s_population == 1_100_000 and got["both"].s_water_required == 148.5 and got["both"].s_drain_capacity == 600.0
+    assert got["none"].cost == 0 and got["none"].gain_per_100 is None and got["none"].score_change == 0 and got["both"].score_change != 0
+
+
+def test_forecast_bands_are_ordered_and_widen(spark):
+    import datetime as dt
+
+    months = [dt.date(2020 + m // 12, m % 12 + 1, 1) for m in range(36)]
+    rows = [(w, "m", d, float(100 * w * (1 + 0.2 * np.sin(2 * np.pi * d.month / 12)))) for w in (1, 2, 3) for d in months]
+    regions = spark.createDataFrame([(w, 1000 * w, 2.0) for w in (1, 2, 3)], "ward_id int, population long, area_sq_km double")
+    panel = forecasting.load_panel(spark.createDataFrame(rows, "ward_id int, metric string, month date, value double"), regions)
+    split = forecasting.time_split(forecasting.panel_features(panel))
+    model = forecasting.fit_gbt(split.where("NOT is_test"), trees=15, step=0.2)
+    metrics = forecasting.backtest_metrics(forecasting.predict(model, split.where("is_test"))).first()
+    assert metrics.mape < 15
+    out = forecasting.interval_bands(forecasting.forecast(model, panel, 3), F.lit(0.1)).orderBy("ward_id", "step").collect()
+    assert len(out) == 9 and all(r.lower <= r.value <= r.upper for r in out)
+    first, second, third = out[:3]
+    assert first.upper - first.lower < second.upper - second.lower < third.upper - third.lower
+    assert first.month == dt.date(2023, 1, 1)
+
+
+def test_textrank_prefers_the_linked_sentence(spark):
+    s = ["The drain on Station Road overflows daily", "Station Road drain needs repair", "Overflows of the drain flood shops", "A cat sat elsewhere quietly"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(s)], "doc int, pos int, sentence string")
+    top = [r.pos for r in text.textrank(df, "doc", "pos", "sentence", k=2, stop=("the", "on", "of")).collect()]
+    assert len(top) == 2 and 3 not in top and 0 in top
+
+
+def test_sections(spark):
+    body = "Overview\n" + "Water supply needs attention in many wards today. " * 100 + "\nRoads\nThe roads are in a poor state this year indeed."
+    got = text.segment_sections(spark.createDataFrame([(1, body), (2, None), (3, "")], "doc int, text string"), "doc").orderBy("section", "part").collect()
+    assert {r.title for r in got} == {"Overview", "Roads"} and len(got) > 3 and all(r.doc == 1 for r in got)
+
+
+def test_split_valid(spark):
+    rows = [("a", 19.0, 72.9), ("a", 19.0, 72.9), (" ", 19.0, 72.9), ("b", 1.0, 72.9), (None, None, None)]
+    df = quality.split_valid(spark.createDataFrame(rows, "text string, lat double, lng double"), ["text"], F.col("text"))
+    r = quality.import_quality(df).first()
+    assert (r.total, r.missing, r.duplicates, r.bad_locations) == (5, 2, 1, 1)
+    assert df.where("bad_location").first().lat is None
+    with pytest.raises(ValueError, match="name"):
+        quality.check_columns(df, ["text", "name"])
+
+
+def test_embeddings_span_the_leading_directions(spark):
+    docs = [(i, " ".join(["water pipe leak tap"] * 3 if i % 2 else ["road pothole traffic jam"] * 3) + f" word{i}") for i in range(40)]
+    df = spark.createDataFrame(docs, "id long, text string")
+    v, idf, share = learning.fit_embeddings(df, "id", "text", k=4, size=256)
+    e = {r.id: np.array(r.embedding) for r in learning.encode(df, "text", v, idf).collect()}
+    assert 0 < share <= 1 and e[1] @ e[3] > 0.8 > 0.3 > abs(e[1] @ e[2])
+    assert np.allclose(np.linalg.norm(e[1]), 1, atol=1e-5)
