@@ -92,7 +92,7 @@ def _(t):
 @query(
     "geo4_assign_cluster_ids",
     recursive(
-        "SELECT request_id, CAST((dense_rank() OVER (ORDER BY category) - 1) * 1000 + k AS BIGINT) AS cluster_id FROM (SELECT *, dense_rank() OVER (PARTITION BY category ORDER BY cluster) AS k FROM (SELECT r.request_id, r.category, c.cluster FROM clusters c JOIN requests r USING (request_id) WHERE c.cluster IS NOT NULL))",
+        "SELECT request_id, CAST((SELECT count(DISTINCT x.category) FROM requests x WHERE x.category < y.category) * 1000 + k AS BIGINT) AS cluster_id FROM (SELECT *, dense_rank() OVER (PARTITION BY category ORDER BY cluster) AS k FROM (SELECT r.request_id, r.category, c.cluster FROM clusters c JOIN requests r USING (request_id) WHERE c.cluster IS NOT NULL)) y",
         "requests", CLUSTERS,
     ),
 )

@@ -30,7 +30,7 @@ WORDS = ["ist", "und", "der"]
 
 @query(
     "txt2_detect_language",
-    "SELECT doc_id, CASE WHEN letters = 0 THEN 'en' WHEN words = 0 THEN 'en' WHEN hits >= 2 OR hits / words >= 0.15 THEN 'hi-en' ELSE 'en' END AS code FROM (SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) AS letters, len(regexp_extract_all(text, '[a-zA-Z]+')) AS words, len(regexp_extract_all(lower(text), '\\b(?:" + "|".join(sorted(WORDS, key=len, reverse=True)) + ")\\b')) AS hits FROM documents)",
+    "SELECT doc_id, CASE WHEN letters = 0 THEN 'en' WHEN words = 0 THEN 'en' WHEN hits >= 2 OR hits / words >= 0.15 THEN 'hi-en' ELSE 'en' END AS code FROM (SELECT doc_id, len(regexp_extract_all(text, '\\p{L}')) AS letters, len(regexp_extract_all(text, '[a-zA-Z]+')) AS words, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: w IN ('" + "', '".join(WORDS) + "'))) AS hits FROM documents)",
 )
 def _(t):
     return t.documents.select("doc_id", T.detect_language(F.col("text"), WORDS, ["आहे"], ["है"])["code"].alias("code"))

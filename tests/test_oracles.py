@@ -21,7 +21,7 @@ def duck(sf):
 
 
 def cell(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return "null"
     if isinstance(x, float):
         return f"{x + 0.0:.6g}"
