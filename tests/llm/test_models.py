@@ -80,12 +80,12 @@ def tiny():
     bits = 16
     counts = np.zeros(2 << bits, dtype=np.int32)
     for g in mixing_lm.batches(iter(token_lists)):
-        for spelled, s, x, _ in mixing_lm.pieces(code, mixing_lm.symbols(code, g)):
+        for spelled, s, x, _ in mixing_lm.pieces(code, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, g))):
             _, ids, b = mixing_lm.slots(code, s, x, bits, spelled)
             for i in ids:
                 np.add.at(counts, i.astype(np.int64) * 2 + b, 1)
     table = np.ascontiguousarray(counts.reshape(-1, 2).T)
-    parts = ((spelled, mixing_lm.slots(code, s, x, bits, spelled)) for g in mixing_lm.batches(iter(token_lists)) for spelled, s, x, _ in mixing_lm.pieces(code, mixing_lm.symbols(code, g)))
+    parts = ((spelled, mixing_lm.slots(code, s, x, bits, spelled)) for g in mixing_lm.batches(iter(token_lists)) for spelled, s, x, _ in mixing_lm.pieces(code, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, g))))
     stream = ((ids, b, spelled) for spelled, (_, ids, b) in parts)
     mixer = mixing_lm.fit_mixer(stream, table)
     return code, mixing_lm.pack(table), bits, mixer.weights, mixer.log10_table()
@@ -93,7 +93,7 @@ def tiny():
 
 def test_probabilities_of_all_next_tokens_add_up_to_one_at_most(tiny):
     code, table, bits, weights, logs = tiny
-    score = lambda ts: mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, ts), len(ts))
+    score = lambda ts: mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, ts)), len(ts))
     # texts of at most two tokens of the vocabulary: a sum over a part of all texts stays below 1
     vocabulary = [w for w in code.rank if w]
     texts = [[]] + [[a] for a in vocabulary] + [[a, b] for a in vocabulary for b in vocabulary]
@@ -106,8 +106,8 @@ def test_probabilities_of_all_next_tokens_add_up_to_one_at_most(tiny):
 def test_scores_do_not_depend_on_the_batch(tiny):
     code, table, bits, weights, logs = tiny
     texts = [b"a b c".split(), b"unseen words here".split(), [], b"a".split() * 50000]
-    together = mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, texts), 4)
-    alone = [mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, [t]), 1)[0] for t in texts]
+    together = mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, texts)), 4)
+    alone = [mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, [t])), 1)[0] for t in texts]
     assert np.allclose(together, alone)
 
 
