@@ -60,6 +60,9 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 ]
 
 
+COPYRIGHT = r"^(copyright|©|c copyright)( (©|c))*( [0-9]{4}| all rights| by|$)"
+
+
 def canonical_lines(text: Column) -> Column:
     """Canonical form of each line of a text, without copyright lines and empty ones."""
 
@@ -70,7 +73,7 @@ def canonical_lines(text: Column) -> Column:
         return F.trim(x)
 
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), canon)
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^(copyright|©|c copyright)( (©|c))*( [0-9]{4}| all rights| by|$)"))
+    return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
 
 
 def digests(text: Column) -> Column:
@@ -107,3 +110,17 @@ def scan_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
         F.array_join(F.array_sort(F.collect_set(F.when(~whole, F.col("licence")))), ",").alias("notices"),
         F.count(F.when(~whole, F.col("licence"))).alias("n_notices"),
     )
+
+
+def scan_sql() -> str:
+    """The scan with the known texts above as DuckDB SQL over ``documents``."""
+    canon = r"regexp_replace(lower(x), '[^\p{L}\p{N}©]+', ' ', 'g')"
+    for a, b in SPELLINGS.items():
+        canon = f"replace({canon}, '{a}', '{b}')" if a != b else canon
+    lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim({canon})), lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT}'))"
+    known = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+    return f"""WITH k AS (SELECT sha256(array_to_string(ls, ' ')) AS d, min(licence) AS licence FROM (SELECT licence, {lines} AS ls FROM (VALUES {known}) v(licence, text)) GROUP BY 1),
+c AS (SELECT doc_id, {lines} AS ls FROM documents),
+u AS (SELECT doc_id, 0 AS unit, sha256(array_to_string(ls, ' ')) AS d FROM c UNION ALL SELECT doc_id, 1, sha256(l) FROM (SELECT doc_id, unnest(ls) AS l FROM c))
+SELECT doc_id, min(u.d) FILTER (unit = 0) AS text_digest, min(licence) FILTER (unit = 0) AS licence, coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (unit > 0), '') AS notices, count(licence) FILTER (unit > 0) AS n_notices
+FROM u LEFT JOIN k ON k.d = u.d GROUP BY doc_id"""

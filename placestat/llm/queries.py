@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placestat.llm.decontaminate import contaminated_pairs
 from placestat.llm.langid import label_languages
-from placestat.llm.licences import known_licences, scan_licences
+from placestat.llm.licences import known_licences, scan_licences, scan_sql
 from placestat.llm.linededup import drop_repeated_chunks
 from placestat.llm.mixing_lm import score_texts
 from placestat.llm.mixture import poisson_mixture
@@ -144,6 +144,7 @@ SELECT doc_id, source, copy, n_copies, md5('42:order|' || doc_id || '|' || copy)
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_licence_scan": scan_sql(),
     "op10_source_mixture": MIXTURE_SQL,
     "op3_quality_rules": "WITH " + QUALITY_CTES.replace("{docs}", "documents")
     + " SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM q_kept",
