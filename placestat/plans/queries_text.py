@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -310,7 +310,7 @@ def scratch(t) -> str:
 
     ensure_checkpoint_dir(t.spark)
     base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{base.rstrip('/')}/{next(tempfile._get_candidate_names())}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 @query("src1_read_csv_records", "SELECT s_suppkey::VARCHAR AS s_suppkey, s_name FROM supplier")
