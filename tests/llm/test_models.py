@@ -111,7 +111,7 @@ def test_scores_do_not_depend_on_the_batch(tiny):
     assert np.allclose(together, alone)
 
 
-@pytest.mark.parametrize("vocabulary", [1 << 17, 300])
+@pytest.mark.parametrize("vocabulary", [1 << 18, 300])
 def test_lm_scores_and_base(spark, vocabulary):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-2, ""), (None, "the")], "doc_id long, text string")
