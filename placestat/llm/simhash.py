@@ -10,6 +10,7 @@ with the exact distance in the join condition, finds all links.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -160,19 +161,128 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+class _WordHashes(dict):
+    """XXH64 of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def shingle_set(tokens: list[bytes], size: int, known: _WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word windows, as signed numbers; a short text has one, of all its words."""
+    if len(known) > 500_000:
+        known.clear()
+    w = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    size = min(size, len(w))
+    h = np.full(len(w) - size + 1 if size else 0, size, dtype=np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C17) + w[k : len(w) - size + 1 + k]
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((h ^ (h >> np.uint64(31))).view(np.int64))
+
+
 def _shingle_hashes(text: Column, size: int) -> Column:
     @F.pandas_udf("array<long>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _WordHashes()
         for s in batches:
-            out = []
+            yield pd.Series([shingle_set(words(t), size, known) for t in s])
+
+    return udf(text)
+
+
+def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int, sample: int = 20_000, seen: int = 3, most: int = 100_000) -> np.ndarray:
+    """Sorted hashes of shingles that ``seen`` texts or more of about ``sample`` hold, ``most`` at most.
+
+    They only come last in the order of the prefixes; any order finds the same pairs, at another cost.
+    """
+    share = min(1.0, sample / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.lit(round(1_000_000 * share)))
+    each = some.select(F.explode(_shingle_hashes(F.col(text_col), shingle)).alias("h"))
+    counts = checkpoint(each.groupBy("h").count().where(F.col("count") >= seen))
+    cut, total = 0, 0
+    for r in counts.groupBy(F.floor(F.log2("count")).alias("k")).count().orderBy(F.desc("k")).collect():
+        total += r["count"]
+        if total > most:
+            cut = r["k"] + 1
+            break
+    hs = [r["h"] for r in counts.where(F.log2("count") >= cut).select("h").collect()]
+    return np.array(sorted(hs), dtype=np.int64)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets with at least ``similarity``, these many first elements of each, in any common order, share one."""
+    return n - int(np.ceil(similarity * n - 1e-6)) + 1 if n else 0
+
+
+def shingle_prefix(text: Column, size: int, similarity: float, frequent: np.ndarray) -> Column:
+    """(n, prefix): the number of distinct shingles and the first of them, by hash, the ``frequent`` last."""
+
+    @F.pandas_udf("struct<n:int,prefix:array<long>>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = _WordHashes()
+        for s in batches:
+            ns, out = [], []
             for t in s:
-                hs = {xxhash.xxh64_intdigest(x, 42) for x in shingles(words(t), size)}
-                out.append(np.array(sorted(hs), dtype=np.uint64).view(np.int64))
-            yield pd.Series(out)
+                hs = shingle_set(words(t), size, known)
+                if len(frequent):
+                    last = frequent[np.minimum(np.searchsorted(frequent, hs), len(frequent) - 1)] == hs
+                    hs = np.concatenate([hs[~last], hs[last]])
+                ns.append(len(hs))
+                out.append(hs[: prefix_length(len(hs), similarity)])
+            yield pd.DataFrame({"n": np.array(ns, dtype=np.int32), "prefix": pd.Series(out, dtype=object)})
 
     return udf(text)
 
 
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) of all sets in different groups that can be as similar as that: a superset, complete.
+
+    ``sets`` has id, n, prefix and grp, null for a set alone. A pair shares an element of its prefixes, and
+    at the first shared one each has enough elements left for the overlap that its sizes ask for.
+    """
+    rows = sets.select("id", "n", "grp", F.posexplode("prefix").alias("pos", "h"))
+    a, b = rows.alias("a"), rows.alias("b")
+    least = F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+    return (
+        a.join(
+            b,
+            (F.col("a.h") == F.col("b.h"))
+            & smaller
+            & (F.col("a.n") - F.col("a.pos") >= least)
+            & (F.col("b.n") - F.col("b.pos") >= least)
+            & (F.col("a.n") >= least)
+            & F.coalesce(F.col("a.grp") != F.col("b.grp"), F.lit(True)),
+        )
+        .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+        .distinct()
+    )
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have at least that Jaccard similarity."""
+    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
+    sets = checkpoint(texts.select("id", _shingle_hashes(F.col("t"), shingle).alias("hs"))).dropDuplicates(["id"])
+    a = sets.select(F.col("id").alias("src"), F.col("hs").alias("ha"))
+    b = sets.select(F.col("id").alias("dst"), F.col("hs").alias("hb"))
+    common = F.size(F.array_intersect("ha", "hb"))
+    near = (
+        pairs.join(a, "src").join(b, "dst").withColumn("common", common)
+        .where(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")))
+        .select("src", "dst")
+    )
+    return checkpoint(near)
+
+
+def _free(df: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of finished steps; else they stay until the driver collects its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def near_duplicate_survivors(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -184,35 +294,38 @@ def near_duplicate_survivors(
 ) -> DataFrame:
     """The rows of ``docs`` with one document, the least id, of each near-duplicate group.
 
-    Candidates: word fingerprints (root-of-count weights, one a seed) within ``radius`` bits, by the
-    deletion-variant index. A candidate pair is a link if the Jaccard similarity of the sets of
-    ``shingle``-word windows is at least ``similarity``; equal texts are always linked. Groups are the
+    A pair is a link if the Jaccard similarity of the sets of ``shingle``-word windows is at least
+    ``similarity``; equal texts are always linked. Candidates: word fingerprints (root-of-count weights, one
+    a seed) within ``radius`` bits, by the deletion-variant index, which link most large groups cheaply; then
+    every pair not yet in one group that shares a shingle of its prefixes (prefix filter), which leaves out
+    no pair of that similarity, wherever the texts differ. Every candidate is verified. Groups are the
     connected components. Texts without a word are equal only to the same text. Rows with a null id are
     kept as they are; a row that repeats another with its id and text is kept once. All columns stay.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    frequent = frequent_shingles(docs, id_col, text_col, shingle)
+    _free(docs)
     f = checkpoint(
         docs.where(F.col(id_col).isNotNull()).select(
             F.col(id_col).alias("id"),
             F.concat(digest, F.when(F.col(text_col).isNull(), "n").otherwise("")).alias("digest"),
             word_fingerprints(F.col(text_col), seeds).alias("fps"),
+            shingle_prefix(F.col(text_col), shingle, similarity, frequent).alias("s"),
         )
     )
-    reps = f.groupBy("digest").agg(F.min("id").alias("id"), F.min("fps").alias("fps"))
+    reps = checkpoint(f.groupBy("digest").agg(F.min("id").alias("id"), F.min("fps").alias("fps")))
     spread = reps.select("id", F.posexplode("fps").alias("seed", "fp")).where("fp <> 0")
     pairs = checkpoint(links(spread, "id", "fp", radius, within="seed").distinct())
-    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
-    sets = checkpoint(texts.select("id", _shingle_hashes(F.col("t"), shingle).alias("hs"))).dropDuplicates(["id"])
-    a = sets.select(F.col("id").alias("src"), F.col("hs").alias("ha"))
-    b = sets.select(F.col("id").alias("dst"), F.col("hs").alias("hb"))
-    common = F.size(F.array_intersect("ha", "hb"))
-    near = (
-        pairs.join(a, "src").join(b, "dst").withColumn("common", common)
-        .where(F.col("common") >= similarity * (F.size("ha") + F.size("hb") - F.col("common")))
-        .select("src", "dst")
-    )
-    comp = connected_components(near)
+    _free(docs)
+    groups = checkpoint(connected_components(_similar(pairs, docs, id_col, text_col, shingle, similarity)))
+    _free(docs)
+    grouped = reps.select("id", "digest").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
+    sets = f.select("id", "digest", "s.n", "s.prefix").join(grouped, ["id", "digest"]).dropDuplicates(["id", "digest"])
+    rest = checkpoint(prefix_pairs(sets, similarity))
+    _free(docs)
+    near = _similar(rest, docs, id_col, text_col, shingle, similarity)
+    _free(docs)
+    comp = connected_components(near.union(groups.select("node", "component")))
     gone = comp.where("node <> component").select(F.col("node").alias("id"))
     keep = reps.select("id", "digest").join(gone, "id", "left_anti")
     marked = docs.withColumn("__digest", F.concat(digest, F.when(F.col(text_col).isNull(), "n").otherwise("")))

@@ -96,6 +96,53 @@ def test_near_duplicate_survivors(spark):
     assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
 
 
+def block_edits(rng, base, word):
+    """Copies of a text with words appended, cut off or replaced in one block."""
+    n = len(base)
+    return {
+        "appended": base + [word() for _ in range(rng.randint(n // 20, n // 5))],
+        "truncated": base[: rng.randint(n - n // 6, n - n // 20)],
+        "replaced": base[: n // 3] + [word() for _ in range(n // 15)] + base[n // 3 + n // 15 :],
+    }
+
+
+def test_near_duplicates_with_block_edits_are_all_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=4))
+    common = [word() for _ in range(40)]
+    rows, want, n = [], [], 0
+    for g in range(60):
+        base = [word() for _ in range(rng.choice((60, 200, 700)))]
+        base = base + common if g % 3 == 0 else base
+        edited = [c for c in block_edits(rng, base, word).values() if plain_jaccard(base, c) >= 0.8]
+        want.append(n)
+        for c in [base, *edited]:
+            rows.append((n, " ".join(c), "en", "s"))
+            n += 1
+    assert n > 150
+    kept = [r.doc_id for r in simhash.near_duplicate_survivors(spark.createDataFrame(rows, DOC)).collect()]
+    assert sorted(kept) == want
+
+
+def plain_jaccard(a, b):
+    x, y = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+    return len(x & y) / len(x | y)
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    rng = random.Random(13)
+    sets = {}
+    for g in range(40):
+        base = rng.sample(range(1000 * g, 1000 * g + 900), rng.choice((1, 2, 4, 5, 9, 10, 50, 100)))
+        for drop in (0, 1, 2, 5, 10, 20):
+            sets[len(sets)] = set(base[drop % len(base) :]) | {1000 * g + 900 + i for i in range(drop % 7)}
+    rows = [(i, len(s), sorted(s)[: simhash.prefix_length(len(s), 0.8)], None) for i, s in sets.items()]
+    got = simhash.prefix_pairs(spark.createDataFrame(rows, "id long, n int, prefix array<long>, grp long"), 0.8).collect()
+    found = {frozenset((r.src, r.dst)) for r in got}
+    near = {frozenset((i, j)) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    assert len(near) > 50 and near <= found
+
+
 def plain_tiles(doc, item, least):
     """Greedy tiling by its definition: scan all pairs for the longest unmarked match, mark, repeat."""
     used_d, used_i, out = set(), set(), []
