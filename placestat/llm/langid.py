@@ -31,12 +31,12 @@ UNKNOWN = "und"
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Slots of a word's features: itself, prefixes, suffixes, n-grams with its ends marked, lexicon entry.
 
-    Affixes and n-grams are taken from its UTF-8 bytes; each kind of feature hashes from its own start value.
+    Affixes and n-grams are taken from its UTF-8 bytes, n-grams from all of them; each kind of feature hashes from its own start value.
     """
     b = word.encode("utf-8", "surrogatepass")
     w, crc = b"^" + b + b"$", zlib.crc32
     out = [crc(b, 1), *[crc(b[:k], 2) for k in (1, 2, 3)], *[crc(b[-k:], 3) for k in (1, 2, 3)]]
-    n = min(len(w), 26)
+    n = len(w)
     out += [crc(w[i : i + 2], 4) for i in range(n - 1)]
     out += [crc(w[i : i + 3], 5) for i in range(n - 2)]
     if word in lexicon:

@@ -154,3 +154,13 @@ def test_toxicity_edge_cases(spark):
     assert 0 <= got[100].p_bad <= 1 and got[100].p_bad == got[101].p_bad
     assert toxicity.chain_probabilities(d.limit(0), labels, ["bad"]).count() == 0
     assert {r.p_bad for r in toxicity.chain_probabilities(d, labels.limit(0), ["bad"]).collect()} == {0.0}
+
+
+def test_language_of_a_long_run_without_blanks():
+    chars = {"zh": [chr(0x4E00 + i) for i in range(40)], "ja": [chr(0x3042 + i) for i in range(40)]}
+    rng = np.random.default_rng(3)
+    run = lambda lang, n: "".join(rng.choice(chars[lang], n))
+    model = langid.fit_crf([(" ".join(run(lang, 6) for _ in range(40)), lang) for lang in chars for _ in range(10)])
+    shared = "x" * 30
+    got = langid.text_languages(model, [shared + run(lang, 60) + shared for lang in ("zh", "ja")], langid.WordScores(model))
+    assert [g[0] for g in got] == ["zh", "ja"] and all(g[1] > 0.99 for g in got)
