@@ -4,7 +4,8 @@ A text is a run of lines: what ends with a line feed or, inside a long line, wit
 and a blank, so that a passage pasted into the middle of a line still has lines of its own. Each line is
 hashed; a rolling hash covers the last two line hashes; a chunk ends where the rolling hash is lower than
 both of its neighbours. A boundary depends on four lines around it only, so text put in or cut elsewhere
-doesn't move it, and chunks have two lines at least but at the ends of a text.
+doesn't move it, and chunks have two lines at least but at the ends of a text. Where a chunk turns up again,
+the repeat is followed line by line into the two chunks on either side, so that it goes up to its ends.
 """
 
 from __future__ import annotations
@@ -15,7 +16,19 @@ from pyspark.sql import functions as F
 from placestat.llm.common import WORD, let
 from placestat.operators.graph import checkpoint
 
-LINE = r"(?s).+?(?:\n|[.,;:!?] |\z)"
+LINE = r"(?s).*?(?:\n|[.,;:!?] |\z)"
+ENDS = ("\n", ". ", ", ", "; ", ": ", "! ", "? ")
+CUT = "\u0001"
+
+
+def text_lines(text: Column) -> Column:
+    """Array of the lines, which joined give the text; empty for null or empty text."""
+    whole = F.coalesce(text, F.lit(""))
+    marked = whole
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + CUT))
+    found = F.when(whole.contains(CUT), F.regexp_extract_all(whole, F.lit(f"({LINE})"), F.lit(1))).otherwise(F.split(marked, CUT, -1))
+    return F.filter(found, lambda x: x != "")
 
 
 def rolling(hashes: Column) -> Column:
@@ -28,17 +41,8 @@ def rolling(hashes: Column) -> Column:
     return F.transform(hashes, at)
 
 
-def chunks(text: Column) -> Column:
-    """Array of (text, lines) chunks that joined give the text; empty for null or empty text."""
-
-    def cut(lines: Column, bounds: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.size(bounds) - 1),
-            lambda k: F.struct(
-                F.array_join(F.slice(lines, F.element_at(bounds, k) + 1, F.element_at(bounds, k + 1) - F.element_at(bounds, k)), "").alias("text"),
-                (F.element_at(bounds, k + 1) - F.element_at(bounds, k)).alias("lines"),
-            ),
-        )
+def bounds(hashes: Column) -> Column:
+    """Line numbers at which chunks begin, from 0, and the number of lines at the end."""
 
     def minima(roll: Column) -> Column:
         inner = F.filter(
@@ -50,57 +54,139 @@ def chunks(text: Column) -> Column:
         )
         return F.concat(F.array(F.lit(0)), inner, F.array(F.size(roll)))
 
-    def of(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
-        bounds = let(let(hashes, rolling), minima)
-        return let(bounds, lambda b: cut(lines, b))
+    return F.when(F.size(hashes) == 0, F.array().cast("array<int>")).otherwise(let(rolling(hashes), minima))
+
+
+def _hashes(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.xxhash64(x))
+
+
+def _count(bs: Column) -> Column:
+    """Chunk numbers from 1; empty without lines."""
+    return F.when(F.size(bs) > 1, F.sequence(F.lit(1), F.size(bs) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _line_at(bs: Column, k: Column) -> Column:
+    """Line at which chunk k (from 1) begins, k cut to what exists."""
+    return F.element_at(bs, F.greatest(F.lit(1), F.least(k, F.size(bs))))
+
+
+def _between(lines: Column, low: Column, high: Column) -> Column:
+    return F.slice(lines, low + 1, F.greatest(high - low, F.lit(0)))
+
+
+def signatures(text: Column) -> Column:
+    """Array of (lines, h) of the chunks; h is a 64-bit hash of the chunk's line hashes."""
+
+    def of(hs: Column, bs: Column) -> Column:
+        at = lambda k: (F.element_at(bs, k), F.element_at(bs, k + 1))
+        return F.transform(_count(bs), lambda k: F.struct((at(k)[1] - at(k)[0]).alias("lines"), F.xxhash64(_between(hs, *at(k))).alias("h")))
+
+    return let(_hashes(text_lines(text)), lambda hs: let(bounds(hs), lambda bs: of(hs, bs)))
+
+
+def with_surroundings(text: Column, wanted: Column) -> Column:
+    """Array of (h, body, before, after) for an array of (at, h): the chunk, and the lines of two chunks to each side, nearest first."""
+
+    def of(ls: Column, bs: Column) -> Column:
+        def one(o: Column) -> Column:
+            k = o["at"] + 1
+            return F.struct(
+                o["h"].alias("h"),
+                F.array_join(_between(ls, _line_at(bs, k), _line_at(bs, k + 1)), "").alias("body"),
+                F.reverse(_between(ls, _line_at(bs, k - 2), _line_at(bs, k))).alias("before"),
+                _between(ls, _line_at(bs, k + 1), _line_at(bs, k + 3)).alias("after"),
+            )
+
+        return F.transform(wanted, one)
+
+    return let(text_lines(text), lambda ls: let(bounds(_hashes(ls)), lambda bs: of(ls, bs)))
+
+
+def _same(mine: Column, theirs: Column) -> Column:
+    """How many first elements two arrays of lines have in common."""
+    return F.array_position(F.concat(F.zip_with(mine, theirs, lambda a, b: a.eqNullSafe(b)), F.array(F.lit(False))), F.lit(False)).cast("int") - 1
+
+
+def without(text: Column, gone: Column, min_words: int) -> Column:
+    """(text, removed): the text rid of the chunks in ``gone`` (a map from chunk number to body, before and
+    after) that are byte for byte the same, and of the equal lines next to them; the number of those chunks."""
+
+    def of(ls: Column, bs: Column) -> Column:
+        def hit(k: Column) -> Column:
+            low, high = _line_at(bs, k), _line_at(bs, k + 1)
+
+            def grown(e: Column) -> Column:
+                before = _same(F.reverse(_between(ls, _line_at(bs, k - 2), low)), e["before"])
+                after = _same(_between(ls, high, _line_at(bs, k + 3)), e["after"])
+                reach = F.struct(before.alias("before"), after.alias("after"))
+                return let(reach, lambda r: F.when(F.regexp_count(F.array_join(_between(ls, low - r["before"], high + r["after"]), ""), F.lit(WORD)) >= min_words, r))
+
+            e = F.try_element_at(gone, k - 1)
+            return F.when(e.isNotNull() & (F.array_join(_between(ls, low, high), "") == e["body"]), let(e, grown))
+
+        def left(hits: Column, k: Column) -> Column:
+            def reach(j: Column, side: str) -> Column:
+                found = F.try_element_at(hits, F.when((j >= 1) & (j <= F.size(hits)), j))
+                return F.coalesce(found[side], F.lit(0))
+
+            size = lambda j: _line_at(bs, j + 1) - _line_at(bs, j)
+            front = F.greatest(reach(k - 1, "after"), reach(k - 2, "after") - size(k - 1))
+            back = F.greatest(reach(k + 1, "before"), reach(k + 2, "before") - size(k + 1))
+            low, high = _line_at(bs, k), _line_at(bs, k + 1)
+            return F.when(F.element_at(hits, k).isNotNull(), F.lit("")).otherwise(F.array_join(_between(ls, low + front, high - back), ""))
+
+        return let(
+            F.transform(_count(bs), hit),
+            lambda hits: F.struct(
+                F.array_join(F.transform(_count(bs), lambda k: left(hits, k)), "").alias("text"),
+                F.size(F.filter(hits, lambda x: x.isNotNull())).alias("removed"),
+            ),
+        )
 
-    lines = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({LINE})"), F.lit(1))
-    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, F.array().cast("array<struct<text:string,lines:int>>")).otherwise(let(lines, of))
+    return let(text_lines(text), lambda ls: let(bounds(_hashes(ls)), lambda bs: of(ls, bs)))
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """``docs`` with the text rid of chunks seen elsewhere, and n_chunks, n_chunks_removed, n_chars_removed.
+def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, rows_a_part: int = 1000) -> DataFrame:
+    """``docs`` with the text rid of runs of lines seen elsewhere, and n_chunks_removed and n_chars_removed.
 
-    A chunk of two lines or more with at least ``min_words`` words that occurs more than once in the corpus
-    stays only where it first stands in the text with the least id. Candidates are found by 64-bit hash and
-    removed only if they are byte for byte the chunk that stays. A text may become empty; its row stays.
-    Null texts, and rows with a null id, are left as they are and not counted. Rows that repeat an id share
-    its decisions. Input columns named like a new one are replaced.
+    A chunk of two lines or more that occurs more than once in the corpus stays only where it first stands in
+    the text with the least id. Candidates are found by 64-bit hash and removed only if they are byte for
+    byte the chunk that stays; equal lines next to it, in the two chunks on either side, go with it. Runs of
+    fewer than ``min_words`` words stay: two short clauses are common in clean texts. A line goes only if it
+    stays in an earlier place, so one copy of everything is left. A text may become empty; its row stays.
+    Null texts, and rows with a null id, are left as they are and not counted. Rows with the same id and text
+    share decisions; rows with the same id and other texts have their own. Input columns named like a new one
+    are replaced.
 
     Only hashes are shuffled to find candidates; then the texts of the chunks that stay go to the documents
-    that repeat them; both need the texts dealt by id, which Spark does once. A chunk that a third of all texts share is counted with map-side sums.
+    that repeat them. A chunk that a third of all texts share is counted with map-side sums, and its text is
+    sent in one copy for each ``rows_a_part`` repeats, so that no task gets them all.
     """
     usable = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    whole = docs.where(usable)
-    base = whole.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = base.select("id", F.posexplode(chunks(F.col("t"))).alias("at", "c")).where("c.lines >= 2")
-    rows = rows.where(F.regexp_count(F.col("c.text"), F.lit(WORD)) >= min_words)
-    sig = checkpoint(rows.select("id", "at", F.xxhash64("c.text").alias("h")))
-    seen = sig.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("owner")).where("n > 1").drop("n")
+    whole = docs.where(usable).withColumn("__digest", F.xxhash64(text_col))
+    ident = [F.col(id_col).alias("id"), F.col("__digest").alias("digest")]
+    rows = whole.select(*ident, F.posexplode(signatures(F.col(text_col))).alias("at", "c")).where("c.lines >= 2")
+    sig = checkpoint(rows.select("id", "digest", "at", F.col("c.h").alias("h")))
+    first = F.min(F.struct("id", "digest", "at"))
+    seen = sig.groupBy("h").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
     found = checkpoint(sig.join(seen, "h"))
-    stays = found.where("id = owner").groupBy("h", "id").agg(F.min("at").alias("at"))
-    per_owner = stays.groupBy(F.col("id").alias("__own")).agg(F.collect_list(F.struct("at", "h")).alias("own"))
-    held = (
-        whole.join(per_owner, F.col(id_col) == F.col("__own"))
-        .select("own", chunks(F.col(text_col)).alias("c"))
-        .select(F.explode(F.transform("own", lambda o: F.struct(o["h"].alias("h"), F.col("c")[o["at"]]["text"].alias("chunk")))).alias("x"))
-        .select("x.h", "x.chunk").dropDuplicates(["h"])
-    )
-    first = stays.select("h", F.col("id").alias("owner"), F.col("at").alias("first_at"))
-    again = found.join(first, ["h", "owner"]).where("NOT (id = owner AND at = first_at)")
-    gone = again.join(held, "h").groupBy(F.col("id").alias("__id")).agg(F.map_from_entries(F.collect_set(F.struct("at", "chunk"))).alias("__gone"))
-
-    out = whole.join(gone, F.col(id_col) == F.col("__id"), "left").unionByName(docs.where(~usable), allowMissingColumns=True)
-    all_chunks = chunks(F.col(text_col))
-    kept = F.when(
-        F.col("__gone").isNotNull(),
-        let(all_chunks, lambda cs: F.array_join(F.transform(F.filter(cs, lambda c, i: ~F.coalesce(F.col("__gone")[i].eqNullSafe(c["text"]), F.lit(False))), lambda c: c["text"]), "")),
-    ).otherwise(F.col(text_col))
-    removed = F.when(
-        F.col("__gone").isNotNull(),
-        let(all_chunks, lambda cs: F.size(F.filter(cs, lambda c, i: F.coalesce(F.col("__gone")[i].eqNullSafe(c["text"]), F.lit(False))))),
-    ).otherwise(F.lit(0))
-    out = out.withColumns({"__text": kept, "n_chunks_removed": removed.cast("long")})
-    out = out.withColumn("n_chars_removed", (F.char_length(F.coalesce(F.col(text_col), F.lit(""))) - F.char_length(F.coalesce("__text", F.lit("")))).cast("long"))
-    return out.withColumn(text_col, F.col("__text")).drop("__text", "__gone", "__id")
+    mine = F.struct("id", "digest", "at")
+    parts = F.ceil(F.col("n") / rows_a_part).cast("int")
+    stays = found.where(mine == F.col("first")).select("id", "digest", "at", "h", parts.alias("parts")).distinct()
+    per_owner = stays.groupBy(F.col("id").alias("__own"), F.col("digest").alias("__own_digest")).agg(F.collect_list(F.struct("at", "h")).alias("own"), F.map_from_entries(F.collect_list(F.struct("h", "parts"))).alias("parts"))
+    held = whole.join(per_owner, (F.col(id_col) == F.col("__own")) & (F.col("__digest") == F.col("__own_digest")))
+    held = held.select("parts", F.explode(with_surroundings(F.col(text_col), F.col("own"))).alias("x"))
+    held = held.select("x.*", F.explode(F.sequence(F.lit(0), F.element_at("parts", F.col("x.h")) - 1)).alias("part")).dropDuplicates(["h", "part"])
+    again = found.where(mine != F.col("first")).select("id", "digest", "at", "h", F.pmod(F.xxhash64("id", "at"), parts.cast("long")).cast("int").alias("part"))
+    gone = again.join(held, ["h", "part"]).groupBy(F.col("id").alias("__id"), F.col("digest").alias("__gone_digest"))
+    gone = gone.agg(F.map_from_entries(F.collect_set(F.struct("at", F.struct("body", "before", "after")))).alias("__gone"))
+
+    out = whole.join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__digest") == F.col("__gone_digest")), "left").drop("__id", "__gone_digest", "__digest")
+    out = out.unionByName(docs.where(~usable), allowMissingColumns=True)
+    rest = F.when(F.col("__gone").isNotNull(), without(F.col(text_col), F.col("__gone"), min_words))
+    out = out.withColumn("__rest", rest).withColumn("__text", F.coalesce(F.col("__rest.text"), F.col(text_col)))
+    out = out.withColumn("n_chunks_removed", F.coalesce(F.col("__rest.removed"), F.lit(0)).cast("long"))
+    lost = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) - F.char_length(F.coalesce("__text", F.lit("")))
+    out = out.withColumn("n_chars_removed", lost.cast("long"))
+    return out.withColumn(text_col, F.col("__text")).drop("__text", "__rest", "__gone")

@@ -3,9 +3,11 @@
 Five integer features (thousandths) of a text are counted in log-linear quantile sketches, one for each
 language, source and feature. Values below 64 have a bin of their own; above, the leading six bits are kept
 (relative error under 1/32). A sketch is a table (group, bin, count): two sketches merge by adding counts, so
-Spark builds them with map-side sums and a hot source costs no more than any other. Thresholds are Tukey
-fences, taken from the sketch of a text's language and source if that has ``min_group`` texts, else from
-that of its language, else of all texts. They are joined back and texts beyond a fence are rejected.
+Spark builds them with map-side sums and a hot source costs no more than any other. A group's threshold lies
+``spread`` times the distance from its median to its ninth decile beyond that decile, so it follows the
+group's own level and scatter. Merged sketches give the same for a language and for all texts, and the
+thresholds of small groups are shrunk towards their language's, those towards all texts', by group size
+(``prior`` texts count as much as the group itself). They are joined back and texts beyond one are rejected.
 """
 
 from __future__ import annotations
@@ -68,10 +70,10 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def features(counted: DataFrame) -> DataFrame:
-    """``counted`` with the array ``feature`` of the five integer features, in the order of FEATURES."""
+    """``counted`` with the array ``__feature`` of the five integer features, in the order of FEATURES."""
     per_mille = lambda a, b: F.floor(1000 * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
     return counted.withColumn(
-        "feature",
+        "__feature",
         F.array(
             per_mille("n_symbols", "word_chars"),
             per_mille("n_dup_lines", "n_lines"),
@@ -94,7 +96,7 @@ def bin_top(b: Column) -> Column:
     return F.when(b < 2 * SUB, b).otherwise(((b - e * SUB + 1) * F.pow(F.lit(2), e)).cast("long") - 1)
 
 
-def build_sketches(df: DataFrame, keys: list[str], feature_col: str = "feature") -> DataFrame:
+def build_sketches(df: DataFrame, keys: list[str], feature_col: str = "__feature") -> DataFrame:
     """(keys, feature, bin, n): mergeable sketches, built with map-side sums."""
     binned = df.select(*keys, F.posexplode(feature_col).alias("feature", "value"))
     return binned.groupBy(*keys, "feature", sketch_bin(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
@@ -105,70 +107,66 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "feature", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str], spread: float) -> DataFrame:
-    """(keys, feature, texts, fence): upper quartile plus ``spread`` times the quartile distance."""
+def fences(sketches: DataFrame, keys: list[str], spread: float, scatter: dict[str, int]) -> DataFrame:
+    """(keys, feature, texts, fence): ninth decile plus ``spread`` times its distance from the median.
+
+    A distance below the feature's entry in ``scatter`` counts as that: a group whose texts are all but equal
+    says little about what is unusual.
+    """
     s = sketches.groupBy(*keys, "feature").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("s"), F.sum("n").alias("texts"))
 
-    def quantile(num: int) -> Column:
+    def decile(num: int) -> Column:
         below = F.aggregate(
             "s",
             F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")),
             lambda acc, x: F.when(acc["at"] >= 0, acc).otherwise(
-                F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(4 * (acc["seen"] + x["n"]) >= num * F.col("texts"), x["bin"]).otherwise(F.lit(-1).cast("long")).alias("at"))
+                F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(10 * (acc["seen"] + x["n"]) >= num * F.col("texts"), x["bin"]).otherwise(F.lit(-1).cast("long")).alias("at"))
             ),
             lambda acc: acc["at"],
         )
         return bin_top(below)
 
-    return s.select(*keys, "feature", "texts", quantile(1).alias("q1"), quantile(3).alias("q3")).select(
-        *keys, "feature", "texts", (F.col("q3") + spread * (F.col("q3") - F.col("q1"))).alias("fence")
+    least = F.create_map(*[F.lit(x) for k, name in enumerate(FEATURES) for x in (k, scatter[name])])[F.col("feature")]
+    return s.select(*keys, "feature", "texts", decile(5).alias("mid"), decile(9).alias("high")).select(
+        *keys, "feature", "texts", (F.col("high") + spread * F.greatest(F.col("high") - F.col("mid"), least)).alias("fence")
     )
 
 
-#: Least fences, in thousandths: a feature below is never a reason to reject, however even the corpus is.
-LEAST = {"symbols": 100, "dup_lines": 300, "repeats": 300, "long_words": 10_000, "short_words": 400}
-
+#: Least distances from median to ninth decile, in thousandths.
+SCATTER = {"symbols": 25, "dup_lines": 100, "repeats": 75, "long_words": 250, "short_words": 10}
 
 GROUP = ["__lang", "__source"]
 
 
 def count_features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``docs`` with the base counts, ``feature`` and the group keys; a null group is one of its own."""
+    """``docs`` with the base counts, ``__feature`` and the group keys; a null group is one of its own."""
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
     return features(base_counts(docs, text_col)).withColumns({"__lang": key(lang_col), "__source": key(source_col)})
 
 
-def thresholds(counted: DataFrame, spread: float, least: dict[str, int]) -> list[DataFrame]:
-    """Fences by language and source, by language, and of all texts that pass the base rules."""
-    fine = checkpoint(build_sketches(counted.where(~F.col("base_failed")).select(*GROUP, "feature"), GROUP))
+def thresholds(counted: DataFrame, spread: float, scatter: dict[str, int], prior: int) -> DataFrame:
+    """(language, source, __fences): of the texts that pass the base rules, by group, shrunk towards the coarser groups."""
+    fine = checkpoint(build_sketches(counted.where(~F.col("base_failed")).select(*GROUP, "__feature"), GROUP))
     by_lang = merge_sketches(fine, GROUP[:1])
-    floor = F.create_map(*[F.lit(x) for k, name in enumerate(FEATURES) for x in (k, least[name])])
-    out = []
-    for i, (keys, sketches) in enumerate(((GROUP, fine), (GROUP[:1], by_lang), ([], merge_sketches(by_lang, [])))):
-        f = fences(sketches, keys, spread).withColumn("fence", F.greatest("fence", floor[F.col("feature")].cast("double")))
-        f = f.groupBy(*keys).agg(F.max("texts").alias(f"__texts{i}"), F.sort_array(F.collect_list(F.struct("feature", "fence"))).alias("f"))
-        out.append(f.select(*keys, f"__texts{i}", F.col("f.fence").alias(f"__fence{i}")))
-    return out
-
-
-def judge(counted: DataFrame, levels: list[DataFrame], min_group: int) -> DataFrame:
-    """``counted`` joined with its fences: ``reasons`` (features beyond a fence) and ``kept``."""
-    out = counted
-    for level, keys in zip(levels, (GROUP, GROUP[:1], []), strict=True):
-        level = sized_broadcast(level)
-        out = out.join(level, keys, "left") if keys else out.join(level, F.lit(True), "left")
-    chosen = (
-        F.when(F.col("__texts0") >= min_group, F.col("__fence0"))
-        .when(F.col("__texts1") >= min_group, F.col("__fence1"))
-        .otherwise(F.col("__fence2"))
+    mine, lang, everyone = (
+        fences(sketches, keys, spread, scatter).select(*keys, "feature", F.col("texts").alias(f"n{i}"), F.col("fence").alias(f"f{i}"))
+        for i, (keys, sketches) in enumerate(((GROUP, fine), (GROUP[:1], by_lang), ([], merge_sketches(by_lang, []))))
     )
-    zipped = F.arrays_zip(F.col("feature"), F.col("__fences"), F.array(*map(F.lit, FEATURES)).alias("name"))
-    over = F.filter(F.transform(zipped, lambda z: F.when(z["feature"] > z["__fences"], z["name"])), lambda x: x.isNotNull())
+    shrunk = lambda n, own, parent: (F.col(n) * F.col(own) + prior * F.col(parent)) / (F.col(n) + prior)
+    lang = lang.join(everyone, "feature").withColumn("f1", shrunk("n1", "f1", "f2")).select(*GROUP[:1], "feature", "f1")
+    mine = mine.join(lang, [*GROUP[:1], "feature"]).withColumn("f0", shrunk("n0", "f0", "f1"))
+    return mine.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("feature", F.col("f0").alias("fence")))).alias("f")).select(*GROUP, F.col("f.fence").alias("__fences"))
+
+
+def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    """``counted`` joined with its thresholds: ``reasons`` (features beyond one) and ``kept``."""
+    zipped = F.arrays_zip(F.col("__feature"), F.col("__fences"), F.array(*map(F.lit, FEATURES)).alias("name"))
+    over = F.filter(F.transform(zipped, lambda z: F.when(z["__feature"] > z["__fences"], z["name"])), lambda x: x.isNotNull())
     return (
-        out.withColumn("__fences", chosen)
+        counted.join(sized_broadcast(limits), GROUP, "left")
         .withColumn("reasons", F.when(~F.col("base_failed"), over).otherwise(F.array().cast("array<string>")))
         .withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0))
-        .drop("__fences", "feature", *GROUP, *[f"__{k}{i}" for k in ("texts", "fence") for i in range(3)])
+        .drop("__fences", "__feature", *GROUP)
     )
 
 
@@ -178,8 +176,8 @@ def adaptive_verdict(
     lang_col: str = "lang",
     source_col: str = "source",
     spread: float = 3.0,
-    min_group: int = 100,
-    least: dict[str, int] | None = None,
+    prior: int = 200,
+    scatter: dict[str, int] | None = None,
     keep_text: bool = True,
 ) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``reasons`` and ``kept``.
@@ -192,7 +190,7 @@ def adaptive_verdict(
     counted = count_features(docs, text_col, lang_col, source_col)
     if not keep_text:
         counted = checkpoint(counted.drop(text_col))
-    return judge(counted, thresholds(counted, spread, LEAST | (least or {})), min_group)
+    return judge(counted, thresholds(counted, spread, SCATTER | (scatter or {}), prior))
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:

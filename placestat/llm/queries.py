@@ -120,15 +120,18 @@ q_seen AS (
     CASE WHEN b < 64 THEN b ELSE ((b - (b // 32 - 1) * 32 + 1) << (b // 32 - 1)) - 1 END AS top FROM q_level),
 q_fence AS (
   SELECT level, gl, gs, feature, max(texts) AS texts,
-    greatest(4 * min(top) FILTER (4 * seen >= 3 * texts) - 3 * min(top) FILTER (4 * seen >= texts), [100, 300, 300, 10000, 400][feature + 1]) AS fence
-  FROM q_seen GROUP BY level, gl, gs, feature),
-q_wide AS (SELECT level, gl, gs, max(texts) AS texts, list(fence ORDER BY feature) AS fence FROM q_fence GROUP BY level, gl, gs),
-q_judged AS (
-  SELECT d.*, CASE WHEN a.texts >= 100 THEN a.fence WHEN b.texts >= 100 THEN b.fence ELSE c.fence END AS fence
-  FROM q_feat d LEFT JOIN q_wide a ON a.level = 0 AND a.gl = d.gl AND a.gs = d.gs LEFT JOIN q_wide b ON b.level = 1 AND b.gl = d.gl
-    LEFT JOIN q_wide c ON c.level = 2),
+    max(high) + 3e0 * greatest(max(high) - max(mid), [25, 100, 75, 250, 10][feature + 1]) AS fence
+  FROM (SELECT *, min(top) FILTER (10 * seen >= 9 * texts) OVER w AS high, min(top) FILTER (10 * seen >= 5 * texts) OVER w AS mid
+    FROM q_seen WINDOW w AS (PARTITION BY level, gl, gs, feature)) GROUP BY level, gl, gs, feature),
+q_lang AS (
+  SELECT a.gl, a.feature, (a.texts * a.fence + 200 * b.fence) / (a.texts + 200) AS fence
+  FROM q_fence a JOIN q_fence b ON b.level = 2 AND b.feature = a.feature WHERE a.level = 1),
+q_wide AS (
+  SELECT a.gl, a.gs, list((a.texts * a.fence + 200 * b.fence) / (a.texts + 200) ORDER BY a.feature) AS fence
+  FROM q_fence a JOIN q_lang b ON b.gl = a.gl AND b.feature = a.feature WHERE a.level = 0 GROUP BY a.gl, a.gs),
+q_judged AS (SELECT d.*, w.fence FROM q_feat d LEFT JOIN q_wide w ON w.gl = d.gl AND w.gs = d.gs),
 q_kept AS (
-  SELECT *, NOT base_failed AND NOT (f[1] > fence[1] OR f[2] > fence[2] OR f[3] > fence[3] OR f[4] > fence[4] OR f[5] > fence[5]) AS kept FROM q_judged)
+  SELECT *, NOT base_failed AND NOT coalesce(f[1] > fence[1] OR f[2] > fence[2] OR f[3] > fence[3] OR f[4] > fence[4] OR f[5] > fence[5], false) AS kept FROM q_judged)
 """
 
 MIXTURE_SQL = """

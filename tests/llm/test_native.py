@@ -42,6 +42,19 @@ def test_merging_sketches_is_sketching_the_union(spark, sf):
     assert sorted(quality.merge_sketches(fine, []).collect()) == sorted(quality.build_sketches(d, []).collect())
 
 
+def test_thresholds_follow_the_group(spark):
+    text = lambda i, rate, size: " ".join(("#" if k % 100 < rate else "") + f"{'x' * size}{i}y{k}" for k in range(100))
+    rows = [(i, text(i, 3 + i % 3, 3), "en", "prose") for i in range(600)] + [(1000 + i, text(i, 40 + i % 20, 3), "en", "code") for i in range(600)]
+    rows += [(2000 + i, text(i, 0, 3), "en", "tiny") for i in range(5)] + [(5000, text(1, 98, 3), "en", "prose"), (5001, text(2, 98, 3), "en", "code"), (5002, text(9, 5, 12), "en", "code")]
+    got = {r.doc_id: r for r in quality.adaptive_verdict(docs(spark, rows), scatter={"long_words": 1000}).collect()}
+    assert not got[5000].kept and got[5000].reasons == ["symbols"] and got[5001].kept
+    assert not got[5002].kept and got[5002].reasons == ["long_words"]
+    assert all(r.kept for i, r in got.items() if i < 5000)
+    counted = quality.count_features(docs(spark, rows))
+    limits = {(r["__lang"], r["__source"]): r["__fences"] for r in quality.thresholds(counted, 3.0, quality.SCATTER, 200).collect()}
+    assert limits["=en", "=code"][0] > limits["=en", "=prose"][0] + 30
+
+
 def test_quality_edge_cases(spark):
     clean = " ".join(f"word{i}" for i in range(80))
     rows = [(i, clean + f" end{i}", "en", "s") for i in range(120)] + [(500, " ".join(f"w{i}$$$" for i in range(80)), "en", "s"), (501, None, None, None), (502, "", "en", "s")]
@@ -51,6 +64,8 @@ def test_quality_edge_cases(spark):
     assert not got[500].kept and got[500].reasons == ["symbols"]
     assert not got[501].kept and not got[502].kept
     assert quality.adaptive_verdict(docs(spark, [])).count() == 0
+    clash = quality.adaptive_verdict(docs(spark, rows[:3]).withColumns({"feature": F.lit("mine"), "f0": F.lit(1)}))
+    assert {r.feature for r in clash.collect()} == {"mine"}
 
 
 def test_licences(spark):
@@ -70,24 +85,36 @@ def test_licences(spark):
 
 
 def plain_chunks(text):
-    lines = re.findall(linededup.LINE.replace(r"\z", r"\Z"), text)
+    lines = [x for x in re.findall(linededup.LINE.replace(r"\z", r"\Z"), text) if x]
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
     rot = lambda x: ((x << 1) | (x >> 63)) & (2**64 - 1)
     r = [h[i] ^ (rot(h[i - 1]) if i else 0) for i in range(len(h))]
     r = [x - 2**64 if x >= 2**63 else x for x in r]
     bounds = [0] + [i + 1 for i in range(1, len(r) - 1) if r[i] < r[i - 1] and r[i] < r[i + 1]] + [len(lines)]
-    return [("".join(lines[a:b]), b - a) for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+    return [lines[a:b] for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
 
 
 def plain_line_dedup(rows, min_words=8):
     cs = {i: plain_chunks(t) for i, t in rows}
     places = defaultdict(list)
     for i in sorted(cs):
-        for k, (c, n) in enumerate(cs[i]):
-            if n >= 2 and len(re.findall(r"[^\x20\x09-\x0D]+", c)) >= min_words:
-                places[c].append((i, k))
-    gone = {p for v in places.values() for p in v[1:]}
-    return {i: "".join(c for k, (c, _) in enumerate(cs[i]) if (i, k) not in gone) for i in cs}
+        for k, c in enumerate(cs[i]):
+            if len(c) >= 2:
+                places["".join(c)].append((i, k))
+    near = lambda c, k: (sum(c[max(k - 2, 0) : k], [])[::-1], sum(c[k + 1 : k + 3], []))
+    gone = defaultdict(set)
+    for text, v in places.items():
+        for i, k in v[1:]:
+            grown = []
+            for mine, theirs in zip(near(cs[i], k), near(cs[v[0][0]], v[0][1]), strict=True):
+                n = 0
+                while n < min(len(mine), len(theirs)) and mine[n] == theirs[n]:
+                    n += 1
+                grown.append(mine[:n])
+            if len(re.findall(r"[^\x20\x09-\x0D]+", "".join(grown[0][::-1]) + text + "".join(grown[1]))) >= min_words:
+                at = sum(map(len, cs[i][:k]))
+                gone[i] |= set(range(at - len(grown[0]), at + len(cs[i][k]) + len(grown[1])))
+    return {i: "".join(x for n, x in enumerate(sum(c, [])) if n not in gone[i]) for i, c in cs.items()}
 
 
 def test_line_dedup_matches_plain_python(spark, sf):
@@ -111,6 +138,25 @@ def test_line_dedup_finds_pasted_passages(spark):
     assert linededup.drop_repeated_chunks(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    passage = [f"One{i} alpha{i}, beta{i} gamma{i} delta{i}; " for i in range(7)]
+    rows = [(i, " ".join(f"host{i}x{k} says{k} thing{i}." for k in range(9)) + " mid " + "".join(passage) + f"tail{i} of{i} it. End{i}.", "en", "s") for i in range(300)]
+    out = {r.doc_id: r.text for r in linededup.drop_repeated_chunks(docs(spark, rows), rows_a_part=7).collect()}
+    assert out[0] == rows[0][1]
+    whole = "".join(passage).split(", ", 1)[1]
+    left = [max(n for n in range(len(whole.split()) + 1) if " ".join(whole.split()[:n]) in t or " ".join(whole.split()[-n:] if n else []) in t) for i, t in out.items() if i]
+    assert max(left) == 0
+
+
+def test_line_dedup_with_repeated_ids(spark):
+    a, b = (" ".join(f"{p}{i} alpha{i}, beta{i} gamma{i} delta{i}." for i in range(12)) for p in "pq")
+    rows = [(5, a, "en", "s"), (5, b, "en", "s"), (5, b, "en", "s"), (7, a, "en", "s"), (8, b, None, None), (9, "x\u0001y, z. " + a, "en", "s"), (10, "a " * 60000 + ". " + a, "en", "s")]
+    out = sorted((r.doc_id, r.text) for r in linededup.drop_repeated_chunks(docs(spark, rows)).collect())
+    assert [t for i, t in out if i == 5] == [a, b, b]
+    assert [t for i, t in out if i in (7, 8)] == ["", ""]
+    assert out[-2][1] == "x\u0001y, z. " and out[-1][1] == "a " * 60000 + ". "
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
