@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,9 @@ from placestat.operators.graph import checkpoint
 #: Words are what stands between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Runs of letters (category L) for Python's ``re``, whose word characters also have number signs such as ½.
+LETTERS = r"[^\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with ``value`` evaluated once."""

@@ -9,6 +9,7 @@ tokens inside tiles is its coverage: since tiles may lie in any order, a reorder
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -60,31 +61,52 @@ def _longest_run(free: list[bool]) -> int:
     return best
 
 
+def _matches(doc: list[int], item: list[int], free_d: list[bool], free_i: list[bool], size: int) -> list[tuple[int, int, int]]:
+    """Heap of (minus length, start in item, start in doc) of the unmarked matches of ``size`` tokens or more, each as long as it goes."""
+    at = defaultdict(list)
+    for d, h in _windows(doc, free_d, size):
+        at[h].append(d)
+    found = []
+    for i, h in _windows(item, free_i, size):
+        for d in at.get(h, ()):
+            if d and i and free_d[d - 1] and free_i[i - 1] and doc[d - 1] == item[i - 1] or doc[d : d + size] != item[i : i + size]:
+                continue
+            n = size
+            while d + n < len(doc) and i + n < len(item) and free_d[d + n] and free_i[i + n] and doc[d + n] == item[i + n]:
+                n += 1
+            found.append((-n, i, d))
+    heapq.heapify(found)
+    return found
+
+
 def greedy_tiles(doc: list[int], item: list[int], least: int) -> list[tuple[int, int, int]]:
     """Tiles (start in doc, start in item, length) of at least ``least`` tokens, marked longest first.
 
     Ties: the match that starts first in the item, then in the document. Tokens are positive integers; those
-    of the document that the item lacks only part its runs. No length over the longest unmarked run is tried.
+    of the document that the item lacks only part its runs. Matches are searched by Karp-Rabin hashes of a
+    length that starts at the longest unmarked run and is halved down to ``least``; of a match that a longer
+    one has cut, what is left takes its turn by its own length, if it still has the searched one.
     """
     known = set(item)
     free_d, free_i, tiles = [x in known for x in doc], [True] * len(item), []
-    length = min(_longest_run(free_d), len(item))
-    while length >= least:
-        at = defaultdict(list)
-        for d, h in _windows(doc, free_d, length):
-            at[h].append(d)
-        found = [
-            (d, i)
-            for i, h in _windows(item, free_i, length)
-            for d in at.get(h, ())
-            if doc[d : d + length] == item[i : i + length]
-        ]
-        for d, i in found:
-            if all(free_d[d : d + length]) and all(free_i[i : i + length]):
-                tiles.append((d, i, length))
-                free_d[d : d + length] = free_i[i : i + length] = [False] * length
-        length = min(length - 1, _longest_run(free_d), _longest_run(free_i))
-    return tiles
+    size = max(least, min(_longest_run(free_d), len(item)))
+    while True:
+        found = _matches(doc, item, free_d, free_i, size)
+        while found:
+            n, i, d = heapq.heappop(found)
+            begin = 0
+            for k in range(1 - n):
+                if k < -n and free_d[d + k] and free_i[i + k]:
+                    continue
+                if k == -n and begin == 0:
+                    tiles.append((d, i, k))
+                    free_d[d : d + k] = free_i[i : i + k] = [False] * k
+                elif k - begin >= size:
+                    heapq.heappush(found, (begin - k, i + begin, d + begin))
+                begin = k + 1
+        if size <= least:
+            return tiles
+        size = max(least, min(size // 2, _longest_run(free_d), _longest_run(free_i)))
 
 
 def _near_seeds(doc: list[str], item: list[str], least: int) -> tuple[list[int], list[int]]:

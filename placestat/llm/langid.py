@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placestat.llm.common import sized_broadcast
+from placestat.llm.common import LETTERS, sized_broadcast
 
-WORDS = re.compile(r"[^\W\d_]+|\n")
+WORDS = re.compile(LETTERS + r"|\n")
 CHAIN = 256
 SLOTS = 1 << 16
 UNKNOWN = "und"

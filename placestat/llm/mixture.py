@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placestat.llm.common import sized_broadcast
+from placestat.llm.common import let, sized_broadcast
 
 #: Larger means are split into equal parts of at most this, drawn apart and added.
 PART = 500.0
@@ -70,11 +70,11 @@ def poisson_mixture(
     """
     rates = source_rates(docs, source_col, weights, power, total).withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)))
     rates = rates.withColumn("__cdf", cumulative(F.col("__rate") / F.col("__parts"))).select("__source", "__parts", "__cdf")
-    joined = docs.join(sized_broadcast(rates), F.col(source_col).eqNullSafe(F.col("__source")))
+    joined = docs.join(sized_broadcast(rates, 10_000), F.col(source_col).eqNullSafe(F.col("__source")))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     draws = F.transform(
         F.sequence(F.lit(1).cast("long"), F.col("__parts").cast("long")),
-        lambda part: F.size(F.filter("__cdf", lambda c: c <= unit_hash(F.lit(str(seed)), part.cast("string"), ident))),
+        lambda part: let(unit_hash(F.lit(str(seed)), part.cast("string"), ident), lambda u: F.size(F.filter("__cdf", lambda c: c <= u))),
     )
     copies = F.aggregate(draws, F.lit(0).cast("long"), lambda a, x: a + x)
     out = joined.withColumn("n_copies", copies).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))

@@ -10,7 +10,6 @@ with the exact distance in the join condition, finds all links.
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placestat.llm.common import sized_broadcast
 from placestat.operators.graph import checkpoint, connected_components
 
 ONE64 = (1 << 64) - 1
@@ -37,19 +37,23 @@ def shingles(tokens: list[bytes], size: int) -> list[bytes]:
     return [b" ".join(t) for t in zip(*(tokens[i:] for i in range(size)), strict=False)]
 
 
-def simhash(features: list[bytes], weights: np.ndarray | None = None, seed: int = 42) -> int:
-    """Bit i is 1 if it is set in over half the (weighted) XXH64 hashes; zero without features. Signed."""
-    if not features:
+def majority(h: np.ndarray, weights: np.ndarray | None = None) -> int:
+    """Bit i is 1 if it is set in over half the (weighted) 64-bit hashes; zero without hashes. Signed."""
+    if not len(h):
         return 0
-    h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in features), dtype=np.uint64, count=len(features))
     bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     if weights is None:
-        on = 2 * bits.sum(axis=0, dtype=np.int64) > len(features)
+        on = 2 * bits.sum(axis=0, dtype=np.int64) > len(h)
     else:
         on = 2 * (weights @ bits) > weights.sum()
     return int(np.packbits(on).view(">i8")[0])
 
 
+def simhash(features: list[bytes], seed: int = 42) -> int:
+    """Fingerprint of features, repeats included, by their XXH64."""
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in features), dtype=np.uint64, count=len(features)))
+
+
 def shingle_fingerprint(text: Column, shingle: int = 4) -> Column:
     """Signed 64-bit fingerprint of the word shingles of a whole text."""
 
@@ -61,22 +65,6 @@ def shingle_fingerprint(text: Column, shingle: int = 4) -> Column:
     return udf(text)
 
 
-def word_fingerprints(text: Column, seeds: tuple[int, ...]) -> Column:
-    """One fingerprint a seed over the distinct words, each weighted by the root of its count."""
-
-    @F.pandas_udf("array<long>")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = []
-            for t in s:
-                c = Counter(words(t))
-                w = np.sqrt(np.fromiter(c.values(), dtype=np.float64, count=len(c)))
-                out.append([simhash(list(c), w, seed) for seed in seeds])
-            yield pd.Series(out)
-
-    return udf(text)
-
-
 def segments(radius: int) -> list[tuple[int, int, int]]:
     """(lowest bit, width, tolerated bits) so that the tolerances plus one add up to over the radius."""
     if not 0 <= radius <= 15:
@@ -110,21 +98,19 @@ def _variants(radius: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def links(fps: DataFrame, node: str, fp: str, radius: int = 4, within: str | None = None) -> DataFrame:
+def _keyed(fps: DataFrame, node: str, fp: str, radius: int) -> DataFrame:
+    """(node, fp, tag, bits): a row for each index key."""
+    keys = F.array(*[F.col(fp).bitwiseAND(F.lit(kept)) for *_, kept in _variants(radius)])
+    return fps.select(F.col(node).alias("node"), F.col(fp).alias("fp"), F.posexplode(keys).alias("tag", "bits"))
+
+
+def links(fps: DataFrame, node: str, fp: str, radius: int = 4) -> DataFrame:
     """(src, dst) with src < dst for nodes whose fingerprints differ by at most ``radius`` bits.
 
-    ``within`` names a column (a fingerprint's seed) that both must share. A pair is emitted only under the
-    first variant that it shares, so it comes out once a seed.
+    A pair is emitted only under the first variant that it shares, so it comes out once.
     """
     variants, segs = _variants(radius), segments(radius)
-    keyed = fps.select(
-        F.col(node).alias("node"),
-        F.col(fp).alias("fp"),
-        (F.col(within) if within else F.lit(0)).cast("int").alias("within"),
-        F.posexplode(F.array(*[F.col(fp).bitwiseAND(F.lit(kept)) for *_, kept in variants])).alias("tag", "bits"),
-    )
-    key = keyed.select("node", "fp", F.struct("within", "tag", "bits").alias("key"))
-    key = key.select("node", "fp", *[F.col(f"key.{c}").alias(c) for c in ("within", "tag", "bits")])
+    key = _keyed(fps, node, fp, radius)
     a, b = key.alias("a"), key.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     differ = [F.bit_count(diff.bitwiseAND(F.lit(_mask(low, width)))) for low, width, _ in segs]
@@ -136,12 +122,25 @@ def links(fps: DataFrame, node: str, fp: str, radius: int = 4, within: str | Non
         for r in range(s):
             here = here & (differ[r] > segs[r][2])
         canonical = canonical | (here & ((differ[s] == 1) | (F.col("a.tag") == first_of[s])))
-    same = (F.col("a.within") == F.col("b.within")) & (F.col("a.tag") == F.col("b.tag")) & (F.col("a.bits") == F.col("b.bits"))
+    same = (F.col("a.tag") == F.col("b.tag")) & (F.col("a.bits") == F.col("b.bits"))
     return a.join(b, same & (F.col("a.node") < F.col("b.node")) & (F.bit_count(diff) <= radius) & canonical).select(
         F.col("a.node").alias("src"), F.col("b.node").alias("dst")
     )
 
 
+def hub_links(fps: DataFrame, node: str, fp: str, radius: int) -> DataFrame:
+    """(src, dst): under each index key the least node with every other within ``radius`` bits of it.
+
+    As many rows at most as there are keys, however many nodes share one; not all links, but enough of them
+    to join most large groups. The least node of a key is found with map-side minima.
+    """
+    keyed = _keyed(fps, node, fp, radius)
+    hubs = keyed.groupBy("tag", "bits").agg(F.min(F.struct("node", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= radius
+    pairs = keyed.join(sized_broadcast(hubs), ["tag", "bits"]).where((F.col("hub.node") < F.col("node")) & near)
+    return pairs.select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
@@ -216,22 +215,27 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-6)) + 1 if n else 0
 
 
-def shingle_prefix(text: Column, size: int, similarity: float, frequent: np.ndarray) -> Column:
-    """(n, prefix): the number of distinct shingles and the first of them, by hash, the ``frequent`` last."""
+def text_signatures(text: Column, size: int, similarity: float, frequent: np.ndarray) -> Column:
+    """(fp, n, prefix): fingerprint of the distinct words, each weighted by the root of its count; number of
+    distinct shingles; the first of them, by hash, the ``frequent`` last."""
 
-    @F.pandas_udf("struct<n:int,prefix:array<long>>")
+    @F.pandas_udf("struct<fp:long,n:int,prefix:array<long>>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _WordHashes()
         for s in batches:
-            ns, out = [], []
+            fps, ns, out = [], [], []
             for t in s:
-                hs = shingle_set(words(t), size, known)
+                ws = words(t)
+                c = Counter(ws)
+                h = np.fromiter(map(known.__getitem__, c), dtype=np.uint64, count=len(c))
+                fps.append(majority(h, np.sqrt(np.fromiter(c.values(), dtype=np.float64, count=len(c)))))
+                hs = shingle_set(ws, size, known)
                 if len(frequent):
                     last = frequent[np.minimum(np.searchsorted(frequent, hs), len(frequent) - 1)] == hs
                     hs = np.concatenate([hs[~last], hs[last]])
                 ns.append(len(hs))
                 out.append(hs[: prefix_length(len(hs), similarity)])
-            yield pd.DataFrame({"n": np.array(ns, dtype=np.int32), "prefix": pd.Series(out, dtype=object)})
+            yield pd.DataFrame({"fp": np.array(fps, dtype=np.int64), "n": np.array(ns, dtype=np.int32), "prefix": pd.Series(out, dtype=object)})
 
     return udf(text)
 
@@ -239,26 +243,18 @@ def shingle_prefix(text: Column, size: int, similarity: float, frequent: np.ndar
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """(src, dst) of all sets in different groups that can be as similar as that: a superset, complete.
 
-    ``sets`` has id, n, prefix and grp, null for a set alone. A pair shares an element of its prefixes, and
-    at the first shared one each has enough elements left for the overlap that its sizes ask for.
+    ``sets`` has id, n, prefix and grp. A pair shares an element of its prefixes, and at the first shared one
+    each has enough elements left for the overlap that its sizes ask for.
     """
-    rows = sets.select("id", "n", "grp", F.posexplode("prefix").alias("pos", "h"))
-    a, b = rows.alias("a"), rows.alias("b")
-    least = F.lit(similarity / (1 + similarity)) * (F.col("a.n") + F.col("b.n")) - F.lit(1e-6)
-    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
-    return (
-        a.join(
-            b,
-            (F.col("a.h") == F.col("b.h"))
-            & smaller
-            & (F.col("a.n") - F.col("a.pos") >= least)
-            & (F.col("b.n") - F.col("b.pos") >= least)
-            & (F.col("a.n") >= least)
-            & F.coalesce(F.col("a.grp") != F.col("b.grp"), F.lit(True)),
-        )
-        .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
-        .distinct()
-    )
+    rows = sets.select("id", "grp", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "id", "grp", F.struct("n", "pos").alias("x"))
+    rows = rows.select("h", "id", "grp", (F.shiftleft(F.col("x.n").cast("long"), 32) + F.col("x.pos")).alias("x"))
+    n = lambda side: F.shiftright(F.col(f"{side}.x"), 32)
+    left = lambda side: n(side) - F.col(f"{side}.x").bitwiseAND(F.lit((1 << 32) - 1))
+    least = F.lit(similarity / (1 + similarity)) * (n("a") + n("b")) - F.lit(1e-6)
+    smaller = (n("a") < n("b")) | ((n("a") == n("b")) & (F.col("a.id") < F.col("b.id")))
+    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.grp") != F.col("b.grp"))
+    pairs = rows.alias("a").join(rows.alias("b"), same & smaller & (left("a") >= least) & (left("b") >= least) & (n("a") >= least))
+    return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -277,54 +273,41 @@ def _similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     return checkpoint(near)
 
 
-def _free(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of finished steps; else they stay until the driver collects its garbage."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def near_duplicate_survivors(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
     similarity: float = 0.8,
-    radius: int = 4,
-    seeds: tuple[int, ...] = (42, 43, 44),
+    radius: int = 3,
 ) -> DataFrame:
     """The rows of ``docs`` with one document, the least id, of each near-duplicate group.
 
     A pair is a link if the Jaccard similarity of the sets of ``shingle``-word windows is at least
-    ``similarity``; equal texts are always linked. Candidates: word fingerprints (root-of-count weights, one
-    a seed) within ``radius`` bits, by the deletion-variant index, which link most large groups cheaply; then
-    every pair not yet in one group that shares a shingle of its prefixes (prefix filter), which leaves out
-    no pair of that similarity, wherever the texts differ. Every candidate is verified. Groups are the
-    connected components. Texts without a word are equal only to the same text. Rows with a null id are
-    kept as they are; a row that repeats another with its id and text is kept once. All columns stay.
+    ``similarity``; equal texts are always linked. Candidates: word fingerprints within ``radius`` bits of the
+    least of their deletion-variant key, which link most large groups cheaply; then every pair not yet in one
+    group that shares a shingle of its prefixes (prefix filter), which leaves out no pair of that similarity,
+    wherever the texts differ. Every candidate is verified. Groups are the connected components. Texts without
+    a word are equal only to the same text. Rows with a null id are kept as they are; a row that repeats
+    another with its id and text is kept once. All columns stay.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     frequent = frequent_shingles(docs, id_col, text_col, shingle)
-    _free(docs)
     f = checkpoint(
         docs.where(F.col(id_col).isNotNull()).select(
             F.col(id_col).alias("id"),
             F.concat(digest, F.when(F.col(text_col).isNull(), "n").otherwise("")).alias("digest"),
-            word_fingerprints(F.col(text_col), seeds).alias("fps"),
-            shingle_prefix(F.col(text_col), shingle, similarity, frequent).alias("s"),
+            text_signatures(F.col(text_col), shingle, similarity, frequent).alias("s"),
         )
     )
-    reps = checkpoint(f.groupBy("digest").agg(F.min("id").alias("id"), F.min("fps").alias("fps")))
-    spread = reps.select("id", F.posexplode("fps").alias("seed", "fp")).where("fp <> 0")
-    pairs = checkpoint(links(spread, "id", "fp", radius, within="seed").distinct())
-    _free(docs)
+    reps = checkpoint(f.groupBy("digest").agg(F.min(F.struct("id", "s.fp")).alias("x")).select("x.id", "digest", "x.fp"))
+    pairs = checkpoint(hub_links(reps.where("fp <> 0"), "id", "fp", radius))
     groups = checkpoint(connected_components(_similar(pairs, docs, id_col, text_col, shingle, similarity)))
-    _free(docs)
     grouped = reps.select("id", "digest").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
+    grouped = grouped.withColumn("grp", F.coalesce("grp", "id"))
     sets = f.select("id", "digest", "s.n", "s.prefix").join(grouped, ["id", "digest"]).dropDuplicates(["id", "digest"])
     rest = checkpoint(prefix_pairs(sets, similarity))
-    _free(docs)
     near = _similar(rest, docs, id_col, text_col, shingle, similarity)
-    _free(docs)
     comp = connected_components(near.union(groups.select("node", "component")))
     gone = comp.where("node <> component").select(F.col("node").alias("id"))
     keep = reps.select("id", "digest").join(gone, "id", "left_anti")

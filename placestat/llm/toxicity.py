@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placestat.llm.common import sized_broadcast
+from placestat.llm.common import LETTERS, sized_broadcast
 from placestat.operators.graph import checkpoint
 
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(LETTERS)
 #: Lengths of the word beginnings that are features beside the words, for inflected forms.
 PREFIXES = (4, 5)
 
@@ -175,11 +175,12 @@ def chain_probabilities(
     known = known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     chosen = sized_broadcast(known.orderBy(F.md5(F.col("id").cast("string")), "id").limit(max_train), max_train)
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(chosen, "id").dropDuplicates(["id"])
+    train = train.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         y = pdf[categories].to_numpy(dtype=float)
-        models = fit_chain(list(pdf["t"]), y, pdf["id"].to_numpy() % folds, vocabulary, min_texts, reg, iterations)
+        models = fit_chain(list(pdf["t"]), y, pdf["fold"].to_numpy(), vocabulary, min_texts, reg, iterations)
         return pd.DataFrame({"model": [pickle.dumps(models)]})
 
     found = checkpoint(train.groupBy().applyInPandas(fit, "model binary")).collect()

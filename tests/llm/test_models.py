@@ -164,3 +164,19 @@ def test_language_of_a_long_run_without_blanks():
     shared = "x" * 30
     got = langid.text_languages(model, [shared + run(lang, 60) + shared for lang in ("zh", "ja")], langid.WordScores(model))
     assert [g[0] for g in got] == ["zh", "ja"] and all(g[1] > 0.99 for g in got)
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    rows = [(i, "the quick brown fox and the lazy dog " * 3, "en") for i in range(30)] + [(100 + i, "der schnelle braune fuchs und der faule hund " * 3, "de") for i in range(30)]
+    odd = [(200, "½ ² Ⅷ 12_3 — !", "en"), (201, None, "en"), (202, "", None), (203, "½und²der Ⅷ fuchs", None), (204, "und der hund " * 40000, None)]
+    d = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.label_languages(d, F.col("doc_id") < 200).collect()}
+    assert [got[i].lang_pred for i in (200, 201, 202)] == ["und"] * 3
+    assert got[203].lang_pred == got[204].lang_pred == "de"
+
+
+def test_the_chain_takes_text_ids(spark):
+    rows = [(f"d{i}", "nasty awful words here" if i % 2 else "a kind remark there") for i in range(60)]
+    labels = spark.createDataFrame([(k, i % 2, i % 2) for i, (k, _) in enumerate(rows)], "doc_id string, low int, toxic int")
+    got = {r.doc_id: r.p_toxic for r in toxicity.chain_probabilities(spark.createDataFrame(rows, "doc_id string, text string"), labels, ["low", "toxic"]).collect()}
+    assert all((p >= 0.5) == (int(k[1:]) % 2 == 1) for k, p in got.items())

@@ -136,7 +136,7 @@ def test_prefix_pairs_hold_every_similar_pair(spark):
         base = rng.sample(range(1000 * g, 1000 * g + 900), rng.choice((1, 2, 4, 5, 9, 10, 50, 100)))
         for drop in (0, 1, 2, 5, 10, 20):
             sets[len(sets)] = set(base[drop % len(base) :]) | {1000 * g + 900 + i for i in range(drop % 7)}
-    rows = [(i, len(s), sorted(s)[: simhash.prefix_length(len(s), 0.8)], None) for i, s in sets.items()]
+    rows = [(i, len(s), sorted(s)[: simhash.prefix_length(len(s), 0.8)], i) for i, s in sets.items()]
     got = simhash.prefix_pairs(spark.createDataFrame(rows, "id long, n int, prefix array<long>, grp long"), 0.8).collect()
     found = {frozenset((r.src, r.dst)) for r in got}
     near = {frozenset((i, j)) for i in sets for j in sets if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
@@ -169,6 +169,40 @@ def test_tiles_match_the_definition(doc, item):
     assert sorted(decontaminate.greedy_tiles(doc, item, 3)) == sorted(plain_tiles(doc, item, 3))
 
 
+def test_tiling_a_long_item_with_a_changed_word_is_quick():
+    item = list(range(1, 20_001))
+    doc = [50_000 + i % 7 for i in range(3000)] + item[:9000] + [60_000] + item[9001:] + item[100:140]
+    assert sorted(decontaminate.greedy_tiles(doc, item, 5)) == [(3000, 0, 9000), (12001, 9001, 10999)]
+    assert decontaminate.greedy_tiles([1] * 300, [1] * 120, 5) == [(0, 0, 120)]
+
+
+def plain_tiles(doc, item, least):
+    free_d, free_i, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and free_d[d + n] and free_i[i + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (d, i, n)
+        if best is None:
+            return tiles
+        d, i, n = best
+        tiles.append(best)
+        free_d[d : d + n] = free_i[i : i + n] = [False] * n
+
+
+def test_tiles_match_plain_python():
+    rng = random.Random(5)
+    for _ in range(150):
+        item = [rng.randrange(1, 5) for _ in range(rng.randrange(1, 40))]
+        doc = [rng.randrange(1, 6) for _ in range(20)] + item[: rng.randrange(1, 40)] + [9] + item[rng.randrange(0, 20) :]
+        for least in (2, 5):
+            assert decontaminate.greedy_tiles(doc, item, least) == plain_tiles(doc, item, least)
+
+
 def test_cutting_down_to_seeds_keeps_the_tiles():
     rng = random.Random(9)
     for _ in range(60):
