@@ -42,7 +42,7 @@ def rolling(hashes: Column) -> Column:
 
 
 def bounds(hashes: Column) -> Column:
-    """Line numbers at which chunks begin, from 0, and the number of lines at the end."""
+    """Line numbers at which chunks begin, from 0, and the number of lines at the end. Bind ``hashes`` first."""
 
     def minima(roll: Column) -> Column:
         inner = F.filter(
@@ -100,7 +100,7 @@ def with_surroundings(text: Column, wanted: Column) -> Column:
 
         return F.transform(wanted, one)
 
-    return let(text_lines(text), lambda ls: let(bounds(_hashes(ls)), lambda bs: of(ls, bs)))
+    return let(text_lines(text), lambda ls: let(let(_hashes(ls), bounds), lambda bs: of(ls, bs)))
 
 
 def _same(mine: Column, theirs: Column) -> Column:
@@ -144,7 +144,7 @@ def without(text: Column, gone: Column, min_words: int) -> Column:
             ),
         )
 
-    return let(text_lines(text), lambda ls: let(bounds(_hashes(ls)), lambda bs: of(ls, bs)))
+    return let(text_lines(text), lambda ls: let(let(_hashes(ls), bounds), lambda bs: of(ls, bs)))
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, rows_a_part: int = 1000) -> DataFrame:
