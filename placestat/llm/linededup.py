@@ -86,13 +86,15 @@ def signatures(text: Column) -> Column:
 
 
 def with_surroundings(text: Column, wanted: Column) -> Column:
-    """Array of (h, body, before, after) for an array of (at, h): the chunk, and the lines of two chunks to each side, nearest first."""
+    """Array of (h, parts, body, before, after) for an array of (at, h, parts): the chunk, and the lines of
+    two chunks to each side, nearest first."""
 
     def of(ls: Column, bs: Column) -> Column:
         def one(o: Column) -> Column:
             k = o["at"] + 1
             return F.struct(
                 o["h"].alias("h"),
+                o["parts"].alias("parts"),
                 F.array_join(_between(ls, _line_at(bs, k), _line_at(bs, k + 1)), "").alias("body"),
                 F.reverse(_between(ls, _line_at(bs, k - 2), _line_at(bs, k))).alias("before"),
                 _between(ls, _line_at(bs, k + 1), _line_at(bs, k + 3)).alias("after"),
@@ -109,40 +111,27 @@ def _same(mine: Column, theirs: Column) -> Column:
 
 
 def without(text: Column, gone: Column, min_words: int) -> Column:
-    """(text, removed): the text rid of the chunks in ``gone`` (a map from chunk number to body, before and
-    after) that are byte for byte the same, and of the equal lines next to them; the number of those chunks."""
+    """(text, removed): the text rid of the chunks in ``gone`` (array of at, body, before, after, by at) that
+    are byte for byte the same, and of the equal lines next to them; the number of those chunks."""
 
     def of(ls: Column, bs: Column) -> Column:
-        def hit(k: Column) -> Column:
+        def run(e: Column) -> Column:
+            k = e["at"] + 1
             low, high = _line_at(bs, k), _line_at(bs, k + 1)
+            begin = low - _same(F.reverse(_between(ls, _line_at(bs, k - 2), low)), e["before"])
+            end = high + _same(_between(ls, high, _line_at(bs, k + 3)), e["after"])
+            long = lambda r: F.when(F.regexp_count(F.array_join(_between(ls, r["begin"], r["end"]), ""), F.lit(WORD)) >= min_words, r)
+            return F.when(F.array_join(_between(ls, low, high), "") == e["body"], let(F.struct(begin.alias("begin"), end.alias("end")), long))
 
-            def grown(e: Column) -> Column:
-                before = _same(F.reverse(_between(ls, _line_at(bs, k - 2), low)), e["before"])
-                after = _same(_between(ls, high, _line_at(bs, k + 3)), e["after"])
-                reach = F.struct(before.alias("before"), after.alias("after"))
-                return let(reach, lambda r: F.when(F.regexp_count(F.array_join(_between(ls, low - r["before"], high + r["after"]), ""), F.lit(WORD)) >= min_words, r))
+        def rest(runs: Column) -> Column:
+            # a run reaches into two chunks to either side, so only three neighbours can overlap it
+            at = lambda j, side, other: F.coalesce(F.try_element_at(runs, F.when((j >= 1) & (j <= F.size(runs)), j))[side], other)
+            ended = lambda j: F.greatest(*[at(j - back, "end", F.lit(0)) for back in (1, 2, 3)])
+            begins = lambda j: F.least(*[at(j + on, "begin", F.size(ls)) for on in (0, 1, 2)])
+            pieces = F.transform(F.sequence(F.lit(1), F.size(runs) + 1), lambda j: F.array_join(_between(ls, ended(j), begins(j)), ""))
+            return F.struct(F.array_join(pieces, "").alias("text"), F.size(runs).alias("removed"))
 
-            e = F.try_element_at(gone, k - 1)
-            return F.when(e.isNotNull() & (F.array_join(_between(ls, low, high), "") == e["body"]), let(e, grown))
-
-        def left(hits: Column, k: Column) -> Column:
-            def reach(j: Column, side: str) -> Column:
-                found = F.try_element_at(hits, F.when((j >= 1) & (j <= F.size(hits)), j))
-                return F.coalesce(found[side], F.lit(0))
-
-            size = lambda j: _line_at(bs, j + 1) - _line_at(bs, j)
-            front = F.greatest(reach(k - 1, "after"), reach(k - 2, "after") - size(k - 1))
-            back = F.greatest(reach(k + 1, "before"), reach(k + 2, "before") - size(k + 1))
-            low, high = _line_at(bs, k), _line_at(bs, k + 1)
-            return F.when(F.element_at(hits, k).isNotNull(), F.lit("")).otherwise(F.array_join(_between(ls, low + front, high - back), ""))
-
-        return let(
-            F.transform(_count(bs), hit),
-            lambda hits: F.struct(
-                F.array_join(F.transform(_count(bs), lambda k: left(hits, k)), "").alias("text"),
-                F.size(F.filter(hits, lambda x: x.isNotNull())).alias("removed"),
-            ),
-        )
+        return let(F.filter(F.transform(gone, run), lambda r: r.isNotNull()), rest)
 
     return let(text_lines(text), lambda ls: let(let(_hashes(ls), bounds), lambda bs: of(ls, bs)))
 
@@ -164,27 +153,24 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sent in one copy for each ``rows_a_part`` repeats, so that no task gets them all.
     """
     usable = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    whole = docs.where(usable).withColumn("__digest", F.xxhash64(text_col))
-    ident = [F.col(id_col).alias("id"), F.col("__digest").alias("digest")]
-    rows = whole.select(*ident, F.posexplode(signatures(F.col(text_col))).alias("at", "c")).where("c.lines >= 2")
+    whole, digest = docs.where(usable), F.xxhash64(text_col)
+    rows = whole.select(F.col(id_col).alias("id"), digest.alias("digest"), F.posexplode(signatures(F.col(text_col))).alias("at", "c")).where("c.lines >= 2")
     sig = checkpoint(rows.select("id", "digest", "at", F.col("c.h").alias("h")))
-    first = F.min(F.struct("id", "digest", "at"))
-    seen = sig.groupBy("h").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
-    found = checkpoint(sig.join(seen, "h"))
     mine = F.struct("id", "digest", "at")
-    parts = F.ceil(F.col("n") / rows_a_part).cast("int")
-    stays = found.where(mine == F.col("first")).select("id", "digest", "at", "h", parts.alias("parts")).distinct()
-    per_owner = stays.groupBy(F.col("id").alias("__own"), F.col("digest").alias("__own_digest")).agg(F.collect_list(F.struct("at", "h")).alias("own"), F.map_from_entries(F.collect_list(F.struct("h", "parts"))).alias("parts"))
-    held = whole.join(per_owner, (F.col(id_col) == F.col("__own")) & (F.col("__digest") == F.col("__own_digest")))
-    held = held.select("parts", F.explode(with_surroundings(F.col(text_col), F.col("own"))).alias("x"))
-    held = held.select("x.*", F.explode(F.sequence(F.lit(0), F.element_at("parts", F.col("x.h")) - 1)).alias("part")).dropDuplicates(["h", "part"])
-    again = found.where(mine != F.col("first")).select("id", "digest", "at", "h", F.pmod(F.xxhash64("id", "at"), parts.cast("long")).cast("int").alias("part"))
-    gone = again.join(held, ["h", "part"]).groupBy(F.col("id").alias("__id"), F.col("digest").alias("__gone_digest"))
-    gone = gone.agg(F.map_from_entries(F.collect_set(F.struct("at", F.struct("body", "before", "after")))).alias("__gone"))
-
-    out = whole.join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__digest") == F.col("__gone_digest")), "left").drop("__id", "__gone_digest", "__digest")
-    out = out.unionByName(docs.where(~usable), allowMissingColumns=True)
-    rest = F.when(F.col("__gone").isNotNull(), without(F.col(text_col), F.col("__gone"), min_words))
+    seen = sig.groupBy("h").agg(F.count("*").alias("n"), F.min(mine).alias("first")).where("n > 1")
+    found = checkpoint(sig.join(seen, "h").withColumn("parts", F.ceil(F.col("n") / rows_a_part).cast("int")))
+    stays = found.where(mine == F.col("first")).select("id", "digest", "at", "h", "parts").distinct()
+    per_owner = stays.groupBy(F.col("id").alias("__own")).agg(F.collect_list(F.struct("digest", "at", "h", "parts")).alias("own"))
+    own = let(digest, lambda d: F.filter("own", lambda o: o["digest"] == d))
+    held = whole.join(per_owner, F.col(id_col) == F.col("__own")).select(F.explode(with_surroundings(F.col(text_col), own)).alias("x"))
+    held = held.select("x.h", "x.body", "x.before", "x.after", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part")).dropDuplicates(["h", "part"])
+    again = found.where(mine != F.col("first")).select("id", "digest", "at", "h", F.pmod(F.xxhash64("id", "at"), F.col("parts").cast("long")).cast("int").alias("part"))
+    gone = again.join(held, ["h", "part"]).groupBy(F.col("id").alias("__id"))
+    gone = gone.agg(F.collect_set(F.struct("digest", "at", "body", "before", "after")).alias("__gone"))
+
+    out = whole.join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id").unionByName(docs.where(~usable), allowMissingColumns=True)
+    listed = let(digest, lambda d: F.array_sort(F.filter("__gone", lambda e: e["digest"] == d)))
+    rest = F.when(F.col("__gone").isNotNull(), let(listed, lambda g: without(F.col(text_col), g, min_words)))
     out = out.withColumn("__rest", rest).withColumn("__text", F.coalesce(F.col("__rest.text"), F.col(text_col)))
     out = out.withColumn("n_chunks_removed", F.coalesce(F.col("__rest.removed"), F.lit(0)).cast("long"))
     lost = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) - F.char_length(F.coalesce("__text", F.lit("")))
