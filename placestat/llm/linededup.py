@@ -10,7 +10,7 @@ the repeat is followed line by line into the two chunks on either side, so that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placestat.llm.common import WORD, let
@@ -112,15 +112,18 @@ def _same(mine: Column, theirs: Column) -> Column:
 
 def without(text: Column, gone: Column, min_words: int) -> Column:
     """(text, removed): the text rid of the chunks in ``gone`` (array of at, body, before, after, by at) that
-    are byte for byte the same, and of the equal lines next to them; the number of those chunks."""
+    are byte for byte the same, and of the equal lines next to them; the number of those chunks. A null
+    before or after says that the chunk on that side is in ``gone`` as well, from the same place."""
 
     def of(ls: Column, bs: Column) -> Column:
         def run(e: Column) -> Column:
             k = e["at"] + 1
             low, high = _line_at(bs, k), _line_at(bs, k + 1)
-            begin = low - _same(F.reverse(_between(ls, _line_at(bs, k - 2), low)), e["before"])
-            end = high + _same(_between(ls, high, _line_at(bs, k + 3)), e["after"])
-            long = lambda r: F.when(F.regexp_count(F.array_join(_between(ls, r["begin"], r["end"]), ""), F.lit(WORD)) >= min_words, r)
+            begin = low - F.coalesce(_same(F.reverse(_between(ls, _line_at(bs, k - 2), low)), e["before"]), F.lit(0))
+            end = high + F.coalesce(_same(_between(ls, high, _line_at(bs, k + 3)), e["after"]), F.lit(0))
+            inside = e["before"].isNull() | e["after"].isNull()
+            words = lambda r: F.regexp_count(F.array_join(_between(ls, r["begin"], r["end"]), ""), F.lit(WORD))
+            long = lambda r: F.when(inside | (words(r) >= min_words), r)
             return F.when(F.array_join(_between(ls, low, high), "") == e["body"], let(F.struct(begin.alias("begin"), end.alias("end")), long))
 
         def rest(runs: Column) -> Column:
@@ -141,8 +144,8 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A chunk of two lines or more that occurs more than once in the corpus stays only where it first stands in
     the text with the least id. Candidates are found by 64-bit hash and removed only if they are byte for
-    byte the chunk that stays; equal lines next to it, in the two chunks on either side, go with it. Runs of
-    fewer than ``min_words`` words stay: two short clauses are common in clean texts. A line goes only if it
+    byte the chunk that stays; equal lines next to it, in the two chunks on either side, go with it. A run of
+    one chunk and fewer than ``min_words`` words stays: two short clauses are common in clean texts. A line goes only if it
     stays in an earlier place, so one copy of everything is left. A text may become empty; its row stays.
     Null texts, and rows with a null id, are left as they are and not counted. Rows with the same id and text
     share decisions; rows with the same id and other texts have their own. Input columns named like a new one
@@ -164,9 +167,14 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = let(digest, lambda d: F.filter("own", lambda o: o["digest"] == d))
     held = whole.join(per_owner, F.col(id_col) == F.col("__own")).select(F.explode(with_surroundings(F.col(text_col), own)).alias("x"))
     held = held.select("x.h", "x.body", "x.before", "x.after", F.explode(F.sequence(F.lit(0), F.col("x.parts") - 1)).alias("part")).dropDuplicates(["h", "part"])
-    again = found.where(mine != F.col("first")).select("id", "digest", "at", "h", F.pmod(F.xxhash64("id", "at"), F.col("parts").cast("long")).cast("int").alias("part"))
+    again = found.where(mine != F.col("first"))
+    near = lambda by: F.coalesce(F.lag(F.struct("at", "first"), by).over(Window.partitionBy("id", "digest").orderBy("at")), F.struct(F.lit(-9).alias("at"), F.col("first")))
+    goes_on = lambda x, by: (x["at"] == F.col("at") - by) & (x["first"] == F.struct("first.id", "first.digest", (F.col("first.at") - by).alias("at")))
+    again = again.withColumns({"inside": goes_on(near(1), 1), "goes_on": goes_on(near(-1), -1)})
+    again = again.select("id", "digest", "at", "h", "inside", "goes_on", F.pmod(F.xxhash64("id", "at"), F.col("parts").cast("long")).cast("int").alias("part"))
     gone = again.join(held, ["h", "part"]).groupBy(F.col("id").alias("__id"))
-    gone = gone.agg(F.collect_set(F.struct("digest", "at", "body", "before", "after")).alias("__gone"))
+    sides = (F.when(~F.col("inside"), F.col("before")).alias("before"), F.when(~F.col("goes_on"), F.col("after")).alias("after"))
+    gone = gone.agg(F.collect_set(F.struct("digest", "at", "body", *sides)).alias("__gone"))
 
     out = whole.join(gone, F.col(id_col) == F.col("__id"), "left").drop("__id").unionByName(docs.where(~usable), allowMissingColumns=True)
     listed = let(digest, lambda d: F.array_sort(F.filter("__gone", lambda e: e["digest"] == d)))

@@ -103,6 +103,7 @@ def plain_line_dedup(rows, min_words=8):
                 places["".join(c)].append((i, k))
     near = lambda c, k: (sum(c[max(k - 2, 0) : k], [])[::-1], sum(c[k + 1 : k + 3], []))
     gone = defaultdict(set)
+    first = {p: v[0] for v in places.values() for p in v[1:]}
     for text, v in places.items():
         for i, k in v[1:]:
             grown = []
@@ -111,7 +112,8 @@ def plain_line_dedup(rows, min_words=8):
                 while n < min(len(mine), len(theirs)) and mine[n] == theirs[n]:
                     n += 1
                 grown.append(mine[:n])
-            if len(re.findall(r"[^\x20\x09-\x0D]+", "".join(grown[0][::-1]) + text + "".join(grown[1]))) >= min_words:
+            beside = any(first.get((i, k + by)) == (v[0][0], v[0][1] + by) for by in (-1, 1))
+            if beside or len(re.findall(r"[^\x20\x09-\x0D]+", "".join(grown[0][::-1]) + text + "".join(grown[1]))) >= min_words:
                 at = sum(map(len, cs[i][:k]))
                 gone[i] |= set(range(at - len(grown[0]), at + len(cs[i][k]) + len(grown[1])))
     return {i: "".join(x for n, x in enumerate(sum(c, [])) if n not in gone[i]) for i, c in cs.items()}
