@@ -259,7 +259,7 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 
 def _similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles have at least that Jaccard similarity."""
-    wanted = pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct()
+    wanted = sized_broadcast(pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct(), 2_000_000)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
     sets = checkpoint(texts.select("id", _shingle_hashes(F.col("t"), shingle).alias("hs"))).dropDuplicates(["id"])
     a = sets.select(F.col("id").alias("src"), F.col("hs").alias("ha"))
@@ -306,7 +306,7 @@ def near_duplicate_survivors(
     grouped = reps.select("id", "digest").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
     grouped = grouped.withColumn("grp", F.coalesce("grp", "id"))
     sets = f.select("id", "digest", "s.n", "s.prefix").join(grouped, ["id", "digest"]).dropDuplicates(["id", "digest"])
-    rest = checkpoint(prefix_pairs(sets, similarity))
+    rest = checkpoint(prefix_pairs(checkpoint(sets.drop("digest")), similarity))
     near = _similar(rest, docs, id_col, text_col, shingle, similarity)
     comp = connected_components(near.union(groups.select("node", "component")))
     gone = comp.where("node <> component").select(F.col("node").alias("id"))

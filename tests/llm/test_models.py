@@ -88,12 +88,12 @@ def tiny():
     parts = ((spelled, mixing_lm.slots(code, s, x, bits, spelled)) for g in mixing_lm.batches(iter(token_lists)) for spelled, s, x, _ in mixing_lm.pieces(code, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, g))))
     stream = ((ids, b, spelled) for spelled, (_, ids, b) in parts)
     mixer = mixing_lm.fit_mixer(stream, table)
-    return code, mixing_lm.pack(table), bits, mixer.weights, mixer.log10_table()
+    return code, mixing_lm.pack(table), bits, mixing_lm.Folded.of(mixer)
 
 
 def test_probabilities_of_all_next_tokens_add_up_to_one_at_most(tiny):
-    code, table, bits, weights, logs = tiny
-    score = lambda ts: mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, ts)), len(ts))
+    code, table, bits, mixer = tiny
+    score = lambda ts: mixing_lm.text_log10(code, table, bits, mixer, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, ts)), len(ts))
     # texts of at most two tokens of the vocabulary: a sum over a part of all texts stays below 1
     vocabulary = [w for w in code.rank if w]
     texts = [[]] + [[a] for a in vocabulary] + [[a, b] for a in vocabulary for b in vocabulary]
@@ -104,10 +104,10 @@ def test_probabilities_of_all_next_tokens_add_up_to_one_at_most(tiny):
 
 
 def test_scores_do_not_depend_on_the_batch(tiny):
-    code, table, bits, weights, logs = tiny
+    code, table, bits, mixer = tiny
     texts = [b"a b c".split(), b"unseen words here".split(), [], b"a".split() * 50000]
-    together = mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, texts)), 4)
-    alone = [mixing_lm.text_log10(code, table, bits, weights, logs, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, [t])), 1)[0] for t in texts]
+    together = mixing_lm.text_log10(code, table, bits, mixer, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, texts)), 4)
+    alone = [mixing_lm.text_log10(code, table, bits, mixer, mixing_lm.symbols(code, mixing_lm.Tokens.of(code, [t])), 1)[0] for t in texts]
     assert np.allclose(together, alone)
 
 
@@ -116,7 +116,7 @@ def test_lm_scores_and_base(spark, vocabulary):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-2, ""), (None, "the")], "doc_id long, text string")
     d = d.union(odd)
-    out = mixing_lm.score_texts(d, held_out(7) != 2, vocabulary=vocabulary, table_bits=18, mixer_texts=50).collect()
+    out = mixing_lm.score_texts(d, held_out(7) != 2, vocabulary=vocabulary, max_table_bits=18).collect()
     rows = d.collect()
     train = [mixing_lm.words(r.text) for r in rows if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
     c = Counter(w for t in train for w in [*t, b""])
@@ -128,7 +128,7 @@ def test_lm_scores_and_base(spark, vocabulary):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
         assert r.score < 0
-    assert mixing_lm.score_texts(d.limit(0), F.lit(True), table_bits=16).count() == 0
+    assert mixing_lm.score_texts(d.limit(0), F.lit(True)).count() == 0
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -180,3 +180,34 @@ def test_the_chain_takes_text_ids(spark):
     labels = spark.createDataFrame([(k, i % 2, i % 2) for i, (k, _) in enumerate(rows)], "doc_id string, low int, toxic int")
     got = {r.doc_id: r.p_toxic for r in toxicity.chain_probabilities(spark.createDataFrame(rows, "doc_id string, text string"), labels, ["low", "toxic"]).collect()}
     assert all((p >= 0.5) == (int(k[1:]) % 2 == 1) for k, p in got.items())
+
+
+def test_large_counts_keep_their_odds():
+    got = mixing_lm.fitted(np.array([2**33, 2**31, 5, 7, 0, 2**31 - 1], dtype=np.int64))
+    assert got.tolist() == [2**30, 2**28, 5, 7, 0, 2**31 - 1]
+
+
+def test_the_table_grows_with_the_corpus():
+    assert [mixing_lm.bits_for(n, 25) for n in (0, 1000, 1 << 20, 1 << 24, 1 << 40)] == [16, 16, 17, 21, 25]
+
+
+def test_the_score_is_the_sum_of_mixed_bits():
+    texts = [mixing_lm.words(t) for t in ("a b a c", "b a b", "a c zz a b a")]
+    counts = Counter(w for t in texts for w in t)
+    counts[mixing_lm.END] = 3
+    code = mixing_lm.Code.build([(w, n) for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if n > 1], 2)
+    rng = np.random.default_rng(3)
+    table = mixing_lm.pack(rng.integers(0, 40, (2, 1 << 16)))
+    mixer = mixing_lm.Mixer(rng.normal(0.3, 0.1, (4, mixing_lm.GATES)), np.tile(1 / (1 + np.exp(-(np.arange(mixing_lm.STEPS) / 2 - 8))), (mixing_lm.GATES, 1)))
+    columns = mixing_lm.symbols(code, mixing_lm.Tokens.of(code, texts))
+    got = mixing_lm.text_log10(code, table, 16, mixing_lm.Folded.of(mixer), columns, 3)
+    want = np.zeros(3)
+    for spelled, sym, contexts, owner in mixing_lm.pieces(code, columns):
+        ends, ids, bits = mixing_lm.slots(code, sym, contexts, 16, spelled)
+        for k, bit in enumerate(bits):
+            seen = [int(table[x[k]]) for x in ids]
+            gate = 16 * spelled + 4 * (seen[1] & 3) + (seen[2] & 3)
+            x = sum(w[gate] * (v >> 2) / 64 for w, v in zip(mixer.weights, seen, strict=False)) + mixer.weights[3][gate]
+            p = 1 / (1 + math.exp(-max(-7.99, min(7.99, x))))
+            want[owner[np.searchsorted(ends, k, side="right")]] += math.log10(p if bit else 1 - p)
+    assert np.allclose(got, want, rtol=0.02)
