@@ -83,7 +83,7 @@ def trailing_mean(df: DataFrame, keys: list[str], order: str, value: str, n: int
 
 
 def rank_regions(df: DataFrame, by: str, limit: int, tie: str = "ward_id") -> DataFrame:
-    return df.orderBy(F.desc(by), tie).limit(max(1, min(24, limit)))
+    return df.orderBy(F.desc(by), tie).limit(max(1, limit))
 
 
 def page(df: DataFrame, order: str, tie: str, limit: int, offset: int) -> DataFrame:

@@ -42,7 +42,13 @@ def _(t):
     return t.conversations.select("conv_id", "turn", x.endswith("glossdef").alias("has_gloss"))
 
 
-@query("txt4_split_sentences")
+SENTENCES = r"""WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x FROM documents),
+p AS (SELECT doc_id, x, list_filter(list_transform(string_split(regexp_replace(x, '([.!?।…]+["'')\]]*) (\P{Ll})', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 2) AS p FROM x),
+q AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN p WHEN x <> '' THEN [x] ELSE [] END AS p FROM p)
+SELECT doc_id, unnest(range(len(p))) AS position, unnest(p) AS sentence FROM q"""
+
+
+@query("txt4_split_sentences", SENTENCES)
 def _(t):
     return T.split_sentences(t.documents.select("doc_id", "text")).select("doc_id", "position", "sentence")
 

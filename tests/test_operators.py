@@ -146,9 +146,23 @@ def test_textrank_prefers_the_linked_sentence(spark):
 
 
 def test_sections(spark):
-    body = "Overview\n" + "Water supply needs attention in many wards today. " * 100 + "\nRoads\nThe roads are in a poor state this year indeed."
+    long = " ".join(f"{' '.join(['need'] * 99)} end{i}." for i in range(8)).replace(". need", ". Need")
+    body = "An opening line without any heading comes first.\nWater Supply\n" + long + "\nRoads in 2020\nThe roads are in a poor state,\nthis year indeed.\nShort Part\nToo short."
     got = text.segment_sections(spark.createDataFrame([(1, body), (2, None), (3, "")], "doc int, text string"), "doc").orderBy("section", "part").collect()
-    assert {r.title for r in got} == {"Overview", "Roads"} and len(got) > 3 and all(r.doc == 1 for r in got)
+    assert [(r.title, r.part) for r in got] == [("Introduction", 0), ("Water Supply (part 1)", 1), ("Water Supply (part 2)", 2), ("Water Supply (part 3)", 3), ("Roads in 2020", 0)]
+    assert [len(r.body.split()) for r in got][1:4] == [300, 300, 200] and got[4].body == "The roads are in a poor state, this year indeed."
+
+
+def test_sentences(spark):
+    rows = [(1, "It rains. We wait! e.g. here? 'Yes.' Then: no... ok. 3 days."), (2, None), (3, "  "), (4, "no end")]
+    got = text.split_sentences(spark.createDataFrame(rows, "id int, text string")).orderBy("id", "position").collect()
+    assert [r.sentence for r in got] == ["It rains.", "We wait! e.g. here?", "'Yes.'", "Then: no... ok.", "3 days.", "no end"]
+
+
+def test_headline_names_issues_of_all_kinds(spark):
+    e = lambda t, lab: (0, 1, t, lab, "lexicon", 0.8)
+    df = spark.createDataFrame([("ROAD_WORKS", [e("Lamp", "STREET_INFRA"), e("Live Wire", "ELECTRICAL_FAULT"), e("Park", "LANDMARK")])], f"c string, e array<{text.SPAN}>")
+    assert df.select(text.headline(F.col("c"), F.col("e")).alias("h")).first().h == "Road Works — live wire at Park"
 
 
 def test_split_valid(spark):
