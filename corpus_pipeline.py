@@ -53,7 +53,7 @@ STAGES = [
     ("source_mixture", source_mixture),
 ]
 
-#: Greedy tiling and SimHash aren't expressible in SQL; tests/llm hold each stage's operator against plain Python.
+#: Greedy tiling and SimHash aren't expressible in SQL; tests/llm test the stages' operators one by one.
 ORACLE_SQL = None
 
 
