@@ -74,7 +74,7 @@ def unresolved_references(df: DataFrame, regions: DataFrame, key: str = "ward_id
 
 def lookup_place(phrases: DataFrame, gazetteer: DataFrame, suffixes: list[str], phrase: str = "phrase") -> DataFrame:
     """phrases with the gazetteer row (key, ...) of the phrase without a leading preposition, else without one suffix."""
-    plain = F.regexp_replace(F.lower(F.trim(F.col(phrase))), r"^(near|at|opposite|behind|in|on)\s+", "")
+    plain = F.regexp_replace(F.lower(F.trim(F.col(phrase))), r"^(next to|near|outside|at|opposite|behind|in|on)\s+", "")
     tries = [plain, *[F.when(plain.endswith(" " + s), F.expr(f"left(__p, length(__p) - {len(s) + 1})")) for s in suffixes]]
     spread = phrases.withColumn("__p", plain).select("*", F.posexplode(F.array(*tries)).alias("__rank", "key")).where("key IS NOT NULL")
     hit = spread.join(gazetteer, "key")
