@@ -4,11 +4,17 @@ Validated values are replaced by other valid values of the same format under a s
 values stay equal in all documents and nothing else is learnt from them:
 
 - payment card numbers with a right Luhn digit: all digits but the last are permuted, the Luhn digit follows;
-- phone numbers with a country code: the digits after the country code are permuted;
+- phone numbers with a country code and 8 to 15 digits, however grouped: the digits after the country code are
+  permuted; without one, only the form (555) 123-4567, of which all digits are;
+- bank account numbers (IBAN) with right check digits: the part after them is permuted, the check digits follow;
 - IPv4 addresses: a permutation of the 2^32 addresses;
-- dates (2021-03-04, 04.03.2021, 04/03/2021) in 1800 to 2199: a permutation of the 146,097 days;
+- dates (2021-03-04 or 04.03.2021, with - / or . between, also before a time) in 1800 to 2199: a permutation of the
+  146,097 days;
 - e-mail addresses: the letters and digits before the @ are permuted within their class;
-- quoted 40-digit hexadecimal keys: digits within digits, a-f within a-f.
+- hexadecimal keys of 32, 40 or 64 digits: digits within digits, letters a-f within a-f, case kept.
+
+Dates that can only be read month first, and days or months of one digit, are left: their new values could not be
+told from other formats when they are read back.
 
 The network on characters splits them in two halves; in each round one half is shifted, character by
 character within its class, by the keyed SHA-256 of the other. With ten rounds both halves are back in place.
@@ -30,13 +36,18 @@ DAY_A, DAY_B = 189, 773
 EPOCH = "1800-01-01"
 
 CARD = r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])"
-PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ -](?:\([0-9]{2,4}\)[ -]?|[0-9]{2,4}[ -])[0-9]{3,4}[ -]?[0-9]{3,4}(?![0-9A-Za-z])"
+PHONE = (
+    r"(?<![0-9A-Za-z])(?:\+[0-9]{8,15}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,5}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"
+)
+# Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
+DAY = "(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{4}[.][0-9]{2}[.][0-9]{2}|[0-9]{2}-[0-9]{2}-[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}[.][0-9]{2}[.][0-9]{4})"
+DATE = rf"(?<![0-9A-Za-z./-]){DAY}(?=T[0-9]{{2}}:|(?![0-9A-Za-z]|[./-][0-9]))"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-HEX = r'(?<=")[0-9a-f]{40}(?=")'
-DATE_ANY = DATE.replace(r"([./])", "[./]").replace(r"\1", "[./]")
-ANY = "|".join((PHONE, IPV4, DATE_ANY, CARD, EMAIL, HEX))
+HEX = "(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})(?![0-9A-Za-z])"
+IBAN = "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
+ANY = "|".join((PHONE, IPV4, DATE, CARD, EMAIL, HEX, IBAN))
 
 
 def _byte(key: str, kind: str, r: Column, i: Column, other: Column) -> Column:
@@ -110,30 +121,50 @@ def _card(v: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(v: Column, key: str, inverse: bool) -> Column:
-    head = F.regexp_extract(v, r"^\+[0-9]{1,3}", 0)
+    head = F.regexp_extract(v, COUNTRY, 0)
     rest = F.substring(v, F.length(head) + 1, F.length(v))
     return F.concat(head, _lay(rest, feistel_chars(F.regexp_replace(rest, "[^0-9]", ""), key, "phone", inverse=inverse)))
 
 
+def mod97(s: Column) -> Column:
+    """Remainder by 97 of a string of digits and capitals, A counted as 10 to Z as 35."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    add = lambda acc, c: F.when(F.ascii(c) < 58, (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(chars, F.lit(0), add)
+
+
+def _iban(v: Column, key: str, inverse: bool) -> Column:
+    country, rest = F.substring(v, 1, 2), F.replace(F.substring(v, F.lit(5), F.length(v)), F.lit(" "), F.lit(""))
+    return let(
+        feistel_chars(rest, key, "iban", inverse=inverse),
+        lambda b: _lay(v, F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b)),
+    )
+
+
 def _ipv4(v: Column, key: str, inverse: bool) -> Column:
     o = F.transform(F.split(v, r"\."), lambda x: x.cast("int"))
     pair = feistel_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4", inverse)
     return let(pair, lambda p: F.concat_ws(".", *[F.floor(x).cast("string") for x in (p["a"] / 256, p["a"] % 256, p["b"] / 256, p["b"] % 256)]))
 
 
+def _year_first(v: Column) -> Column:
+    return F.substring(v, 5, 1).isin("-", "/", ".")
+
+
 def _iso(v: Column) -> Column:
-    return F.when(F.substring(v, 5, 1) == "-", v).otherwise(F.concat_ws("-", F.substring(v, 7, 4), F.substring(v, 4, 2), F.substring(v, 1, 2)))
+    first = F.concat_ws("-", F.substring(v, 1, 4), F.substring(v, 6, 2), F.substring(v, 9, 2))
+    return F.when(_year_first(v), first).otherwise(F.concat_ws("-", F.substring(v, 7, 4), F.substring(v, 4, 2), F.substring(v, 1, 2)))
 
 
 def _date(v: Column, key: str, inverse: bool) -> Column:
     day = F.datediff(F.try_to_date(_iso(v), "yyyy-MM-dd"), F.lit(EPOCH).cast("date"))
     pair = feistel_pair(F.floor(day / DAY_B), day % DAY_B, DAY_A, DAY_B, key, "date", inverse)
     new = lambda p: F.date_add(F.lit(EPOCH).cast("date"), (p["a"] * DAY_B + p["b"]).cast("int"))
-    mark = F.substring(v, 3, 1)
+    mark = F.when(_year_first(v), F.substring(v, 5, 1)).otherwise(F.substring(v, 3, 1))
     return let(
         pair,
-        lambda p: F.when(F.substring(v, 5, 1) == "-", F.date_format(new(p), "yyyy-MM-dd")).otherwise(
-            F.concat_ws("", F.date_format(new(p), "dd"), mark, F.date_format(new(p), "MM"), mark, F.date_format(new(p), "yyyy"))
+        lambda p: F.when(_year_first(v), F.concat(F.date_format(new(p), "yyyy"), mark, F.date_format(new(p), "MM"), mark, F.date_format(new(p), "dd"))).otherwise(
+            F.concat(F.date_format(new(p), "dd"), mark, F.date_format(new(p), "MM"), mark, F.date_format(new(p), "yyyy"))
         ),
     )
 
@@ -148,13 +179,17 @@ def kind_of(v: Column) -> Column:
     digits = F.regexp_replace(v, "[^0-9]", "")
     valid_ip = ~F.exists(F.split(v, r"\."), lambda x: (x.cast("int") > 255) | (F.length(x) != F.length(x.cast("int").cast("string"))))
     day = F.datediff(F.try_to_date(_iso(v), "yyyy-MM-dd"), F.lit(EPOCH).cast("date"))
+    bare = F.replace(v, F.lit(" "), F.lit(""))
+    valid_iban = F.length(bare).between(15, 34) & F.substring(v, 3, 2).between("02", "98") & (mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1)
     return (
         F.when(v.contains("@"), "email")
         .when(v.startswith("+"), F.when(F.length(digits).between(8, 15), "phone"))
+        .when(v.startswith("("), "phone")
         .when(v.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.when(valid_ip, "ipv4"))
-        .when(v.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), F.when(day.between(0, DAYS - 1), "date"))
+        .when(v.rlike(f"^{DAY}$"), F.when(day.between(0, DAYS - 1), "date"))
+        .when(v.rlike("^([0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})$"), "key")
         .when(v.rlike("^[0-9][0-9 -]*$") & F.length(digits).between(13, 19), F.when(luhn_sum(digits) % 10 == 0, "card"))
-        .when(v.rlike("^[0-9a-f]{40}$"), "key")
+        .when(v.rlike("^[A-Z]{2}[0-9]{2}"), F.when(valid_iban, "iban"))
     )
 
 
@@ -165,6 +200,7 @@ def pseudonym(v: Column, kind: Column, key: str, inverse: bool = False) -> Colum
         .when(kind == "phone", _phone(v, key, inverse))
         .when(kind == "ipv4", _ipv4(v, key, inverse))
         .when(kind == "date", _date(v, key, inverse))
+        .when(kind == "iban", _iban(v, key, inverse))
         .when(kind == "email", _email(v, key, inverse))
         .when(kind == "key", feistel_chars(v, key, "key", letters=6, inverse=inverse))
         .otherwise(v)
