@@ -17,3 +17,5 @@ PRIORITY_WEIGHTS = {"complaint_density": 0.25, "infrastructure_deficit": 0.25, "
 RECOMMENDATION_WEIGHTS = {"severity": 0.35, "population": 0.25, "complaints": 0.20, "growth": 0.20}
 SEVERITY_SCORE = {"CRITICAL": 1.0, "HIGH": 0.7, "MODERATE": 0.4, "LOW": 0.1}
 CONFIDENCE = {"HIGH": 1.0, "MEDIUM": 1.0, "DEMO": 0.9, "LOW": 0.6}
+# Hotspots are HIGH from so many points or beyond such a density a square km, MEDIUM from so many points.
+HOTSPOT_HIGH_POINTS, HOTSPOT_HIGH_DENSITY, HOTSPOT_MEDIUM_POINTS = 15, 40.0, 6

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,19 +46,46 @@ def safe_parse(df: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def classify_facility(tags: Column) -> Column:
-    """(type, subtype) of a map of tags by ordered rules, or null."""
-    amenity, railway, leisure = tags["amenity"], tags["railway"], tags["leisure"]
-    pair = lambda t, s: F.struct(F.lit(t).alias("type"), s.alias("subtype"))
-    return (
-        F.when(amenity.isin("hospital", "clinic", "doctors"), pair("HEALTHCARE", amenity))
-        .when(amenity.isin("school", "college", "university", "kindergarten"), pair("EDUCATION", amenity))
-        .when(amenity.isin("police", "fire_station"), pair("SAFETY", amenity))
-        .when(railway.isin("station", "halt") & (F.coalesce(tags["station"], F.lit("")) == "subway"), pair("METRO_STATION", F.lit("subway")))
-        .when(railway.isin("station", "halt"), pair("RAIL_STATION", railway))
-        .when((tags["highway"] == "bus_stop") | (amenity == "bus_station"), pair("BUS_STOP", F.coalesce(amenity, F.lit("bus_stop"))))
-        .when(leisure.isin("park", "garden", "playground"), pair("PARKS", leisure))
-    )
+# Facility types by tag, in order; (tags that must hold, type, subtype).
+FACILITY_RULES = [
+    ({"amenity": "hospital"}, "HEALTHCARE", "hospital"),
+    ({"amenity": "clinic"}, "HEALTHCARE", "clinic"),
+    ({"amenity": "doctors"}, "HEALTHCARE", "clinic"),
+    ({"amenity": "school"}, "EDUCATION", "school"),
+    ({"amenity": "college"}, "EDUCATION", "college"),
+    ({"amenity": "university"}, "EDUCATION", "university"),
+    ({"amenity": "library"}, "EDUCATION", "library"),
+    ({"amenity": "fire_station"}, "EMERGENCY", "fire_station"),
+    ({"amenity": "police"}, "PUBLIC_SAFETY", "police"),
+    ({"amenity": "waste_transfer_station"}, "WASTE_MANAGEMENT", "waste_transfer_station"),
+    ({"amenity": "recycling"}, "WASTE_MANAGEMENT", "recycling"),
+    ({"amenity": "toilets"}, "SANITATION", "public_toilet"),
+    ({"highway": "bus_stop"}, "BUS_STOP", "bus_stop"),
+    ({"station": "subway"}, "METRO_STATION", "metro"),
+    ({"subway": "yes"}, "METRO_STATION", "metro"),
+    ({"railway": "station", "station": "light_rail"}, "METRO_STATION", "light_rail"),
+    ({"railway": "station", "station": "monorail"}, "METRO_STATION", "monorail"),
+    ({"railway": "station"}, "RAIL_STATION", "suburban_rail"),
+    ({"man_made": "water_tower"}, "WATER_SUPPLY", "water_tower"),
+    ({"man_made": "water_works"}, "WATER_SUPPLY", "water_works"),
+    ({"man_made": "reservoir_covered"}, "WATER_SUPPLY", "reservoir_covered"),
+    ({"man_made": "pumping_station"}, "WATER_SUPPLY", "pumping_station"),
+    ({"man_made": "wastewater_plant"}, "DRAINAGE", "wastewater_plant"),
+    ({"leisure": "park"}, "PARKS", "park"),
+    ({"leisure": "playground"}, "PARKS", "playground"),
+    ({"leisure": "sports_centre"}, "PARKS", "sports_centre"),
+]
+
+
+def classify_facility(tags: Column, rules: list[tuple[dict, str, str]] = FACILITY_RULES) -> Column:
+    """(type, subtype) of a map of tags by the first rule all of whose tags it has, or null."""
+
+    def given(i: int) -> Column:
+        want, kind, subtype = rules[i]
+        holds = [F.coalesce(F.try_element_at(tags, F.lit(k)) == v, F.lit(False)) for k, v in want.items()]
+        return F.when(reduce(lambda a, b: a & b, holds), F.struct(F.lit(kind).alias("type"), F.lit(subtype).alias("subtype")))
+
+    return F.coalesce(*map(given, range(len(rules))))
 
 
 def landuse_bucket(tags: Column, buckets: dict[str, str]) -> Column:

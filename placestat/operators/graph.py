@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; set a temporary one only where none is set."""
+    """Use the folder named in spark.checkpoint.dir; a session in one local process gets a temporary one."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placestat-checkpoint-"))
 
 

@@ -115,10 +115,23 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "reque
     """(pid, cluster, is_core) of every located point; cluster is its least core point, null for noise.
 
     A border point goes to the cluster of its least core neighbour. With ``group`` only points of one
-    group are neighbours.
+    group are neighbours. Points at one place have the same neighbours, so they are folded to a site with
+    their number and least id before sites are paired; a crowded place costs one row.
     """
-    pairs = checkpoint(eps_neighbours(points, eps_km, pid, group))
-    degree = pairs.groupBy("a").agg((F.count("*") >= min_samples).alias("core"))
+    g = F.col(group) if group else F.lit(0)
+    place = [F.col("lat").alias("slat"), F.col("lng").alias("slng"), g.alias("sg")]
+    at = points.where("lat IS NOT NULL AND lng IS NOT NULL").select(F.col(pid).alias("p"), *place)
+    sites = checkpoint(at.groupBy("slat", "slng", "sg").agg(F.min("p").alias("site"), F.count("*").alias("n")))
+    found = _site_clusters(sites, eps_km, min_samples)
+    back = at.join(sites, [at.slat.eqNullSafe(sites.slat), at.slng.eqNullSafe(sites.slng), at.sg.eqNullSafe(sites.sg)])
+    return back.select("p", "site").join(found, "site").select(F.col("p").alias(pid), "cluster", "is_core")
+
+
+def _site_clusters(sites: DataFrame, eps_km: float, min_samples: int) -> DataFrame:
+    """(site, cluster, is_core) of sites (site, slat, slng, sg, n)."""
+    named = sites.select("site", F.col("slat").alias("lat"), F.col("slng").alias("lng"), "sg")
+    pairs = checkpoint(eps_neighbours(named, eps_km, "site", "sg").join(sites.select(F.col("site").alias("b"), "n"), "b"))
+    degree = pairs.groupBy("a").agg((F.sum("n") >= min_samples).alias("core"))
     core = degree.where("core").select("a")
     linked = pairs.where("a < b").join(core, "a").join(core.select(F.col("a").alias("b")), "b")
     comp = connected_components(linked, "a", "b")
@@ -126,18 +139,23 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "reque
     label = checkpoint(label)
     border = pairs.join(degree.where("NOT core").select("a"), "a").join(label, F.col("b") == F.col("c")).groupBy("a").agg(F.min_by("cluster", "b").alias("cluster"))
     found = label.select(F.col("c").alias("a"), "cluster", F.lit(True).alias("is_core")).unionByName(border.withColumn("is_core", F.lit(False)))
-    return degree.select("a").join(found, "a", "left").select(F.col("a").alias(pid), "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    return degree.select("a").join(found, "a", "left").select(F.col("a").alias("site"), "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
 def hotspot_summary(points: DataFrame, clusters: DataFrame, pid: str = "request_id") -> DataFrame:
-    """One row a cluster: centre, radius (0.1 km at least), count, density, dominant category, regions, three samples."""
+    """One row a cluster: centre, radius (0.1 km at least; radius_m for display, 250 m at least), count, density, severity,
+    dominant category, number of points by category (``breakdown``), regions, three samples."""
     p = points.join(clusters.where("cluster IS NOT NULL").select(pid, "cluster"), pid)
     centre = p.groupBy("cluster").agg(F.avg("lat").alias("clat"), F.avg("lng").alias("clng"), F.count("*").alias("n"), F.countDistinct("ward_id").alias("regions"))
     radius = p.join(centre.select("cluster", "clat", "clng"), "cluster").groupBy("cluster").agg(F.greatest(F.lit(0.1), F.max(haversine(F.col("clat"), F.col("clng"), F.col("lat"), F.col("lng")))).alias("radius_km"))
-    top = first_rows(p.groupBy("cluster", "category").agg(F.count("*").alias("k")), ["cluster"], [F.desc("k"), F.asc("category")]).select("cluster", F.col("category").alias("dominant"))
+    kinds = p.groupBy("cluster", "category").agg(F.count("*").alias("k"))
+    top = kinds.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "category"))).alias("s"))
+    top = top.select("cluster", F.col("s")[0]["category"].alias("dominant"), F.transform("s", lambda x: F.struct(x["category"].alias("category"), (-x["k"]).alias("n"))).alias("breakdown"))
     few = first_rows(p.select("cluster", pid), ["cluster"], [F.asc(pid)], 3).groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list(F.col(pid))), ",").alias("samples"))
     out = centre.join(radius, "cluster").join(top, "cluster").join(few, "cluster")
-    return out.withColumn("density", F.col("n") / F.greatest(F.lit(0.1), F.lit(3.14159) * F.pow("radius_km", F.lit(2))))
+    out = out.withColumn("density", F.col("n") / F.greatest(F.lit(0.1), F.lit(3.14159) * F.pow("radius_km", F.lit(2))))
+    severity = F.when((F.col("n") >= K.HOTSPOT_HIGH_POINTS) | (F.round("density", 2) > K.HOTSPOT_HIGH_DENSITY), "HIGH").when(F.col("n") >= K.HOTSPOT_MEDIUM_POINTS, "MEDIUM").otherwise("LOW")
+    return out.withColumns({"severity": severity, "radius_m": F.round(F.greatest(F.lit(250.0), F.col("radius_km") * 1000), 1)})
 
 
 def cluster_numbers(clusters: DataFrame, points: DataFrame, pid: str = "request_id", step: int = 1000) -> DataFrame:

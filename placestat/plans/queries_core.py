@@ -22,9 +22,9 @@ def _(t):
     return P.filter_requests(t.requests, q="CL", text_col="category", ward_id=3, status="OPEN").select("request_id", "ward_id", "category", "status")
 
 
-@query("prj2_contains_ci", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1')")
+@query("prj2_contains_ci", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'widg')")
 def _(t):
-    return t.part.where(S.contains_ci(F.col("p_name"), "1")).select("p_partkey", "p_name")
+    return t.part.where(S.contains_ci(F.col("p_name"), "WIDG")).select("p_partkey", "p_name")
 
 
 @query("prj3_lookback_months", "SELECT request_id FROM cases WHERE created_at >= timestamp '2001-02-01'", "cases")
@@ -62,7 +62,15 @@ def _(t):
     return P.safe_parse(raw, F.lit("2024-02-01").cast("timestamp_ntz")).select("event_id", "lat", "status", "created_at")
 
 
-TAGS = {"amenity": "CASE p_partkey % 6 WHEN 0 THEN 'hospital' WHEN 1 THEN 'school' WHEN 2 THEN 'police' END", "leisure": "CASE WHEN p_partkey % 5 = 3 THEN 'park' END", "railway": "CASE WHEN p_partkey % 6 = 4 THEN 'station' END"}
+TAGS = {
+    "amenity": "CASE p_partkey % 24 WHEN 0 THEN 'hospital' WHEN 1 THEN 'doctors' WHEN 2 THEN 'school' WHEN 3 THEN 'university' WHEN 4 THEN 'library' WHEN 5 THEN 'fire_station' WHEN 6 THEN 'police' WHEN 7 THEN 'recycling' WHEN 8 THEN 'toilets' WHEN 9 THEN 'kindergarten' END",
+    "leisure": "CASE p_partkey % 5 WHEN 3 THEN 'park' WHEN 2 THEN 'garden' WHEN 1 THEN 'sports_centre' END",
+    "railway": "CASE WHEN p_partkey % 24 IN (12, 13, 14) THEN 'station' WHEN p_partkey % 24 = 15 THEN 'halt' END",
+    "station": "CASE p_partkey % 24 WHEN 13 THEN 'monorail' WHEN 16 THEN 'subway' END",
+    "subway": "CASE WHEN p_partkey % 24 = 17 THEN 'yes' END",
+    "highway": "CASE WHEN p_partkey % 24 = 18 THEN 'bus_stop' END",
+    "man_made": "CASE p_partkey % 24 WHEN 19 THEN 'water_works' WHEN 20 THEN 'wastewater_plant' WHEN 21 THEN 'mast' END",
+}
 
 
 def tagged(t):
@@ -72,10 +80,17 @@ def tagged(t):
 
 @query(
     "prj7_classify_facility",
-    "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'HEALTHCARE' WHEN p_partkey % 6 = 1 THEN 'EDUCATION' WHEN p_partkey % 6 = 2 THEN 'SAFETY' WHEN p_partkey % 6 = 4 THEN 'RAIL_STATION' WHEN p_partkey % 5 = 3 THEN 'PARKS' END AS kind FROM part",
+    f"""SELECT p_partkey, CASE WHEN amenity IN ('hospital', 'doctors') THEN 'HEALTHCARE' WHEN amenity IN ('school', 'university', 'library') THEN 'EDUCATION' WHEN amenity = 'fire_station' THEN 'EMERGENCY'
+ WHEN amenity = 'police' THEN 'PUBLIC_SAFETY' WHEN amenity = 'recycling' THEN 'WASTE_MANAGEMENT' WHEN amenity = 'toilets' THEN 'SANITATION' WHEN highway = 'bus_stop' THEN 'BUS_STOP'
+ WHEN station = 'subway' OR subway = 'yes' OR (railway = 'station' AND station = 'monorail') THEN 'METRO_STATION' WHEN railway = 'station' THEN 'RAIL_STATION'
+ WHEN man_made = 'water_works' THEN 'WATER_SUPPLY' WHEN man_made = 'wastewater_plant' THEN 'DRAINAGE' WHEN leisure IN ('park', 'sports_centre') THEN 'PARKS' END AS kind,
+ CASE WHEN amenity = 'doctors' THEN 'clinic' WHEN amenity = 'toilets' THEN 'public_toilet' WHEN amenity <> 'kindergarten' THEN amenity WHEN highway = 'bus_stop' THEN highway WHEN station = 'subway' OR subway = 'yes' THEN 'metro'
+ WHEN railway = 'station' THEN coalesce(station, 'suburban_rail') WHEN man_made <> 'mast' THEN man_made WHEN leisure <> 'garden' THEN leisure END AS subtype
+ FROM (SELECT p_partkey, {', '.join(f'{e} AS {k}' for k, e in TAGS.items())} FROM part)""",
 )
 def _(t):
-    return tagged(t).select("p_partkey", P.classify_facility(F.col("tags"))["type"].alias("kind"))
+    kind = P.classify_facility(F.col("tags"))
+    return tagged(t).select("p_partkey", kind["type"].alias("kind"), kind["subtype"].alias("subtype"))
 
 
 @query("prj8_landuse_bucket", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'green' WHEN p_size % 4 = 1 THEN 'residential' WHEN p_size % 3 = 0 THEN 'water' END AS bucket FROM part")
@@ -202,9 +217,9 @@ def _(t):
     return J.dot_product_join(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", "vec_id", "embedding").withColumn("similarity", F.round("similarity", 4) + 0.0)
 
 
-@query("join15_unresolved_references", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+@query("join15_unresolved_references", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)")
 def _(t):
-    return J.unresolved_references(t.events, t.customer.select(F.col("c_custkey").alias("user_id")), "user_id").select("event_id")
+    return J.unresolved_references(t.events, t.supplier.select(F.col("s_suppkey").alias("user_id")), "user_id").select("event_id")
 
 
 # aggregates

@@ -77,16 +77,17 @@ def _(t):
 SUMMARY = """, m AS (SELECT c.cluster, r.* FROM clusters c JOIN requests r USING (request_id) WHERE c.cluster IS NOT NULL),
 ce AS (SELECT cluster, avg(lat) AS clat, avg(lng) AS clng, count(*) AS n, count(DISTINCT ward_id) AS regions FROM m GROUP BY 1),
 ra AS (SELECT m.cluster, greatest(0.1, max(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lng - clng) / 2), 2)))))) AS radius_km FROM m JOIN ce USING (cluster) GROUP BY 1),
-dm AS (SELECT cluster, category AS dominant FROM m GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, category) = 1)"""
+dm AS (SELECT cluster, category AS dominant FROM m GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, category) = 1),
+br AS (SELECT cluster, string_agg(category || ':' || k, ',' ORDER BY k DESC, category) AS breakdown FROM (SELECT cluster, category, count(*) AS k FROM m GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query(
     "geo3_hotspot_summary",
-    recursive("SELECT cluster, n, regions, round(clat, 5) AS clat, round(clng, 5) AS clng, round(radius_km, 4) AS radius_km, round(n / greatest(0.1, 3.14159 * radius_km * radius_km), 3) AS density, dominant FROM ce JOIN ra USING (cluster) JOIN dm USING (cluster)", "requests", CLUSTERS + SUMMARY),
+    recursive("SELECT cluster, n, regions, round(clat, 9) AS clat, round(clng, 9) AS clng, round(radius_km, 4) AS radius_km, round(n / greatest(0.1, 3.14159 * radius_km * radius_km), 3) AS density, CASE WHEN n >= 15 OR round(n / greatest(0.1, 3.14159 * radius_km * radius_km), 2) > 40 THEN 'HIGH' WHEN n >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS severity, round(greatest(250, radius_km * 1000), 1) AS radius_m, breakdown, dominant FROM ce JOIN ra USING (cluster) JOIN dm USING (cluster) JOIN br USING (cluster)", "requests", CLUSTERS + SUMMARY),
 )
 def _(t):
     s = S.hotspot_summary(t.requests, S.dbscan(t.requests, 0.06, 6, group="category"))
-    return s.select("cluster", "n", "regions", *[F.round(c, d).alias(c) for c, d in (("clat", 5), ("clng", 5), ("radius_km", 4), ("density", 3))], "dominant")
+    return s.select("cluster", "n", "regions", *[F.round(c, d).alias(c) for c, d in (("clat", 9), ("clng", 9), ("radius_km", 4), ("density", 3), ("radius_m", 1))], "severity", F.array_join(F.transform("breakdown", lambda x: F.concat_ws(":", x["category"], x["n"].cast("string"))), ",").alias("breakdown"), "dominant")
 
 
 @query(

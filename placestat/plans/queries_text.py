@@ -230,9 +230,15 @@ def _(t):
     return L.semantic_search(e.where("vec_id % 20 = 0"), e, 10).withColumn("similarity", F.round("similarity", 4) + 0.0)
 
 
-@query("ml8_near_duplicates", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.98")
+TWINS = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT -1 - vec_id, list_transform(embedding, lambda x, i: x::DOUBLE + 1e-3 * ((vec_id + i) % 50)) FROM embeddings)"
+
+
+@query("ml8_near_duplicates", f"{TWINS} SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 5) AS similarity FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.96")
 def _(t):
-    return L.near_duplicates(t.embeddings, 0.98).withColumn("similarity", F.round("similarity", 5))
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = F.transform("embedding", lambda x, i: x + 0.001 * ((F.col("vec_id") + i + 1) % 50))
+    twins = e.unionByName(e.withColumn("embedding", moved).withColumn("vec_id", -1 - F.col("vec_id")))
+    return L.near_duplicates(twins, 0.96).withColumn("similarity", F.round("similarity", 5))
 
 
 @query("ml9_training_table", "SELECT d.doc_id, array_to_string(list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL), ',') AS labels FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
@@ -450,9 +456,9 @@ def _(t):
     return one.crossJoin(A.median_resolution_days(c)).crossJoin(A.distinct_months(c))
 
 
-@query("rep8_asset_listing", "SELECT asset_id, name FROM assets WHERE asset_type = 'PARKS' AND ward_id = 3", "assets")
+@query("rep8_asset_listing", "SELECT asset_id, name FROM assets WHERE asset_type = 'PARKS' AND ward_id >= 3", "assets")
 def _(t):
-    return t.assets.where("asset_type = 'PARKS' AND ward_id = 3").select("asset_id", "name")
+    return t.assets.where("asset_type = 'PARKS' AND ward_id >= 3").select("asset_id", "name")
 
 
 @query("rep9_activity_log", "SELECT e.event_id, c.c_name FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100")

@@ -1,5 +1,6 @@
 """Fixed expectations and edge cases of operators."""
 
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placestat.functions import scalars as S
-from placestat.operators import forecasting, learning, planning, quality, raster, scenarios, spatial, text
+from placestat.operators import filters, forecasting, learning, planning, quality, raster, scenarios, spatial, text
 from placestat.operators.graph import connected_components
 
 
@@ -182,3 +183,32 @@ def test_embeddings_span_the_leading_directions(spark):
     e = {r.id: np.array(r.embedding) for r in learning.encode(df, "text", v, idf).collect()}
     assert 0 < share <= 1 and e[1] @ e[3] > 0.8 > 0.3 > abs(e[1] @ e[2])
     assert np.allclose(np.linalg.norm(e[1]), 1, atol=1e-5)
+
+
+def test_dbscan_of_crowded_places_is_brute_force_dbscan(spark):
+    rng = random.Random(3)
+    spots = [(19 + rng.random() * 0.01, 72.8 + rng.random() * 0.01) for _ in range(40)]
+    pts = [(i, *rng.choice(spots), rng.choice(["a", None])) for i in range(90)] + [(1000, None, 72.8, "a")]
+    got = {r.request_id: (r.cluster, r.is_core) for r in spatial.dbscan(spark.createDataFrame(pts, "request_id long, lat double, lng double, kind string"), 0.12, 4, group="kind").collect()}
+    near = lambda p, q: p[3] == q[3] is not None and 6371.0088 * math.hypot(math.radians(p[1] - q[1]), math.radians(p[2] - q[2]) * math.cos(math.radians(19.005))) <= 0.12
+    real = [p for p in pts if p[1] is not None and p[3] == "a"]
+    around = {p[0]: [q[0] for q in real if near(p, q)] for p in real}
+    core = {i for i, a in around.items() if len(a) >= 4}
+    label = {}
+    for i in sorted(core):
+        todo = [] if i in label else [i]
+        while todo:
+            x = todo.pop()
+            if x not in label:
+                label[x] = i
+                todo += [y for y in around[x] if y in core]
+    want = {i: (label[i], True) if i in core else (label.get(min((y for y in a if y in core), default=None)), False) for i, a in around.items()}
+    assert {i: got[i] for i in want} == want and 1000 not in got
+
+
+def test_facility_rules_in_order(spark):
+    tags = [({"amenity": "doctors"}, ("HEALTHCARE", "clinic")), ({"amenity": "police", "leisure": "park"}, ("PUBLIC_SAFETY", "police")), ({"station": "subway"}, ("METRO_STATION", "metro"))]
+    tags += [({"railway": "station", "station": "monorail"}, ("METRO_STATION", "monorail")), ({"railway": "station"}, ("RAIL_STATION", "suburban_rail")), ({"amenity": "kindergarten"}, None), ({}, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(tags)], "i int, tags map<string,string>")
+    got = df.select("i", filters.classify_facility(F.col("tags")).alias("k")).orderBy("i").collect()
+    assert [r.k and tuple(r.k) for r in got] == [k for _, k in tags]
