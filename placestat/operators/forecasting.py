@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placestat.functions.scalars import season
-from placestat.operators.graph import checkpoint
+from placestat.operators.graph import checkpoint, ensure_checkpoint_dir
 from placestat.operators.ranking import first_rows, lag_features, rolling_mean, series_scale
 
 KEYS = ["ward_id", "metric"]
@@ -34,15 +37,33 @@ def panel_features(panel: DataFrame) -> DataFrame:
 def time_split(features: DataFrame, test_steps: int = 6) -> DataFrame:
     """``features`` with is_test: the last time steps of the metric."""
     last = features.groupBy("metric").agg(F.max("t").alias("__last"))
-    return features.join(F.broadcast(last), "metric").withColumn("is_test", F.col("t") > F.col("__last") - test_steps).drop("__last")
+    return features.join(last, "metric").withColumn("is_test", F.col("t") > F.col("__last") - test_steps).drop("__last")
 
 
 def fit_gbt(features: DataFrame, trees: int = 300, depth: int = 3, step: float = 0.05, subsample: float = 0.9, seed: int = 42):
     """Boosted trees on one metric's rows."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features).select("x", "y").persist()
+    rows = rows.coalesce(1 + rows.count() // 50_000)  # each tree is some jobs over all partitions
+    ensure_checkpoint_dir(features.sparkSession)
     return GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed).fit(rows)
 
 
+def fit_metrics(features: DataFrame, metrics: list[str], **options) -> dict:
+    """The fitted trees of each metric; the metrics' fits run side by side."""
+    with ThreadPoolExecutor(len(metrics)) as pool:
+        return dict(zip(metrics, pool.map(lambda m: fit_gbt(features.where(F.col("metric") == m), **options), metrics), strict=True))
+
+
+def predict_metrics(models: dict, features: DataFrame) -> DataFrame:
+    """``features`` with the prediction of each row's own metric's trees."""
+    parts = [predict(model, features.where(F.col("metric") == m)) for m, model in models.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def forecast_metrics(models: dict, panel: DataFrame, horizon: int) -> DataFrame:
+    return reduce(DataFrame.unionByName, [forecast(model, panel.where(F.col("metric") == m), horizon) for m, model in models.items()])
+
+
 def predict(model, features: DataFrame) -> DataFrame:
     return model.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features)).drop("x")
 

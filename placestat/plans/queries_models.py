@@ -9,6 +9,7 @@ from placestat.operators import planning as M
 from placestat.operators import raster as X
 from placestat.operators import scenarios as SC
 from placestat.operators import spatial as S
+from placestat.operators.graph import checkpoint
 from placestat.plans.queries_planning import ALL_GAPS, FLOOD, INPUT_FIXTURES, inputs
 from placestat.plans.registry import query
 
@@ -235,21 +236,23 @@ def _(t):
     return FC.time_split(FC.panel_features(panel(t))).groupBy("metric", "is_test").agg(F.count("*").alias("n"))
 
 
-def split_of(t, metric="water_demand_mld"):
-    return FC.time_split(FC.panel_features(panel(t).where(F.col("metric") == metric)))
+METRICS = ["water_demand_mld", "waste_generation_tpd", "transit_ridership"]
+
+
+def backtest(t):
+    """The held-out rows of every metric, predicted by trees fitted on the rows before."""
+    s = checkpoint(FC.time_split(FC.panel_features(panel(t))))
+    return FC.predict_metrics(FC.fit_metrics(s.where("NOT is_test"), METRICS), s.where("is_test"))
 
 
 @query("fc4_fit_gbt")
 def _(t):
-    s = split_of(t)
-    model = FC.fit_gbt(s.where("NOT is_test"), trees=10)
-    return FC.predict(model, s.where("is_test")).select("ward_id", "metric", "month", "y", "prediction", "scale", "lag_12")
+    return backtest(t).select("ward_id", "metric", "month", "y", "prediction", "scale", "lag_12")
 
 
 @query("fc5_backtest_metrics")
 def _(t):
-    s = split_of(t)
-    return FC.backtest_metrics(FC.predict(FC.fit_gbt(s.where("NOT is_test"), trees=10), s.where("is_test")))
+    return FC.backtest_metrics(backtest(t))
 
 
 @query("fc6_seasonal_naive", "SELECT metric, round(100 * avg(abs(y - lag_12) * scale / (abs(y) * scale)), 4) AS naive_mape FROM st WHERE is_test GROUP BY 1", "service wards", f"{PANEL}, {FEAT}, {SPLIT}")
@@ -259,8 +262,8 @@ def _(t):
 
 @query("fc7_forecast")
 def _(t):
-    p = panel(t).where("metric = 'water_demand_mld'")
-    return FC.forecast(FC.fit_gbt(FC.panel_features(p), trees=10), p, 3)
+    p = checkpoint(panel(t))
+    return FC.forecast_metrics(FC.fit_metrics(checkpoint(FC.panel_features(p)), METRICS), p, 12)
 
 
 PRED = "pd AS (SELECT ward_id, metric, 1 + s AS step, scale * 1e0 AS scale, 1e0 + s * 0.05e0 AS p FROM (SELECT DISTINCT ward_id, metric, scale FROM ft), range(0, 3) r(s))"

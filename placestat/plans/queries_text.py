@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placestat.operators import aggregates as A
@@ -19,10 +23,17 @@ from placestat.streaming import streams as ST
 
 
 
-@query("txt1_clean_text", "SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '[^A-Za-z]', '', 'g')) AS letters FROM pages")
+def cleaned(x):
+    """SQL of the cleaned text."""
+    out = f"regexp_replace(regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g'), '[\\r\\n\\t]+', ' ', 'g')"
+    for mark in "!?,.:;":
+        out = f"regexp_replace({out}, '[{mark}]+', '{mark}', 'g')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query("txt1_clean_text", f"SELECT page_id, {cleaned('html')} AS text FROM pages")
 def _(t):
-    cleaned = t.pages.select("page_id", T.clean_text(F.col("html")).alias("x"))
-    return cleaned.select("page_id", F.length(F.regexp_replace("x", "[^A-Za-z]", "")).cast("long").alias("letters"))
+    return t.pages.select("page_id", T.clean_text(F.col("html")).alias("text"))
 
 
 WORDS = ["ist", "und", "der"]
@@ -36,10 +47,16 @@ def _(t):
     return t.documents.select("doc_id", T.detect_language(F.col("text"), WORDS, ["आहे"], ["है"])["code"].alias("code"))
 
 
-@query("txt3_expand_glosses", "SELECT conv_id, turn, regexp_matches(lower(text), '(?:^|[^\\p{L}])the(?:[^\\p{L}]|$)') AS has_gloss FROM conversations")
+GLOSSES = [("that", "which one"), ("the", "article"), ("with", "together")]
+HAS = "regexp_matches(x, '(?:^|[^\\p{{L}}]){0}(?:[^\\p{{L}}]|$)')"
+
+
+@query(
+    "txt3_expand_glosses",
+    "SELECT conv_id, turn, trim(x || " + " || ".join(f"CASE WHEN {HAS.format(w)} THEN ' {g}' ELSE '' END" for w, g in sorted(GLOSSES, key=lambda kv: -len(kv[0]))) + f") AS text FROM (SELECT *, lower({cleaned('text')}) AS x FROM conversations)",
+)
 def _(t):
-    x = T.expand_glosses(F.col("text"), [("the", "glossdef")])
-    return t.conversations.select("conv_id", "turn", x.endswith("glossdef").alias("has_gloss"))
+    return t.conversations.select("conv_id", "turn", T.expand_glosses(F.col("text"), GLOSSES).alias("text"))
 
 
 SENTENCES = r"""WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x FROM documents),
@@ -66,6 +83,14 @@ def gazetteer(t):
     return w.select(F.lower("name").alias("key")).where(F.length("key") >= 6).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def places(t):
+    """The gazetteer with a kind, a place and a region for each name."""
+    long = F.length("key")
+    return gazetteer(t).select(
+        "key", F.when(long % 2 == 0, "PLACE").otherwise("LANDMARK").alias("kind"), (long * 1e-3 + 18.9).alias("lat"), F.lit(72.85).alias("lng"), F.concat(F.lit("W"), (long % 5).cast("string")).alias("ward_code")
+    )
+
+
 @query(
     "txt6_match_places",
     "SELECT d.doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s/]', ' ', 'g'), '\\s+', ' ', 'g')), '[^ ]+')) AS w FROM documents) d JOIN gz ON gz.key = d.w GROUP BY 1",
@@ -84,9 +109,19 @@ def _(t):
 TERMS = [(r"\bthe\b", "ROAD_INFRA", "lexicon", 0.85), (r"\b[A-Z][a-z]+ing\b", "LANDMARK", "pattern", 0.68), (r"\bof the\b", "TEMPORAL", "lexicon", 0.8)]
 
 
-@query("txt8_match_patterns", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\bthe\\b')) + len(regexp_extract_all(text, '\\b[A-Z][a-z]+ing\\b')) + len(regexp_extract_all(text, '\\bof the\\b')) AS INT) AS n FROM documents")
+def found(*patterns):
+    """SQL of the matches of patterns, one pattern after the other."""
+    return "array_to_string(list_concat(" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in patterns) + "), '|')"
+
+
+@query("txt8_match_patterns", f"SELECT doc_id, {found(*[p for p, *_ in TERMS[:2]])} AS texts, len(regexp_extract_all(text, '{TERMS[2][0]}'))::INT AS times FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.size(T.match_patterns(F.col("text"), TERMS)).alias("n"))
+    spans = t.documents.select("doc_id", T.match_patterns(F.col("text"), TERMS).alias("e"))
+    is_time = lambda x: x["label"] == "TEMPORAL"
+    # a null text has no spans; the SQL's lists are null then
+    return spans.join(t.documents.select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.when(F.col("text").isNotNull(), F.array_join(F.transform(F.filter("e", lambda x: ~is_time(x)), lambda x: x["text"]), "|")).alias("texts"), F.when(F.col("text").isNotNull(), F.size(F.filter("e", is_time))).alias("times")
+    )
 
 
 @query("txt9_resolve_overlaps")
@@ -95,29 +130,39 @@ def _(t):
     return spans.select("conv_id", "turn", F.size("e").alias("n"), F.array_join(F.transform("e", lambda x: x["text"]), "|").alias("texts"))
 
 
-@query("txt10_location_entities", "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\\b[A-Z][a-z]+ing\\b')) AS INT) AS n FROM conversations")
+@query("txt10_location_entities", f"SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '{TERMS[1][0]}'), '|') AS places FROM conversations")
 def _(t):
-    return t.conversations.select("conv_id", "turn", F.size(T.location_entities(T.match_patterns(F.col("text"), TERMS))).alias("n"))
+    spans = T.location_entities(T.match_patterns(F.col("text"), TERMS))
+    return t.conversations.select("conv_id", "turn", F.array_join(F.transform(spans, lambda x: x["text"]), "|").alias("places"))
+
+
+LANDMARKS = [(r"[A-Z][a-z]{5,}", "LANDMARK", "pattern", 0.68)]
+MESSAGES = "ms AS (SELECT conv_id || '-' || turn AS message_id, conv_id, regexp_extract_all(text, '[A-Z][a-z]{5,}') AS es FROM conversations), ea AS (SELECT message_id, unnest(es[1:3]) AS e, unnest(range(1, len(es[1:3]) + 1)) AS i FROM ms), ht AS (SELECT message_id, arg_min(length(key) * 1e-3 + 18.9e0, i) AS lat, arg_min(e, i) AS place FROM ea JOIN gz ON key = lower(e) GROUP BY 1)"
+
+
+def messages(t):
+    """Messages as requests; every third has coordinates in the area."""
+    c = F.col("conv_id")
+    return t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), "text", F.upper("role").alias("category"), F.when(c % 3 == 0, 19.0).otherwise(1.0).alias("lat"), F.lit(72.9).alias("lng"))
 
 
 @query(
     "txt11_geocode_requests",
-    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 19.0 WHEN event_id % 3 = 1 THEN 18.9 END AS lat FROM events",
+    "SELECT message_id, CASE WHEN conv_id % 3 = 0 THEN 19e0 ELSE lat END AS lat, CASE WHEN conv_id % 3 = 0 THEN 'USER_GPS' WHEN lat IS NOT NULL THEN 'GAZETTEER' ELSE 'NONE' END AS geo_method, CASE WHEN conv_id % 3 = 0 THEN es[1] ELSE coalesce(place, es[1]) END AS raw_location FROM ms LEFT JOIN ht USING (message_id)",
+    more=f"{GAZ}, {MESSAGES}",
 )
 def _(t):
-    i = F.col("event_id")
-    span = F.struct(F.lit(0).alias("start"), F.lit(7).alias("end"), F.lit("Andheri").alias("text"), F.lit("STATION").alias("label"), F.lit("pattern").alias("source"), F.lit(0.9).alias("confidence"))
-    df = t.events.select("event_id", F.when(i % 3 == 0, 19.0).otherwise(1.0).alias("lat"), F.lit(72.9).alias("lng"), F.when(i % 3 == 1, F.array(span)).otherwise(F.array().cast(f"array<{T.SPAN}>")).alias("entities"))
-    gaz = t.region.where("r_regionkey = 0").select(F.lit("andheri").alias("key"), F.lit(18.9).alias("lat"), F.lit(72.85).alias("lng"))
-    return T.geocode_requests(df, gaz, "event_id").select("event_id", "lat")
+    df = messages(t).withColumn("entities", T.match_patterns(F.col("text"), LANDMARKS))
+    return T.geocode_requests(df, places(t), "message_id").select("message_id", "lat", "geo_method", "raw_location")
 
 
-@query("txt12_headline", "SELECT event_id, array_to_string(list_transform(string_split(replace(event_type, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || CASE WHEN event_id % 2 = 0 THEN ' — flooding' ELSE '' END || ' at Andheri (monsoon)' AS headline FROM events")
+@query(
+    "txt12_headline",
+    "SELECT conv_id, turn, upper(role[1]) || lower(role[2:]) || CASE WHEN len(i) > 0 THEN ' — the' ELSE '' END || CASE WHEN len(w) = 0 THEN '' WHEN len(w) = 1 OR w[1] = w[2] THEN ' at ' || w[1] ELSE ' at ' || w[1] || ', ' || w[2] END || CASE WHEN len(o) > 0 THEN ' (of the)' ELSE '' END AS headline "
+    "FROM (SELECT *, regexp_extract_all(text, '\\bthe\\b') AS i, regexp_extract_all(text, '\\b[A-Z][a-z]+ing\\b') AS w, regexp_extract_all(text, '\\bof the\\b') AS o FROM conversations)",
+)
 def _(t):
-    e = lambda text, lab: F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(text).alias("text"), F.lit(lab).alias("label"), F.lit("lexicon").alias("source"), F.lit(0.8).alias("confidence"))
-    some = F.array(e("Andheri", "STATION"), e("monsoon", "TEMPORAL"))
-    ents = F.when(F.col("event_id") % 2 == 0, F.concat(F.array(e("Flooding", "FLOODING_INCIDENT")), some)).otherwise(some)
-    return t.events.select("event_id", T.headline(F.col("event_type"), ents).alias("headline"))
+    return t.conversations.select("conv_id", "turn", T.headline(F.col("role"), T.match_patterns(F.col("text"), TERMS)).alias("headline"))
 
 
 @query("txt13_textrank")
@@ -126,34 +171,36 @@ def _(t):
     return T.textrank(s.where(T.word_count(F.col("sentence")) >= 3), "conv_id", "position", "sentence")
 
 
-TOP = "SELECT ward_id, category, string_agg(place, ',' ORDER BY n DESC, place) AS places FROM (SELECT ward_id, category, 'p' || (request_id % 5) AS place, count(*) AS n FROM cases GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY ward_id, category ORDER BY count(*) DESC, 'p' || (request_id % 5)) <= 3) GROUP BY 1, 2"
+ENT = "en AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ing')) AS text FROM documents)"
 
 
-@query("txt14_group_summary", f"SELECT c.ward_id, c.category, count(*) AS total, count(*) FILTER (status = 'OPEN') AS open, any_value(places) AS places FROM cases c LEFT JOIN ({TOP}) p ON p.ward_id = c.ward_id AND p.category = c.category GROUP BY 1, 2", "cases")
-def _(t):
-    ents = t.cases.select("request_id", F.concat(F.lit("p"), F.col("request_id") % 5).alias("place"))
-    return T.group_summary(t.cases, ents, ["ward_id", "category"])
+def entities(t):
+    return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+ing)"), F.lit(1))).alias("text"), F.lit("LOCATION").alias("label"))
 
 
-@query("txt15_analyze_documents")
-def _(t):
-    sector = lambda body: F.when(body.rlike("(?i)water"), "Water Supply").otherwise("Other")
-    return T.analyze_documents(t.documents.select("doc_id", "text"), "doc_id", sector)[1]
+TOP = "SELECT source, lang, string_agg(place, ',' ORDER BY n DESC, place) AS places FROM (SELECT d.source, d.lang, en.text AS place, count(*) AS n FROM en JOIN documents d USING (doc_id) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY d.source, d.lang ORDER BY count(*) DESC, en.text) <= 3) GROUP BY 1, 2"
 
 
-@query("txt16_enrich_requests")
+@query("txt14_group_summary", f"SELECT c.source, c.lang, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS open, any_value(places) AS places FROM documents c LEFT JOIN ({TOP}) p ON p.source = c.source AND p.lang = c.lang GROUP BY 1, 2", more=ENT)
 def _(t):
-    r = t.documents.select("doc_id", "text", F.lit("WATER_SUPPLY").alias("category"), F.lit(19.0).alias("lat"), F.lit(72.9).alias("lng"))
-    gaz = t.nation.select(F.lower("n_name").alias("key"), F.lit(19.0).alias("lat"), F.lit(72.9).alias("lng"))
-    out = T.enrich_requests(r, gaz, "doc_id", WORDS, ["आहे"], ["है"], [("the", "glossdef")])
-    return out.select("doc_id", "text", "language.code", "headline", "lat", "lng")
+    requests = t.documents.select("doc_id", "source", "lang", F.when(F.col("doc_id") % 3 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
+    return T.group_summary(requests, entities(t).select("doc_id", F.col("text").alias("place")), ["source", "lang"], "doc_id")
 
 
-ENT = "en AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ing')) AS text FROM documents)"
+@query("txt15_analyze_documents")
+def _(t):
+    sector = lambda body: F.when(body.rlike(r"(?i)\bthe\b"), "Water Supply").when(body.rlike(r"(?i)\bder\b"), "Roads").otherwise("Other")
+    found = T.analyze_documents(t.documents.select("doc_id", "text"), "doc_id", sector, places(t), patterns=TERMS)
+    rows = lambda kind, name, value: found[kind].select("doc_id", F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+    each = [rows("sections", "summary", "words"), rows("shares", "sector", "share"), rows("summary", "sentence", "score"), rows("entities", "text", "n"), rows("mentions", "ward_code", "mentions")]
+    return reduce(DataFrame.unionByName, each)
 
 
-def entities(t):
-    return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+ing)"), F.lit(1))).alias("text"), F.lit("LOCATION").alias("label"))
+@query("txt16_enrich_requests")
+def _(t):
+    classifier, (projection, idf, _) = L.fit_text_classifier(labelled(t), "text", BINARY), L.fit_embeddings(t.documents, "doc_id", "text")
+    out = T.enrich_requests(messages(t), places(t), "message_id", WORDS, ["आहे"], ["है"], GLOSSES, TERMS, classifier, (projection, idf))
+    return out.select("message_id", "text", "language.code", "category", "category_confidence", F.size("entities").alias("entities"), "headline", "lat", "lng", "geo_method", "geo_confidence", "raw_location", "embedding")
 
 
 @query("agg17_entity_frequency", "SELECT lower(text) AS text, 'LOCATION' AS label, count(*) AS n FROM en GROUP BY 1 ORDER BY n DESC, 1 LIMIT 60", more=ENT)
@@ -183,15 +230,15 @@ def labelled(t):
 
 @query("ml1_fit_text_classifier")
 def _(t):
-    x = labelled(t)
-    models, _ = L.fit_text_classifier(x, "text", BINARY, iterations=5)
-    return t.spark.createDataFrame([(n, float(m.intercept), int(m.numFeatures)) for n, m in models.items()], "label string, intercept double, features long")
+    models, _ = L.fit_text_classifier(labelled(t), "text", BINARY)
+    each = [(n, float(m.intercept), int(i), float(m.coefficients[int(i)])) for n, m in models.items() for i in np.flatnonzero(m.coefficients.toArray())]
+    return t.spark.createDataFrame(pd.DataFrame(each, columns=["label", "intercept", "feature", "weight"]))
 
 
 @query("ml2_predict_labels")
 def _(t):
-    models, idf = L.fit_text_classifier(labelled(t), "text", BINARY, iterations=5)
-    return L.predict_labels(t.benchmark.select("item_id", "text"), "text", models, idf).select("item_id", F.array_join("labels", ",").alias("labels"))
+    models, idf = L.fit_text_classifier(labelled(t), "text", BINARY)
+    return L.predict_labels(t.documents.select("doc_id", "text"), "text", models, idf).select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 
 @query(
@@ -211,14 +258,15 @@ def _(t):
 
 @query("ml5_fit_embeddings")
 def _(t):
-    _, _, share = L.fit_embeddings(t.documents, "doc_id", "text", k=16, size=1 << 10)
-    return t.documents.agg(F.count("*").alias("documents")).withColumn("explained", F.lit(share))
+    projection, _, share = L.fit_embeddings(t.documents, "doc_id", "text")
+    rows = pd.DataFrame({"feature": range(len(projection)), "vector": projection.tolist(), "explained": share})
+    return t.spark.createDataFrame(rows, "feature int, vector array<double>, explained double")
 
 
 @query("ml6_encode")
 def _(t):
-    projection, idf, _ = L.fit_embeddings(t.documents, "doc_id", "text", k=16, size=1 << 10)
-    return L.encode(t.benchmark.select("item_id", "text"), "text", projection, idf).select("item_id", F.size("embedding").alias("dims"))
+    projection, idf, _ = L.fit_embeddings(t.documents, "doc_id", "text")
+    return L.encode(t.documents.select("doc_id", "text"), "text", projection, idf).select("doc_id", "embedding")
 
 
 E_SIM = "SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) AS DOUBLE) AS s FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q CROSS JOIN embeddings v"
@@ -285,11 +333,11 @@ def _(t):
 
 @query("dq4_import_requests")
 def _(t):
-    i = F.col("event_id")
-    r = t.events.select(i.alias("request_id"), F.concat(F.lit("Water leakage near "), F.col("event_type"), F.lit(" Road for 3 days")).alias("text"), F.lit("WATER_SUPPLY").alias("category"), (18.86 + 0.0113 * (i % 39)).alias("lat"), (72.76 + 0.0071 * (i % 41)).alias("lng"))
-    gaz = t.nation.select(F.lower("n_name").alias("key"), F.lit(19.0).alias("lat"), F.lit(72.9).alias("lng"))
-    x = T.enrich_requests(r, gaz, "request_id", WORDS, ["आहे"], ["है"], [("leakage", "leak")])
-    return x.join(G.locate(x.select("request_id", "lat", "lng"), shapes(t), "request_id"), "request_id", "left").select("request_id", "ward_id", "headline", "language.code")
+    c = F.col("conv_id")
+    rows = t.conversations.select(F.col("text").alias("text"), F.col("role").alias("category"), F.col("role").alias("status"), F.concat(F.lit("W"), c % 5).alias("ward_code"), F.when(c % 3 == 0, 18.86 + 0.0113 * (c % 39)).alias("lat"), F.when(c % 3 == 0, 72.76 + 0.0071 * (c % 41)).alias("lng"))
+    codes = t.nation.select(F.concat(F.lit("W"), F.col("n_nationkey")).alias("ward_code"), F.col("n_nationkey").cast("int").alias("ward_id"))
+    x = D.import_requests(rows, shapes(t), places(t).drop("ward_code"), codes, mixed_terms=WORDS, second=["आहे"], first=["है"], lexicon=GLOSSES, patterns=TERMS)
+    return x.select("request_id", "text", "status", "ward_id", "geo_method", "headline", "language.code")
 
 
 @query("dq5_import_quality", "SELECT count(*) AS total, count(*) FILTER (is_missing) AS missing, count(*) FILTER (is_duplicate) AS duplicates, count(*) FILTER (NOT is_missing AND NOT is_duplicate AND lat < 18) AS bad_locations, round(0.4 * (1 - count(*) FILTER (is_missing) / count(*)) + 0.3 * (1 - count(*) FILTER (NOT is_missing AND NOT is_duplicate AND lat < 18) / count(*)) + 0.3 * (1 - count(*) FILTER (is_duplicate) / count(*)), 4) AS score FROM fl", more=ROWS)

@@ -212,3 +212,86 @@ def test_facility_rules_in_order(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(tags)], "i int, tags map<string,string>")
     got = df.select("i", filters.classify_facility(F.col("tags")).alias("k")).orderBy("i").collect()
     assert [r.k and tuple(r.k) for r in got] == [k for _, k in tags]
+
+
+def places_table(spark):
+    rows = [("green lake", "PLACE", 19.01, 72.81, "W1"), ("green lake station", "STATION", 19.02, 72.82, "W1"), ("mill road", "ROAD", 19.03, 72.83, "W2"), ("lake station road", "ROAD", 19.04, 72.84, "W2")]
+    return spark.createDataFrame(rows, "key string, kind string, lat double, lng double, ward_code string")
+
+
+def test_entities_take_names_leftmost_then_longest_with_places_in_the_text(spark):
+    texts = [(1, "Outage near  Green Lake, Station road; Mill Road too"), (2, None), (3, ""), (4, "Grand Mill Road Avenue, İ mill road!"), (5, "green lake's greenlake")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = {r.id: r for r in text.extract_entities(df, places_table(spark), "id").collect()}
+    for r in got.values():
+        assert all(r.text[e.start : e.end] == e.text for e in r.entities)
+        assert all(a.end <= b.start for a, b in zip(r.entities, r.entities[1:]))
+    assert [(e.text, e.label, e.source) for e in got[1].entities] == [("Outage", "STREET_INCIDENT", "lexicon"), ("Green Lake, Station", "STATION", "gazetteer"), ("Mill Road", "ROAD", "gazetteer")]
+    assert [e.text for e in got[4].entities] == ["Mill Road", "mill road"]
+    assert got[2].entities == got[3].entities == [] and [e.text for e in got[5].entities] == ["green lake"]
+    found = sorted(map(tuple, text.match_places(df, places_table(spark), "id").collect()))
+    assert found == [(1, 2, 3, "green lake station"), (1, 6, 2, "mill road"), (4, 1, 2, "mill road"), (4, 5, 2, "mill road"), (5, 0, 2, "green lake")]
+
+
+def test_overlaps_by_source_length_and_confidence(spark):
+    spans = [(0, 9, "a", "X", "lexicon", 0.9), (5, 7, "b", "X", "gazetteer", 0.5), (7, 9, "c", "X", "pattern", 0.1), (8, 12, "d", "X", "pattern", 0.1), (20, 22, "e", "X", "lexicon", 0.8), (20, 22, "f", "X", "lexicon", 0.9)]
+    df = spark.createDataFrame([(spans,)], f"s array<{text.SPAN}>")
+    assert [e.text for e in df.select(text.resolve_overlaps(F.col("s")).alias("e")).first().e] == ["b", "d", "f"]
+
+
+def test_enriched_requests_have_place_method_and_category(spark):
+    rows = [(1, "Outage at Mill Road", "LAMPS", 19.0, 72.9), (2, "Outage at Mill Road, Green Lake station", "LAMPS", 5.0, 72.9), (3, "no place <b>here</b>", "LAMPS", None, None), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, text string, category string, lat double, lng double")
+    got = {r.id: r for r in text.enrich_requests(df, places_table(spark), "id", ["hai"], ["x"], ["y"], [("outage", "no light")]).collect()}
+    assert [(got[i].geo_method, got[i].geo_confidence, got[i].lat, got[i].raw_location) for i in (1, 2, 3)] == [("USER_GPS", 1.0, 19.0, "Mill Road"), ("GAZETTEER", 0.95, 19.02, "Green Lake station"), ("NONE", 0.0, None, None)]
+    assert got[2].headline == "Lamps — outage at Mill Road, Green Lake station" and got[1].expanded.endswith("no light") and got[3].text == "no place here"
+    assert got[4].text == "" and got[4].geo_method == "NONE"
+    train = spark.createDataFrame([("dark lamp outage", 1, 0), ("lamp outage again", 1, 0), ("pothole in the street", 0, 1), ("deep pothole", 0, 1)], "text string, LAMPS int, ROADS int")
+    model = learning.fit_text_classifier(train, "text", ["LAMPS", "ROADS"])
+    found = {r.id: r for r in text.enrich_requests(df, places_table(spark), "id", ["hai"], ["x"], ["y"], [("outage", "no light")], classifier=model).collect()}
+    assert found[1].category == "LAMPS" and found[1].category_confidence > 0.5 and (found[4].category, found[4].category_confidence) == ("OTHER", 0.0)
+
+
+def test_labels_reach_the_threshold_or_are_the_best(spark):
+    train = spark.createDataFrame([("red apple", 1, 0), ("red cherry", 1, 0), ("blue sky", 0, 1), ("blue sea", 0, 1), ("grey fog", 0, 0)], "text string, red int, blue int")
+    models, idf = learning.fit_text_classifier(train, "text", ["red", "blue"])
+    got = [r.labels for r in learning.predict_labels(spark.createDataFrame([("red apple",), ("blue sea",), ("",), (None,)], "text string"), "text", models, idf, threshold=0.5).collect()]
+    assert got[0] == ["red"] and got[1] == ["blue"] and all(len(x) >= 1 for x in got)
+    for m in models.values():
+        assert m.summary.totalIterations < 2000
+
+
+def test_analysed_documents(spark):
+    body = "Water Supply\nMill Road has no water. Mill Road needs a pipe for water today. The water at Green Lake is low.\nRoads\nMill Road is broken and the surface of Mill Road is old."
+    docs = spark.createDataFrame([(7, body), (8, None)], "doc int, text string")
+    sector = lambda b: F.when(b.contains("water"), "WATER").otherwise("ROADS")
+    got = text.analyze_documents(docs, "doc", sector, places_table(spark), k=2)
+    assert sorted((r.title, r.sector, r.words) for r in got["sections"].collect()) == [("Roads", "ROADS", 12), ("Water Supply", "WATER", 20)]
+    assert all(r.summary in body for r in got["sections"].collect())
+    assert sorted((r.sector, r.share) for r in got["shares"].collect()) == [("ROADS", 37.5), ("WATER", 62.5)]
+    assert [(r.text, r.label, r.n) for r in got["entities"].orderBy(F.desc("n")).collect()] == [("Mill Road", "ROAD", 4), ("Green Lake", "LOCATION", 1)]
+    assert sorted((r.ward_code, r.mentions) for r in got["mentions"].collect()) == [("W1", 1), ("W2", 4)] and got["summary"].count() == 2
+
+
+def test_imported_requests(spark):
+    square = [[(72.80, 19.0), (72.82, 19.0), (72.82, 19.05), (72.80, 19.05), (72.80, 19.0)]]
+    rows = [("Outage at Green Lake", "LAMPS", "closed", "W9", None, None), ("Outage at Green Lake", "LAMPS", "closed", "W9", None, None), (" ", "LAMPS", "OPEN", None, None, None), ("Spill", "OIL", "lost", "w9", 5.0, 72.8), ("Spill", "OIL", "lost", "w9", 6.0, 72.8), ("Spill", "OIL", None, None, 19.01, 72.81)]
+    df = spark.createDataFrame(rows, "text string, category string, status string, ward_code string, lat double, lng double")
+    codes = spark.createDataFrame([("W9", 9)], "ward_code string, ward_id int")
+    wards = spark.createDataFrame([(1, square)], "ward_id int, rings array<array<struct<x:double,y:double>>>")
+    got = quality.import_requests(df, wards, places_table(spark).drop("ward_code"), codes, mixed_terms=["hai"], second=["x"], first=["y"], lexicon=[("spill", "leak")]).collect()
+    assert len(got) == len({r.request_id for r in got}) == 4
+    assert sorted((r.text, r.status, r.ward_id, r.geo_method) for r in got) == [("Outage at Green Lake", "CLOSED", 1, "GAZETTEER"), ("Spill", "OPEN", 1, "USER_GPS"), ("Spill", "OPEN", 9, "NONE"), ("Spill", "OPEN", 9, "NONE")]
+
+
+def test_trees_of_every_metric_beat_the_mean(spark):
+    rng = random.Random(1)
+    rows = [(m, f, math.sin(i) * 3 + f + rng.random() * 0.1, float(i)) for m in ("a", "b") for f in (0, 1) for i in range(60)]
+    cols = ", ".join(f"sin({i + 1} * t) AS {c}" if c not in ("t", "lag_1") else ("t" if c == "t" else "sin(t) AS lag_1") for i, c in enumerate(forecasting.FEATURES))
+    spark.createDataFrame(rows, "metric string, w int, y double, t double").createOrReplaceTempView("trees")
+    df = spark.sql(f"SELECT metric, w, y, 10D AS scale, {cols} FROM trees")
+    out = forecasting.predict_metrics(forecasting.fit_metrics(df, ["a", "b"], trees=30, step=0.2), df)
+    assert out.count() == df.count()
+    m = {r.metric: r for r in forecasting.backtest_metrics(out).collect()}
+    err = {k: [abs(r.y - r.prediction) * 10 for r in out.where(F.col("metric") == k).collect()] for k in ("a", "b")}
+    assert all(abs(m[k].mae - sum(v) / len(v)) < 1e-9 and m[k].r2 > 0.7 and m[k]["rows"] == 120 for k, v in err.items())
