@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placestat.operators.graph import checkpoint
+from placestat.operators.graph import checkpoint, ensure_checkpoint_dir
 
 #: Words are what stands between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,3 +37,13 @@ def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 def hash32(value: Column) -> Column:
     """First 32 bits of the MD5, as a long; the same in any SQL engine."""
     return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written as Parquet to a new folder below the shared checkpoint folder and read back: lineage cut, columns prunable."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placestat.llm.decontaminate import contaminated_pairs
+from placestat.llm.jaccard import jaccard_components
 from placestat.llm.langid import label_languages
 from placestat.llm.licences import known_licences, scan_licences, scan_sql
 from placestat.llm.linededup import drop_repeated_chunks
@@ -75,6 +76,10 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mixture(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key", "text")
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_source_mixture": op10_source_mixture,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 #: Features and sketch bins of the quality rules; {docs} is the table they are made from.
