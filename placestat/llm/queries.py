@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placestat.llm.conversations import damage, repair_conversations
 from placestat.llm.decontaminate import contaminated_pairs
 from placestat.llm.jaccard import jaccard_components
 from placestat.llm.langid import label_languages
@@ -17,6 +18,7 @@ from placestat.llm.mixture import poisson_mixture
 from placestat.llm.pseudonyms import pseudonymise
 from placestat.llm.quality import adaptive_verdict
 from placestat.llm.simhash import simhash_components
+from placestat.llm.tokenalign import alignment_statistics
 from placestat.llm.toxicity import chain_probabilities
 
 
@@ -76,6 +78,15 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mixture(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "n_copies", "shuffle_key", "text")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_conversations(damage(rows), rows.select("conv_id"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_statistics(table(spark, sf_dir, "documents"))
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -91,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_source_mixture": op10_source_mixture,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
     "op13_jaccard_join": op13_jaccard_join,
 }
 
