@@ -1,10 +1,10 @@
 """N-gram Jaccard join with several global token orders.
 
 Two sets with at least p % similarity share one of their first n - ceil(p n / 100) + 1 elements under every
-total order of the elements. Candidates come from an equality join on the prefixes of a first order, in
-which frequent elements stand last; each must then share a prefix element under the other orders too; what
-all orders let through is verified. The orders sort by a frequency class, taken from counts over all
-documents, and then by hashes of their own, so a pair that meets by chance under one seldom meets under all.
+total order of the elements. Candidates come from an equality join on the prefixes of a first order; each must
+then share a prefix element under the other orders too; what all orders let through is verified. The orders sort
+by hashes of their own, so a pair that meets by chance under one seldom meets under all; elements that stand in very many
+prefixes come last in each.
 """
 
 from __future__ import annotations
@@ -39,18 +39,18 @@ def mixed(h: np.ndarray, order: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(MIX[(order + 1) % len(MIX)] | 1)
 
 
-def prefix(h: np.ndarray, order: int, percent: int, frequent: np.ndarray, bits: int) -> np.ndarray:
-    """The prefix of a set under a global order; ``frequent`` has a class of 1 or more for buckets of many elements."""
+def prefix(h: np.ndarray, order: int, percent: int, hot: np.ndarray) -> np.ndarray:
+    """The prefix of a set under a global order: by a hash of the order's own, ``hot`` elements (sorted) last."""
     k = prefix_length(len(h), percent)
-    if k >= len(h):
-        return h
     place = mixed(h, order)
-    kind = frequent[buckets(h, bits)]
-    return h[np.lexsort((place, kind))[:k]] if kind.any() else h[np.argsort(place)[:k]]
-
-
-def buckets(h: np.ndarray, bits: int) -> np.ndarray:
-    return (mixed(h, 3) >> np.uint64(64 - bits)).astype(np.int64)
+    if len(hot):
+        late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        if late.any():
+            return h[np.lexsort((place, late))[:k]]
+    if 4 * k < 3 * len(h):
+        some = np.argpartition(place, k - 1)[:k] if k else np.zeros(0, dtype=np.int64)
+        h, place = h[some], place[some]
+    return h[np.argsort(place)[:k]]
 
 
 def _sets(column: pa.Array, size: int, known: _WordHashes) -> Iterator[np.ndarray]:
@@ -64,62 +64,36 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
 
 
-def frequency_classes(docs: DataFrame, text_col: str, shingle: int, bits: int = 20) -> np.ndarray:
-    """A class for each of 2^bits buckets of shingles: 0, or the log2 of how far the bucket's number of documents is above twice the mean.
-
-    Every shingle of every document is counted, in tasks and then by bucket. Only buckets that stand out reach the driver:
-    fewer than half of a fixed number, whatever the input. Classes only order the prefixes; any order finds the same pairs.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = _WordHashes(), np.zeros(1 << bits, dtype=np.int64)
-        for b in batches:
-            for h in _sets(b.column(0), shingle, known):
-                np.add.at(total, buckets(h, bits), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["b", "n"])
-
-    counts = checkpoint(docs.select(text_col).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")))
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
-    level = F.floor(F.log2(F.col("n") / F.lit(max(2 * mean, 2.0)))).cast("int") + 1
-    out = np.zeros(1 << bits, dtype=np.int8)
-    high = counts.where(F.col("n") >= F.lit(max(2 * mean, 2.0))).select("b", level.alias("k")).toPandas()
-    out[high["b"].to_numpy()] = high["k"].to_numpy()
-    return out
-
-
 def _digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, frequent: np.ndarray, bits: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, hot: np.ndarray) -> DataFrame:
     """(doc_id, n, digest, prefix) of each row: size and digest of its set and the first order's prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for b in batches:
             sets = list(_sets(b.column(1), shingle, known))
-            first = [prefix(h, 0, percent, shared.value, bits) for h in sets]
+            first = [prefix(h, 0, percent, shared.value) for h in sets]
             cols = [b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(_digest, sets)), pa.binary()), _lists(first, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "digest", "prefix"])
 
     return docs.select(id_col, text_col).mapInArrow(sign, f"doc_id {kind}, n long, digest binary, prefix array<long>")
 
 
-def other_prefixes(docs: DataFrame, text_col: str, shingle: int, percent: int, orders: int, frequent: np.ndarray, bits: int) -> DataFrame:
+def other_prefixes(docs: DataFrame, text_col: str, shingle: int, percent: int, orders: int, hot: np.ndarray) -> DataFrame:
     """(digest, p1, ..., hs): the prefixes under the other orders, as 32-bit values, and the whole set."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
     names = [f"p{k}" for k in range(1, orders)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for b in batches:
             sets = list(_sets(b.column(0), shingle, known))
-            more = [_lists([prefix(h, k, percent, shared.value, bits).astype(np.int32) for h in sets], pa.int32()) for k in range(1, orders)]
+            more = [_lists([prefix(h, k, percent, shared.value).astype(np.int32) for h in sets], pa.int32()) for k in range(1, orders)]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), *more, _lists(sets, pa.int64())], names=["digest", *names, "hs"])
 
     return docs.select(text_col).mapInArrow(sign, ", ".join(["digest binary", *(f"{x} array<int>" for x in names), "hs array<long>"]))
@@ -138,14 +112,14 @@ def _fits(a: str, b: str, percent: int) -> Column:
 
 
 def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): under each prefix element the least node of its size class with the others; as many rows as prefix elements at most.
+    """(src, dst): each node with one other at most, the least node of its size class under most of its prefix elements.
 
     Not all candidates, but enough of them to join most large groups without listing their pairs.
     """
     keyed = rows.withColumn("cls", F.floor(F.log(F.shiftright("x", 32).cast("double")) / F.lit(float(np.log(100 / percent)) if percent < 100 else 1.0)))
-    hubs = keyed.groupBy("h", "cls").agg(F.min(F.struct("node", "x")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = keyed.join(hubs, ["h", "cls"]).withColumn("hx", F.col("hub.x")).where((F.col("hub.node") < F.col("node")) & _fits("hx", "x", percent))
-    return met.select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
+    hubs = keyed.groupBy("h", "cls").agg(F.min("node").alias("src"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = keyed.join(hubs, ["h", "cls"]).where("src < node").groupBy("node", "src").agg(F.count("*").alias("c"))
+    return met.groupBy("node").agg(F.max(F.struct("c", (-F.col("src")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("src"), F.col("node").alias("dst"))
 
 
 def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -160,7 +134,17 @@ def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return a.join(b, apart).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, orders: int = 3, bits: int = 20) -> DataFrame:
+def hot_elements(rows: DataFrame, counts: DataFrame, most: int, least: int = 64) -> np.ndarray:
+    """Sorted elements that stand in so many prefixes that there can't be over ``most`` of them; ``least`` prefixes at any rate.
+
+    They only come last in the orders, which all finds the same pairs, at another cost. counts: (h, c).
+    """
+    limit = max(least, -(-rows.count() // most))
+    found = counts.where(F.col("c") >= F.lit(limit)).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
+    return np.sort(found)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, orders: int = 3, most_hot: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its set of word shingles and the least id reachable by links.
 
     A set has the distinct ``shingle``-word windows of the A-Z lower-cased words; a text of fewer words has one element, all
@@ -168,36 +152,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and blank texts have no set, are linked with nothing and are their own component. Equal sets are folded to one node before
     the join. Rows may repeat, each gives a row; a null id takes its component's least id, null if it has none. Elements
     are compared by 64-bit hashes. Columns other than id and text are ignored.
+
+    Prefixes are made by hash first. Elements in very many of them (``most_hot`` at most, whatever the input) then go last in every order:
+    only documents with such an element in their prefix get a new one, as a hot element outside a prefix changes nothing.
     """
     if not 0 < percent <= 100 or not 1 <= orders <= 3:
         raise ValueError("percent must be in 1..100 and orders in 1..3")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = frequency_classes(docs, "text", shingle, bits)
-    signed = signatures(docs, "doc_id", "text", shingle, percent, frequent, bits)
-    f = stored(signed.withColumn("row", F.monotonically_increasing_id()), "jaccard-signatures")
+    none = np.zeros(0, dtype=np.int64)
+    f = stored(signatures(docs, "doc_id", "text", shingle, percent, none).withColumn("row", F.monotonically_increasing_id()), "jaccard-signatures")
     classes = f.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(classes, "jaccard-classes")
-    reps = f.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    rows = reps.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "h")).select("h", "node", _places(F.col("n"), F.col("pos")).alias("x"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    rows = stored(rows.join(shared, "h", "left_semi"), "jaccard-index")
+    copies = f.where("n > 0").select("row", "digest").join(classes, "digest").where("row <> node").select("row")
+    reps = f.where("n > 0").join(sized_broadcast(copies, 1_000_000), "row", "left_anti")
+    spread = lambda df: df.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "h")).select("h", "node", _places(F.col("n"), F.col("pos")).alias("x"))
+    counts = stored(spread(reps).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-counts")
+    hot = hot_elements(spread(reps), counts, most_hot)
+
+    def texts_of(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The documents with the ids of the ``wanted`` rows, and (row, digest) of these to tell them by."""
+        who = sized_broadcast(f.join(wanted, "row").select("row", "doc_id", "digest"), 1_000_000)
+        ids = who.select(F.col("doc_id").alias("wanted")).distinct()
+        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), who.select("row", "digest")
+
+    if len(hot):
+        late = docs.sparkSession.createDataFrame([(int(h),) for h in hot], "h long")
+        moved = checkpoint(spread(reps).join(sized_broadcast(late, most_hot), "h", "left_semi").select(F.col("node").alias("row")).distinct())
+        texts, who = texts_of(moved)
+        again = signatures(texts, "doc_id", "text", shingle, percent, hot).drop("doc_id").join(who, "digest").dropDuplicates(["row"])
+        again = stored(again, "jaccard-signatures")
+        reps = reps.join(moved, "row", "left_anti").select("row", "n", "prefix").unionByName(again.select("row", "n", "prefix"))
+        counts = counts.select("h").unionByName(again.select(F.explode("prefix").alias("h"))).distinct()
+    rows = stored(spread(reps).join(counts.select("h"), "h", "left_semi"), "jaccard-index")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that share prefix elements under the other orders too and have the similarity."""
         pairs = checkpoint(pairs)
-        wanted = checkpoint(pairs.select(F.col("src").alias("row")).union(pairs.select(F.col("dst").alias("row"))).distinct())
-        who = stored(f.join(wanted, "row").select("row", "doc_id", "digest"), "jaccard-wanted")
-        ids = sized_broadcast(who.select("doc_id").distinct(), 1_000_000)
-        texts = docs.join(ids.select(F.col("doc_id").alias("wanted")), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-        made = other_prefixes(texts, "text", shingle, percent, orders, frequent, bits)
-        sides = stored(made.join(who.select("digest", F.col("row").alias("node")), "digest").drop("digest").dropDuplicates(["node"]), "jaccard-sides")
+        texts, who = texts_of(checkpoint(pairs.select(F.col("src").alias("row")).union(pairs.select(F.col("dst").alias("row"))).distinct()))
+        made = other_prefixes(texts, "text", shingle, percent, orders, hot)
+        sides = stored(made.join(who.withColumnRenamed("row", "node"), "digest").drop("digest"), "jaccard-sides")
         names = [f"p{k}" for k in range(1, orders)]
         side = lambda node, cols: sides.select(F.col("node").alias(node), *[F.col(c).alias(f"{node}_{c}") for c in cols])
         if names:
             met = pairs.join(side("src", names), "src").join(side("dst", names), "dst")
             for c in names:
                 met = met.where(F.arrays_overlap(f"src_{c}", f"dst_{c}"))
-            pairs = checkpoint(met.select("src", "dst"))
+            pairs = checkpoint(met.select("src", "dst").distinct())
         both = pairs.join(side("src", ["hs"]), "src").join(side("dst", ["hs"]), "dst")
         both = both.select("src", "dst", F.size("src_hs").alias("na"), F.size("dst_hs").alias("nb"), F.size(F.array_intersect("src_hs", "dst_hs")).cast("long").alias("c"))
         return checkpoint(both.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("src", "dst"))
