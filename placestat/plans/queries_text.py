@@ -15,6 +15,7 @@ from placestat.operators import learning as L
 from placestat.operators import quality as D
 from placestat.operators import ranking as R
 from placestat.operators import spatial as G
+from placestat.operators import summarize as S
 from placestat.operators import text as T
 from placestat.plans.queries_spatial import INSIDE, shapes
 from placestat.plans.registry import query
@@ -60,7 +61,7 @@ def _(t):
 
 
 SENTENCES = r"""WITH x AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x FROM documents),
-p AS (SELECT doc_id, x, list_filter(list_transform(string_split(regexp_replace(x, '([.!?।…]+["'')\]]*) (\P{Ll})', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 2) AS p FROM x),
+p AS (SELECT doc_id, x, list_filter(list_transform(string_split(regexp_replace(x, '([.!?।]) ([A-Z0-9"''(ऀ-ॿ])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 2) AS p FROM x),
 q AS (SELECT doc_id, CASE WHEN len(p) > 0 THEN p WHEN x <> '' THEN [x] ELSE [] END AS p FROM p)
 SELECT doc_id, unnest(range(len(p))) AS position, unnest(p) AS sentence FROM q"""
 
@@ -70,7 +71,21 @@ def _(t):
     return T.split_sentences(t.documents.select("doc_id", "text")).select("doc_id", "position", "sentence")
 
 
-@query("txt5_segment_sections")
+SECTIONS = r"""WITH RECURSIVE ls AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda s: trim(s)), lambda s: s <> '') AS l FROM documents),
+ln AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM ls),
+hd AS (SELECT *, len(regexp_extract_all(line, '\S+')) <= 10 AND regexp_matches(line, '^(?:\d+(?:\.\d+)*\.?\s+)?[A-Z][A-Za-z0-9 ,&/()\-]{3,80}$') AND NOT ends_with(line, '.') AS head FROM ln),
+sc AS (SELECT *, (sum(head::INT) OVER (PARTITION BY doc_id ORDER BY pos))::INT AS section FROM hd),
+bd AS (SELECT doc_id, section, coalesce(max(line) FILTER (head), 'Introduction') AS title, coalesce(string_agg(line, ' ' ORDER BY pos) FILTER (NOT head), '') AS body FROM sc GROUP BY 1, 2),
+wd AS (SELECT *, len(regexp_extract_all(body, '\S+')) AS n FROM bd),
+sn AS (SELECT doc_id, section, title, unnest(range(len(p))) AS i, unnest(p) AS s FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(body, '\s+', ' ', 'g'), '([.!?।]) ([A-Z0-9"''(ऀ-ॿ])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 2) AS p FROM wd WHERE n > 440)),
+sw AS (SELECT *, len(regexp_extract_all(s, '\S+')) AS w FROM sn),
+wk AS (SELECT doc_id, section, i, 1 AS part, w AS held FROM sw WHERE i = 0 UNION ALL
+  SELECT x.doc_id, x.section, x.i, CASE WHEN held >= 220 THEN part + 1 ELSE part END, CASE WHEN held >= 220 THEN x.w ELSE held + x.w END FROM wk JOIN sw x ON x.doc_id = wk.doc_id AND x.section = wk.section AND x.i = wk.i + 1)
+SELECT doc_id, section, 0 AS part, title, body FROM wd WHERE n BETWEEN 5 AND 440 UNION ALL
+SELECT * FROM (SELECT doc_id, section, part, any_value(title) || ' (part ' || part || ')' AS title, string_agg(s, ' ' ORDER BY i) AS body FROM wk JOIN sw USING (doc_id, section, i) GROUP BY doc_id, section, part) WHERE len(regexp_extract_all(body, '\S+')) >= 5"""
+
+
+@query("txt5_segment_sections", SECTIONS)
 def _(t):
     return T.segment_sections(t.documents.select("doc_id", "text"), "doc_id")
 
@@ -168,7 +183,7 @@ def _(t):
 @query("txt13_textrank")
 def _(t):
     s = T.split_sentences(t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text")))
-    return T.textrank(s.where(T.word_count(F.col("sentence")) >= 3), "conv_id", "position", "sentence")
+    return S.textrank(s.where(T.word_count(F.col("sentence")) >= 3), "conv_id", "position", "sentence")
 
 
 ENT = "en AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ing')) AS text FROM documents)"
