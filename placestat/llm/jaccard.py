@@ -39,14 +39,18 @@ def mixed(h: np.ndarray, order: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(MIX[(order + 1) % len(MIX)] | 1)
 
 
-def prefix(h: np.ndarray, order: int, percent: int, hot: np.ndarray) -> np.ndarray:
-    """The prefix of a set under a global order: by a hash of the order's own, ``hot`` elements (sorted) last."""
+Shared = tuple[np.ndarray, np.ndarray]  # elements, sorted, and the class of each
+
+
+def prefix(h: np.ndarray, order: int, percent: int, shared: Shared) -> np.ndarray:
+    """The prefix of a set under a global order: by class, elements that aren't in ``shared`` first, then by a hash of the order's own."""
     k = prefix_length(len(h), percent)
     place = mixed(h, order)
-    if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-        if late.any():
-            return h[np.lexsort((place, late))[:k]]
+    if len(shared[0]):
+        at = np.minimum(np.searchsorted(shared[0], h), len(shared[0]) - 1)
+        kind = np.where(shared[0][at] == h, shared[1][at], 0)
+        if kind.any():
+            return h[np.lexsort((place, kind))[:k]]
     if 4 * k < 3 * len(h):
         some = np.argpartition(place, k - 1)[:k] if k else np.zeros(0, dtype=np.int64)
         h, place = h[some], place[some]
@@ -68,32 +72,32 @@ def _digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, hot: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, shared: Shared) -> DataFrame:
     """(doc_id, n, digest, prefix) of each row: size and digest of its set and the first order's prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    sent = docs.sparkSession.sparkContext.broadcast(shared)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for b in batches:
             sets = list(_sets(b.column(1), shingle, known))
-            first = [prefix(h, 0, percent, shared.value) for h in sets]
+            first = [prefix(h, 0, percent, sent.value) for h in sets]
             cols = [b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(_digest, sets)), pa.binary()), _lists(first, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "digest", "prefix"])
 
     return docs.select(id_col, text_col).mapInArrow(sign, f"doc_id {kind}, n long, digest binary, prefix array<long>")
 
 
-def other_prefixes(docs: DataFrame, text_col: str, shingle: int, percent: int, orders: int, hot: np.ndarray) -> DataFrame:
+def other_prefixes(docs: DataFrame, text_col: str, shingle: int, percent: int, orders: int, shared: Shared) -> DataFrame:
     """(digest, p1, ..., hs): the prefixes under the other orders, as 32-bit values, and the whole set."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    sent = docs.sparkSession.sparkContext.broadcast(shared)
     names = [f"p{k}" for k in range(1, orders)]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for b in batches:
             sets = list(_sets(b.column(0), shingle, known))
-            more = [_lists([prefix(h, k, percent, shared.value).astype(np.int32) for h in sets], pa.int32()) for k in range(1, orders)]
+            more = [_lists([prefix(h, k, percent, sent.value).astype(np.int32) for h in sets], pa.int32()) for k in range(1, orders)]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(_digest, sets)), pa.binary()), *more, _lists(sets, pa.int64())], names=["digest", *names, "hs"])
 
     return docs.select(text_col).mapInArrow(sign, ", ".join(["digest binary", *(f"{x} array<int>" for x in names), "hs array<long>"]))
@@ -134,17 +138,23 @@ def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return a.join(b, apart).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
 
 
-def hot_elements(rows: DataFrame, counts: DataFrame, most: int, least: int = 64) -> np.ndarray:
-    """Sorted elements that stand in so many prefixes that there can't be over ``most`` of them; ``least`` prefixes at any rate.
+def shared_elements(counts: DataFrame, most: int) -> Shared:
+    """The elements of (h, c) with the highest counts, ``most`` of them at most, and a class of the log2 of its count for each.
 
-    They only come last in the orders, which all finds the same pairs, at another cost. counts: (h, c).
+    Counts under a power of two are left out until the rest is few enough. What is left out is of class 0 like any unshared element; any
+    classes find the same pairs, at another cost.
     """
-    limit = max(least, -(-rows.count() // most))
-    found = counts.where(F.col("c") >= F.lit(limit)).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
-    return np.sort(found)
+    level, total = 1, 0
+    for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().orderBy(F.desc("k")).collect():
+        total += r["count"]
+        if total > most:
+            level = r["k"] + 1
+            break
+    found = counts.where(F.col("c") >= F.lit(1 << level)).toPandas().sort_values("h")
+    return found["h"].to_numpy(dtype=np.int64), np.floor(np.log2(found["c"].to_numpy())).astype(np.int8) if len(found) else np.zeros(0, dtype=np.int8)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, orders: int = 3, most_hot: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, orders: int = 3, most_shared: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its set of word shingles and the least id reachable by links.
 
     A set has the distinct ``shingle``-word windows of the A-Z lower-cased words; a text of fewer words has one element, all
@@ -153,21 +163,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the join. Rows may repeat, each gives a row; a null id takes its component's least id, null if it has none. Elements
     are compared by 64-bit hashes. Columns other than id and text are ignored.
 
-    Prefixes are made by hash first. Elements in very many of them (``most_hot`` at most, whatever the input) then go last in every order:
-    only documents with such an element in their prefix get a new one, as a hot element outside a prefix changes nothing.
+    Prefixes are made by hash first. Elements in two or more of them (the ``most_shared`` most frequent, whatever the input) then go last in every
+    order, the most frequent at the end: texts that differ in over a fifth have prefixes of their own elements only and never meet. Just the
+    documents with such an element in their prefix get a new one, as for others nothing changes.
     """
     if not 0 < percent <= 100 or not 1 <= orders <= 3:
         raise ValueError("percent must be in 1..100 and orders in 1..3")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    none = np.zeros(0, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int8)
     f = stored(signatures(docs, "doc_id", "text", shingle, percent, none).withColumn("row", F.monotonically_increasing_id()), "jaccard-signatures")
     classes = f.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = stored(classes, "jaccard-classes")
     copies = f.where("n > 0").select("row", "digest").join(classes, "digest").where("row <> node").select("row")
-    reps = f.where("n > 0").join(sized_broadcast(copies, 1_000_000), "row", "left_anti")
+    reps = f.where("n > 0").join(sized_broadcast(copies, 1_000_000), "row", "left_anti").select("row", "n", "prefix")
     spread = lambda df: df.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "h")).select("h", "node", _places(F.col("n"), F.col("pos")).alias("x"))
     counts = stored(spread(reps).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-counts")
-    hot = hot_elements(spread(reps), counts, most_hot)
+    shared = shared_elements(counts, most_shared)
 
     def texts_of(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The documents with the ids of the ``wanted`` rows, and (row, digest) of these to tell them by."""
@@ -175,21 +186,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ids = who.select(F.col("doc_id").alias("wanted")).distinct()
         return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi"), who.select("row", "digest")
 
-    if len(hot):
-        late = docs.sparkSession.createDataFrame([(int(h),) for h in hot], "h long")
-        moved = checkpoint(spread(reps).join(sized_broadcast(late, most_hot), "h", "left_semi").select(F.col("node").alias("row")).distinct())
+    if len(shared[0]):
+        sent = docs.sparkSession.sparkContext.broadcast(shared[0])
+
+        def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = sent.value
+            for b in batches:
+                h = b.column(1).values.to_numpy()[b.column(1).offsets[0].as_py() :]
+                hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.unique(row[hit[: len(row)]])))], names=["row"])
+
+        moved = checkpoint(reps.select("row", "prefix").mapInArrow(touched, "row long"))
         texts, who = texts_of(moved)
-        again = signatures(texts, "doc_id", "text", shingle, percent, hot).drop("doc_id").join(who, "digest").dropDuplicates(["row"])
-        again = stored(again, "jaccard-signatures")
-        reps = reps.join(moved, "row", "left_anti").select("row", "n", "prefix").unionByName(again.select("row", "n", "prefix"))
-        counts = counts.select("h").unionByName(again.select(F.explode("prefix").alias("h"))).distinct()
-    rows = stored(spread(reps).join(counts.select("h"), "h", "left_semi"), "jaccard-index")
+        again = signatures(texts, "doc_id", "text", shingle, percent, shared).drop("doc_id").join(who, "digest").dropDuplicates(["row"])
+        again = stored(again.select("row", "n", "prefix"), "jaccard-signatures")
+        reps = reps.join(sized_broadcast(moved, 1_000_000), "row", "left_anti").unionByName(again)
+    rows = spread(reps)
+    meeting = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    rows = stored(rows.join(meeting, "h", "left_semi"), "jaccard-index")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that share prefix elements under the other orders too and have the similarity."""
         pairs = checkpoint(pairs)
         texts, who = texts_of(checkpoint(pairs.select(F.col("src").alias("row")).union(pairs.select(F.col("dst").alias("row"))).distinct()))
-        made = other_prefixes(texts, "text", shingle, percent, orders, hot)
+        made = other_prefixes(texts, "text", shingle, percent, orders, shared)
         sides = stored(made.join(who.withColumnRenamed("row", "node"), "digest").drop("digest"), "jaccard-sides")
         names = [f"p{k}" for k in range(1, orders)]
         side = lambda node, cols: sides.select(F.col("node").alias(node), *[F.col(c).alias(f"{node}_{c}") for c in cols])
