@@ -8,9 +8,12 @@ common end inside is a group. The intervals of all documents of a slice are spli
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +35,33 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+# Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+BYTE_LEVEL = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs that are merged by the slower library, whose time doesn't grow with the square of a run.
+LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
+
+
 class Vocabulary:
     """A tokenizer made from a vocabulary file's content; ``token_bytes[id]`` are the bytes that a token stands for."""
 
     def __init__(self, suffix: str, content: bytes):
+        self._fast = None
         if suffix == ".json":
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
             from tokenizers import Tokenizer
 
             self._t = Tokenizer.from_str(content.decode())
             self._t.encode_special_tokens = True
-            letters, vocab = byte_letters(), self._t.get_vocab(with_added_tokens=True)
-            special = {x["content"] for x in json.loads(content).get("added_tokens", [])}
+            letters, vocab, given = byte_letters(), self._t.get_vocab(with_added_tokens=True), json.loads(content)
+            special = {x["content"] for x in given.get("added_tokens", [])}
             self.token_bytes = [b""] * (max(vocab.values()) + 1)
             for token, i in vocab.items():
                 self.token_bytes[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+            if self._ranked(given):
+                import tiktoken
+
+                ranks = {self.token_bytes[i]: i for token, i in vocab.items() if token not in special}
+                self._fast = tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
             self.encode = self._byte_level
         elif suffix == ".model":
             import sentencepiece
@@ -58,8 +73,19 @@ class Vocabulary:
             raise ValueError(f"no tokenizer for {suffix} files")
         self.lengths = np.array([len(b) for b in self.token_bytes], dtype=np.int64)
 
+    @staticmethod
+    def _ranked(given: dict) -> bool:
+        """Whether merges are in the order of the ids that they make and texts are cut by BYTE_LEVEL alone: then ranks say it all."""
+        model, cut = given["model"], given.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain = plain and given.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]] if plain else []
+        return plain and all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(pairs))
+
     def _byte_level(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._t.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        if self._fast is None:
+            return [e.ids for e in self._t.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self._t.encode(" " + t, add_special_tokens=False).ids if LONG_RUN.search(t) else self._fast.encode_ordinary(" " + t) for t in texts]
 
     def spells(self, ids: list[int], text: bytes) -> bool:
         return b"".join(map(self.token_bytes.__getitem__, ids)) == text
@@ -120,10 +146,17 @@ def shared_cuts(ea: np.ndarray, eb: np.ndarray, a_stop: np.ndarray, b_stop: np.n
     return np.sort(np.concatenate([a for a, _ in cuts])), np.sort(np.concatenate([b for _, b in cuts]))
 
 
+@functools.cache
+def marks(ids: int) -> np.ndarray:
+    """Texts of ids at 4 id + side: followed by a comma, by the end of A's part of a group (1) or by the end of the group (3)."""
+    return np.array([f"{i}{end}" for i in range(ids) for end in (",", "|", ",", ";")], dtype=object)
+
+
 class Slice:
     """The aligned tokens of some texts."""
 
     def __init__(self, texts: list[str | None], va: Vocabulary, vb: Vocabulary):
+        self.va, self.vb = va, vb
         spaced = [(" " + t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         some = [i for i, t in enumerate(texts) if t]
         ids_a: list[list[int]] = [[] for _ in texts]
@@ -133,7 +166,7 @@ class Slice:
             if va.spells(a, spaced[i]) and vb.spells(b, spaced[i]):
                 ids_a[i], ids_b[i] = a, b
         self.n_a, self.n_b = np.array(list(map(len, ids_a)), dtype=np.int64), np.array(list(map(len, ids_b)), dtype=np.int64)
-        flat = lambda ids, n: np.fromiter((x for l in ids for x in l), dtype=np.int64, count=int(n.sum()))  # noqa: E741, E731
+        flat = lambda ids, n: np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int64, count=int(n.sum()))
         self.a, self.b = flat(ids_a, self.n_a), flat(ids_b, self.n_b)
         full = self.n_a > 0
         self.ends_a = np.cumsum(va.lengths[self.a])
@@ -153,12 +186,9 @@ class Slice:
         group_a = np.repeat(np.arange(g), np.diff(self.cut_a, prepend=0))
         group_b = np.repeat(np.arange(g), np.diff(self.cut_b, prepend=0))
         out = np.empty(na + nb, dtype=np.int64)
-        # two marks an id and side: followed by a comma, or by the end of the side's part of the group
         out[np.arange(na) + start_b[group_a]] = 4 * self.a + last_a
         out[np.arange(nb) + self.cut_a[group_b]] = 4 * self.b + 2 + last_b
-        marks, at = np.unique(out, return_inverse=True)
-        ends = (",", "|", ",", ";")
-        pieces = np.array([f"{m >> 2}{ends[m & 3]}" for m in marks.tolist()], dtype=object)[at].tolist() if len(out) else []
+        pieces = marks(max(len(self.va.token_bytes), len(self.vb.token_bytes)))[out].tolist()
         stops, low, found = np.cumsum(self.n_a + self.n_b).tolist(), 0, []
         for high in stops:
             found.append(hashlib.sha256("".join(pieces[low:high])[:-1].encode()).hexdigest() if high > low else "")
@@ -167,10 +197,10 @@ class Slice:
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, A id << 32 | B id, number): how often each pair of ids ends together in each document."""
-        pair = (self.a[self.cut_a - 1] << 32) | self.b[self.cut_b - 1]
-        known, at = np.unique(pair, return_inverse=True)
-        both, n = np.unique(self.doc * max(1, len(known)) + at, return_counts=True)
-        return both // max(1, len(known)), known[both % max(1, len(known))] if len(known) else known, n
+        size = len(self.va.token_bytes), len(self.vb.token_bytes)
+        both, n = np.unique((self.doc * size[0] + self.a[self.cut_a - 1]) * size[1] + self.b[self.cut_b - 1], return_counts=True)
+        doc, pair = np.divmod(both, size[0] * size[1])
+        return doc, (pair // size[1] << 32) | pair % size[1], n
 
 
 def _list(per_doc: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
