@@ -150,11 +150,13 @@ def shared_elements(counts: DataFrame, most: int) -> Shared:
         if total > most:
             level = r["k"] + 1
             break
-    found = counts.where(F.col("c") >= F.lit(1 << level)).toPandas().sort_values("h")
-    return found["h"].to_numpy(dtype=np.int64), np.floor(np.log2(found["c"].to_numpy())).astype(np.int8) if len(found) else np.zeros(0, dtype=np.int8)
+    found = counts.where(F.col("c") >= F.lit(1 << level)).select("h", F.floor(F.log2("c")).cast("tinyint").alias("k")).toArrow()
+    h, kind = found["h"].to_numpy(), found["k"].to_numpy()
+    order = np.argsort(h)
+    return h[order], kind[order]
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, orders: int = 3, most_shared: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, orders: int = 3, most_shared: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its set of word shingles and the least id reachable by links.
 
     A set has the distinct ``shingle``-word windows of the A-Z lower-cased words; a text of fewer words has one element, all
