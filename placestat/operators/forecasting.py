@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from placestat.functions.scalars import season
-from placestat.operators.graph import checkpoint, ensure_checkpoint_dir
+from placestat.operators.boosting import Trees, fit_boosted, predict_boosted
 from placestat.operators.ranking import first_rows, lag_features, rolling_mean, series_scale
 
 KEYS = ["ward_id", "metric"]
@@ -40,32 +40,20 @@ def time_split(features: DataFrame, test_steps: int = 6) -> DataFrame:
     return features.join(last, "metric").withColumn("is_test", F.col("t") > F.col("__last") - test_steps).drop("__last")
 
 
-def fit_gbt(features: DataFrame, trees: int = 300, depth: int = 3, step: float = 0.05, subsample: float = 0.9, seed: int = 42):
-    """Boosted trees on one metric's rows."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features).select("x", "y").persist()
-    rows = rows.coalesce(1 + rows.count() // 50_000)  # each tree is some jobs over all partitions
-    ensure_checkpoint_dir(features.sparkSession)
-    return GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed).fit(rows)
+def fit_metrics(features: DataFrame, metrics: list[str], **options) -> dict[str, Trees]:
+    """The boosted trees of each metric, grown together: a level of the trees of all metrics is one job."""
+    return fit_boosted(features.where(F.col("metric").isin(metrics)), "metric", FEATURES, "y", **options)
 
 
-def fit_metrics(features: DataFrame, metrics: list[str], **options) -> dict:
-    """The fitted trees of each metric; the metrics' fits run side by side."""
-    with ThreadPoolExecutor(len(metrics)) as pool:
-        return dict(zip(metrics, pool.map(lambda m: fit_gbt(features.where(F.col("metric") == m), **options), metrics), strict=True))
+def fit_gbt(features: DataFrame, **options) -> Trees:
+    """Boosted trees on the rows of one metric."""
+    (model,) = fit_boosted(features, "metric", FEATURES, "y", **options).values()
+    return model
 
 
-def predict_metrics(models: dict, features: DataFrame) -> DataFrame:
+def predict_metrics(models: dict[str, Trees], features: DataFrame) -> DataFrame:
     """``features`` with the prediction of each row's own metric's trees."""
-    parts = [predict(model, features.where(F.col("metric") == m)) for m, model in models.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def forecast_metrics(models: dict, panel: DataFrame, horizon: int) -> DataFrame:
-    return reduce(DataFrame.unionByName, [forecast(model, panel.where(F.col("metric") == m), horizon) for m, model in models.items()])
-
-
-def predict(model, features: DataFrame) -> DataFrame:
-    return model.transform(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(features)).drop("x")
+    return predict_boosted(models, features, "metric", FEATURES)
 
 
 def backtest_metrics(predicted: DataFrame) -> DataFrame:
@@ -84,25 +72,49 @@ def seasonal_naive(tested: DataFrame) -> DataFrame:
     return tested.where("is_test").groupBy("metric").agg((100 * F.avg(F.abs(y - naive) / F.nullif(F.abs(y), F.lit(0.0)))).alias("naive_mape"))
 
 
-def forecast(model, panel: DataFrame, horizon: int) -> DataFrame:
-    """(keys, month, step, scale, p): all series one step at a time, each feeding the next; at most 24 steps."""
+def forecast_metrics(models: dict[str, Trees], panel: DataFrame, horizon: int) -> DataFrame:
+    """(keys, month, step, scale, p): every series step by step, each value feeding the next; at most 24 steps.
+
+    A series' last year is one row, and all steps of the rows of a batch are made in one pass.
+    """
     if not 1 <= horizon <= 24:
         raise ValueError("horizon must be between 1 and 24")
-    mean = panel.groupBy(*KEYS).agg(F.avg("value").alias("scale"), F.count("*").alias("n"), F.first("density").alias("density")).withColumn("scale", F.when(F.col("scale") != 0, F.col("scale")).otherwise(1.0))
+    mean = panel.where(F.col("metric").isin(list(models))).groupBy(*KEYS).agg(F.avg("value").alias("scale"), F.count("*").alias("points"), F.first("density").alias("density")).withColumn("scale", F.when(F.col("scale") != 0, F.col("scale")).otherwise(1.0))
     recent = first_rows(panel, KEYS, [F.desc("month")], 12)
     state = recent.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("month", "value"))).alias("h"), F.max("month").alias("last")).join(mean, KEYS)
-    state = checkpoint(state.select(*KEYS, "scale", "density", "last", F.col("n").alias("points"), F.transform(F.col("h.value"), lambda v: v / F.col("scale")).alias("h")))
-    out = None
-    for step in range(1, horizon + 1):
-        month = F.add_months("last", step)
-        lag = lambda k: F.element_at("h", -k)
-        f = state.withColumns({"lag_1": lag(1), "lag_2": lag(2), "lag_3": lag(3), "lag_12": F.when(F.size("h") >= 12, F.try_element_at("h", F.lit(-12))).otherwise(lag(1)), "rolling_3": (lag(1) + lag(2) + lag(3)) / 3})
-        f = f.withColumns(season(month, F.col("points") + (step - 1), F.col("density")))
-        p = checkpoint(predict(model, f).withColumn("h", F.slice(F.concat("h", F.array("prediction")), F.greatest(F.lit(1), F.size("h") - 10), 12)))
-        rows = p.select(*KEYS, month.alias("month"), F.lit(step).alias("step"), "scale", F.col("prediction").alias("p"))
-        out = rows if out is None else out.unionByName(rows)
-        state = p.select(*KEYS, "scale", "density", "last", "points", "h")
-    return out
+    state = state.select(*KEYS, "scale", "last", F.col("points").cast("double").alias("points"), F.col("density").cast("double").alias("density"), F.month("last").alias("month"), F.transform(F.col("h.value"), lambda v: v / F.col("scale")).cast("array<double>").alias("h"))
+    sent = panel.sparkSession.sparkContext.broadcast(models)
+    schema = StructType([*(state.schema[c] for c in (*KEYS, "scale", "last")), StructField("ps", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            metric = np.array(b.column(1).to_pylist(), dtype=object)
+            points, density, month = (b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (4, 5, 6))
+            lists = [np.array(x, dtype=float) for x in b.column(7).to_pylist()]
+            n = np.array(list(map(len, lists)))
+            h = np.full((b.num_rows, 12 + horizon), np.nan)
+            for i, x in enumerate(lists):
+                h[i, 12 - len(x) : 12] = x
+            for step in range(1, horizon + 1):
+                at = 11 + step
+                m = (month - 1 + step) % 12 + 1
+                year = np.where(n + step - 1 >= 12, h[:, at - 12], h[:, at - 1])
+                x = np.stack([h[:, at - 1], h[:, at - 2], h[:, at - 3], year, h[:, at - 3 : at].mean(axis=1), np.sin(2 * np.pi * m / 12), np.cos(2 * np.pi * m / 12), ((m >= 6) & (m <= 9)) * 1.0, points + step - 1, np.log1p(density)], axis=1)
+                for name, model in sent.value.items():
+                    h[metric == name, at] = model.predict(x[metric == name])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * horizon + 1, horizon).astype(np.int32)), pa.array(h[:, 12:].ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], flat], names=schema.names)
+
+    made = state.mapInArrow(run, schema).select(*KEYS, "scale", "last", F.posexplode("ps").alias("at", "p"))
+    step = F.col("at") + 1
+    return made.select(*KEYS, F.add_months("last", step).alias("month"), step.alias("step"), "scale", "p")
+
+
+def forecast(model: Trees, panel: DataFrame, horizon: int) -> DataFrame:
+    """``forecast_metrics`` of a panel of one metric."""
+    return forecast_metrics({panel.select("metric").first()[0]: model}, panel, horizon)
 
 
 def interval_bands(predicted: DataFrame, sigma) -> DataFrame:

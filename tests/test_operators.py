@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placestat.functions import scalars as S
-from placestat.operators import filters, forecasting, learning, planning, quality, raster, scenarios, spatial, summarize, text, textmodel
+from placestat.operators import boosting, filters, forecasting, learning, planning, quality, raster, scenarios, spatial, summarize, text, textmodel
 from placestat.operators.graph import connected_components
 
 
@@ -132,7 +132,7 @@ def test_forecast_bands_are_ordered_and_widen(spark):
     panel = forecasting.load_panel(spark.createDataFrame(rows, "ward_id int, metric string, month date, value double"), regions)
     split = forecasting.time_split(forecasting.panel_features(panel))
     model = forecasting.fit_gbt(split.where("NOT is_test"), trees=15, step=0.2)
-    metrics = forecasting.backtest_metrics(forecasting.predict(model, split.where("is_test"))).first()
+    metrics = forecasting.backtest_metrics(forecasting.predict_metrics({"m": model}, split.where("is_test"))).first()
     assert metrics.mape < 15
     out = forecasting.interval_bands(forecasting.forecast(model, panel, 3), F.lit(0.1)).orderBy("ward_id", "step").collect()
     assert len(out) == 9 and all(r.lower <= r.value <= r.upper for r in out)
@@ -381,6 +381,47 @@ def test_imported_requests(spark):
     assert sorted((r.text, r.status, r.ward_id, r.geo_method) for r in got) == [("Outage at Green Lake", "CLOSED", 1, "GAZETTEER"), ("Spill", "OPEN", 1, "USER_GPS"), ("Spill", "OPEN", 9, "NONE"), ("Spill", "OPEN", 9, "NONE")]
 
 
+def plain_boosting(x, y, trees, depth, step):
+    """Exact greedy trees for squared error on all rows."""
+    out = np.full(len(y), y.mean())
+    for _ in range(trees):
+        gap, node = y - out, np.zeros(len(y), dtype=int)
+        for _ in range(depth):
+            new = 2 * node
+            for k in np.unique(node):
+                at, best = np.flatnonzero(node == k), (1e-15, None)
+                for f in range(x.shape[1]):
+                    v = np.unique(x[at, f])
+                    for cut in (v[1:] + v[:-1]) / 2:
+                        left = x[at, f] <= cut
+                        a, b = left.sum(), (~left).sum()
+                        gain = a * b / (a + b) * (gap[at][left].mean() - gap[at][~left].mean()) ** 2
+                        if gain > best[0] * (1 + 1e-9):
+                            best = (gain, ~left)
+                if best[1] is not None:
+                    new[at] += best[1]
+            node = new
+        for k in np.unique(node):
+            out[node == k] += step * gap[node == k].mean()
+    return out
+
+
+def test_joint_boosting_matches_exact_greedy_trees(spark):
+    rng = random.Random(12)
+    rows = [(g, float(rng.randrange(12)), rng.random() if i % 9 else None, float(i)) for g in ("a", "b", None) for i in range(70)]
+    rows = [(g, u, v, u * 3 + (v or 0.5) * (5 if g == "a" else -5) + rng.random()) for g, u, v, _ in rows] + [("a", 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, u double, v double, y double").repartition(3)
+    models = boosting.fit_boosted(df, "g", ["u", "v"], "y", trees=12, depth=3, step=0.3, subsample=1.0, every=5, rows_a_part=60)
+    got = {(r.g, r.u, r.v, r.y): r.prediction for r in boosting.predict_boosted(models, df, "g", ["u", "v"]).collect()}
+    for g in ("a", "b"):
+        mine = [r for r in rows if r[0] == g and r[3] is not None]
+        x = np.array([[u, 10.0 if v is None else v] for _, u, v, _ in mine])
+        want = plain_boosting(x, np.array([r[3] for r in mine]), 12, 3, 0.3)
+        close = np.isclose([got[r] for r in mine], want, atol=1e-6)
+        assert close.mean() > 0.95, close.mean()  # equal gains may be split otherwise
+    assert set(models) == {"a", "b"} and len(got) == 141
+
+
 def test_trees_of_every_metric_beat_the_mean(spark):
     rng = random.Random(1)
     rows = [(m, f, math.sin(i) * 3 + f + rng.random() * 0.1, float(i)) for m in ("a", "b") for f in (0, 1) for i in range(60)]
