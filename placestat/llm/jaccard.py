@@ -22,7 +22,6 @@ from placestat.llm.simhash import _WordHashes, shingle_set, words
 from placestat.operators.graph import checkpoint, connected_components
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-LOW32 = (1 << 32) - 1
 
 
 def overlap_length(n: int, percent: int) -> int:
@@ -103,16 +102,18 @@ def other_prefixes(docs: DataFrame, text_col: str, shingle: int, percent: int, o
     return docs.select(text_col).mapInArrow(sign, ", ".join(["digest binary", *(f"{x} array<int>" for x in names), "hs array<long>"]))
 
 
-def _places(n: Column, pos: Column) -> Column:
-    """Size and position in one number."""
-    return F.shiftleft(n, 32) + pos
+def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _fits(a: str, b: str, percent: int) -> Column:
-    """Sizes can reach the similarity, and so can what is left from the shared positions on."""
-    na, nb = F.shiftright(F.col(a), 32), F.shiftright(F.col(b), 32)
-    left = F.least(na - F.col(a).bitwiseAND(F.lit(LOW32)), nb - F.col(b).bitwiseAND(F.lit(LOW32)))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * left >= percent * (na + nb))
+def _enough(common: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes with so many common prefix elements can have the similarity.
+
+    Of the common elements, those up to the end of the prefix that ends first are in both prefixes; the others are in the rest of that
+    set. So there are ``common`` plus the longer rest at most.
+    """
+    rest = F.floor((percent * F.greatest(a, b) + 99) / 100) - 1
+    return (common + rest) * (100 + percent) >= percent * (a + b)
 
 
 def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -120,22 +121,25 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     Not all candidates, but enough of them to join most large groups without listing their pairs.
     """
-    keyed = rows.withColumn("cls", F.floor(F.log(F.shiftright("x", 32).cast("double")) / F.lit(float(np.log(100 / percent)) if percent < 100 else 1.0)))
-    hubs = keyed.groupBy("h", "cls").agg(F.min("node").alias("src"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = keyed.join(hubs, ["h", "cls"]).where("src < node").groupBy("node", "src").agg(F.count("*").alias("c"))
+    keyed = rows.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) if percent < 100 else 1.0)))
+    hubs = keyed.groupBy("h", "cls").agg(F.min("node").alias("src"), F.count("*").alias("c"), F.min(F.struct("node", "n"))["n"].alias("m")).where("c > 1").drop("c")
+    met = keyed.join(hubs, ["h", "cls"]).where("src < node").groupBy("node", "src").agg(F.count("*").alias("c"), F.min("n").alias("n"), F.min("m").alias("m"))
+    met = met.where(_sizes_fit(F.col("n"), F.col("m"), percent) & _enough(F.col("c"), F.col("n"), F.col("m"), percent))
     return met.groupBy("node").agg(F.max(F.struct("c", (-F.col("src")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("src"), F.col("node").alias("dst"))
 
 
 def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(src, dst) of all candidates in different groups; complete.
 
-    Elements whose nodes are all of one group are taken out by map-side minima first, so that groups of any size cost nothing here.
+    Elements whose nodes are all of one group are taken out by map-side minima first, so that groups of any size cost nothing here. Pairs
+    whose common prefix elements are too few for the similarity go.
     """
     mixed_keys = rows.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("h")
     some = checkpoint(rows.join(mixed_keys, "h", "left_semi"))
     a, b = some.alias("a"), some.alias("b")
-    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.grp") < F.col("b.grp")) & _fits("a.x", "b.x", percent)
-    return a.join(b, apart).select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.grp") < F.col("b.grp")) & _sizes_fit(F.col("a.n"), F.col("b.n"), percent)
+    met = a.join(b, apart).groupBy(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).agg(F.count("*").alias("c"), F.min("a.n").alias("n"), F.min("b.n").alias("m"))
+    return met.where(_enough(F.col("c"), F.col("n"), F.col("m"), percent)).select("src", "dst")
 
 
 def shared_elements(counts: DataFrame, most: int) -> Shared:
@@ -178,10 +182,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(classes, "jaccard-classes")
     copies = f.where("n > 0").select("row", "digest").join(classes, "digest").where("row <> node").select("row")
     reps = f.where("n > 0").join(sized_broadcast(copies, 1_000_000), "row", "left_anti").select("row", "n", "prefix")
-    spread = lambda df: df.select(F.col("row").alias("node"), "n", F.posexplode("prefix").alias("pos", "h")).select("h", "node", _places(F.col("n"), F.col("pos")).alias("x"))
+    spread = lambda df: df.select(F.explode("prefix").alias("h"), F.col("row").alias("node"), "n")
     counts = stored(spread(reps).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-counts")
     shared = shared_elements(counts, most_shared)
 
+    # rows with one id can have one text, which must then be taken once
+    repeated = f.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
+
     def texts_of(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The documents with the ids of the ``wanted`` rows, and (row, digest) of these to tell them by."""
         who = sized_broadcast(f.join(wanted, "row").select("row", "doc_id", "digest"), 1_000_000)
@@ -201,7 +208,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         moved = checkpoint(reps.select("row", "prefix").mapInArrow(touched, "row long"))
         texts, who = texts_of(moved)
-        again = signatures(texts, "doc_id", "text", shingle, percent, shared).drop("doc_id").join(who, "digest").dropDuplicates(["row"])
+        again = signatures(texts, "doc_id", "text", shingle, percent, shared).drop("doc_id").join(who, "digest")
+        again = again.dropDuplicates(["row"]) if repeated else again
         again = stored(again.select("row", "n", "prefix"), "jaccard-signatures")
         reps = reps.join(sized_broadcast(moved, 1_000_000), "row", "left_anti").unionByName(again)
     rows = spread(reps)
@@ -213,14 +221,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pairs = checkpoint(pairs)
         texts, who = texts_of(checkpoint(pairs.select(F.col("src").alias("row")).union(pairs.select(F.col("dst").alias("row"))).distinct()))
         made = other_prefixes(texts, "text", shingle, percent, orders, shared)
-        sides = stored(made.join(who.withColumnRenamed("row", "node"), "digest").drop("digest"), "jaccard-sides")
+        made = made.join(who.withColumnRenamed("row", "node"), "digest").drop("digest")
+        sides = stored(made.dropDuplicates(["node"]) if repeated else made, "jaccard-sides")
         names = [f"p{k}" for k in range(1, orders)]
         side = lambda node, cols: sides.select(F.col("node").alias(node), *[F.col(c).alias(f"{node}_{c}") for c in cols])
         if names:
             met = pairs.join(side("src", names), "src").join(side("dst", names), "dst")
             for c in names:
                 met = met.where(F.arrays_overlap(f"src_{c}", f"dst_{c}"))
-            pairs = checkpoint(met.select("src", "dst").distinct())
+            pairs = checkpoint(met.select("src", "dst"))
         both = pairs.join(side("src", ["hs"]), "src").join(side("dst", ["hs"]), "dst")
         both = both.select("src", "dst", F.size("src_hs").alias("na"), F.size("dst_hs").alias("nb"), F.size(F.array_intersect("src_hs", "dst_hs")).cast("long").alias("c"))
         return checkpoint(both.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("src", "dst"))
