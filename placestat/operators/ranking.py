@@ -42,6 +42,23 @@ def series_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumn("scale", F.when(mean != 0, mean).otherwise(1.0)).withColumn("scaled", F.col(value) / F.col("scale"))
 
 
+def positions(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """df with each row's place from 0 within its ``keys`` in ``order``, without a task for a whole key.
+
+    Rows are range-partitioned by keys and order and sorted; a row's place in its key and partition is added to the number of the key's rows
+    in partitions before. Those numbers are one row a partition and key in it.
+    """
+    at = checkpoint(df.repartitionByRange(*[F.col(k) for k in keys], F.col(order)).sortWithinPartitions(*keys, order).withColumn("__id", F.monotonically_increasing_id()))
+    at = at.withColumn("__part", F.shiftright("__id", 33))
+    held = at.groupBy(*keys, "__part").agg(F.count("*").alias("__rows"), F.min("__id").alias("__first"))
+    w = Window.partitionBy(*(F.col(k) for k in keys)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("__rows").over(w), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return at.join(before, same).withColumn(out, F.col("__before") + F.col("__id") - F.col("__first")).select(*df.columns, out)
+
+
 def ordinal_rank_fraction(df: DataFrame, value: str, tie: str, out: str = "rank_fraction") -> DataFrame:
     """position / (n - 1) over all rows without a single-task window.
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from placestat.functions import constants as K
 from placestat.functions.scalars import haversine
 from placestat.operators.graph import checkpoint, connected_components
-from placestat.operators.ranking import first_rows
+from placestat.operators.ranking import first_rows, positions
 
 KM_PER_DEGREE = 111.0
+#: Of a great circle of the mean radius.
+KM_OF_DEGREE = math.pi * K.R_MEAN_KM / 180
 
 
 def rectangle(south: Column, west: Column, height: float, width: float) -> Column:
@@ -116,30 +118,111 @@ def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "reque
 
     A border point goes to the cluster of its least core neighbour. With ``group`` only points of one
     group are neighbours. Points at one place have the same neighbours, so they are folded to a site with
-    their number and least id before sites are paired; a crowded place costs one row.
+    their number and least id before anything else.
+
+    Sites lie in cells whose points are all neighbours. A cell of ``min_samples`` points is all core, with no pair looked at; only the
+    few sites of the other cells are compared with those around. Core sites of a cell are one node of the cluster graph, and
+    two cells are linked if a pair of their core sites is near, see ``near_cells``.
     """
     g = F.col(group) if group else F.lit(0)
     place = [F.col("lat").alias("slat"), F.col("lng").alias("slng"), g.alias("sg")]
     at = points.where("lat IS NOT NULL AND lng IS NOT NULL").select(F.col(pid).alias("p"), *place)
-    sites = checkpoint(at.groupBy("slat", "slng", "sg").agg(F.min("p").alias("site"), F.count("*").alias("n")))
+    sites = checkpoint(at.where(g.isNotNull() if group else F.lit(True)).groupBy("slat", "slng", "sg").agg(F.min("p").alias("site"), F.count("*").alias("n")))
     found = _site_clusters(sites, eps_km, min_samples)
     back = at.join(sites, [at.slat.eqNullSafe(sites.slat), at.slng.eqNullSafe(sites.slng), at.sg.eqNullSafe(sites.sg)])
     return back.select("p", "site").join(found, "site").select(F.col("p").alias(pid), "cluster", "is_core")
 
 
+CELL = ["g", "cx", "cy"]
+
+
+def _around(side: float, eps_km: float, max_abs_lat: float) -> list[tuple[int, int]]:
+    """Offsets (dx, dy) of cells that can hold a neighbour."""
+    high = side * KM_OF_DEGREE
+    wide = high * math.cos(math.radians(min(89.0, max_abs_lat)))
+    rx, ry = math.ceil(eps_km / wide), math.ceil(eps_km / high)
+    gap = lambda d, unit: max(0, abs(d) - 1) * unit
+    return [(dx, dy) for dx in range(-rx, rx + 1) for dy in range(-ry, ry + 1) if math.hypot(gap(dx, wide), gap(dy, high)) <= eps_km]
+
+
+def _spread(df: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """df once for each cell around its own."""
+    d = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in offsets]))
+    return df.withColumn("d", d).withColumns({"cx": F.col("cx") + F.col("d.x"), "cy": F.col("cy") + F.col("d.y")}).drop("d")
+
+
 def _site_clusters(sites: DataFrame, eps_km: float, min_samples: int) -> DataFrame:
     """(site, cluster, is_core) of sites (site, slat, slng, sg, n)."""
-    named = sites.select("site", F.col("slat").alias("lat"), F.col("slng").alias("lng"), "sg")
-    pairs = checkpoint(eps_neighbours(named, eps_km, "site", "sg").join(sites.select(F.col("site").alias("b"), "n"), "b"))
-    degree = pairs.groupBy("a").agg((F.sum("n") >= min_samples).alias("core"))
-    core = degree.where("core").select("a")
-    linked = pairs.where("a < b").join(core, "a").join(core.select(F.col("a").alias("b")), "b")
-    comp = connected_components(linked, "a", "b")
-    label = core.join(comp, F.col("a") == F.col("node"), "left").select(F.col("a").alias("c"), F.coalesce("component", "a").alias("cluster"))
-    label = checkpoint(label)
-    border = pairs.join(degree.where("NOT core").select("a"), "a").join(label, F.col("b") == F.col("c")).groupBy("a").agg(F.min_by("cluster", "b").alias("cluster"))
-    found = label.select(F.col("c").alias("a"), "cluster", F.lit(True).alias("is_core")).unionByName(border.withColumn("is_core", F.lit(False)))
-    return degree.select("a").join(found, "a", "left").select(F.col("a").alias("site"), "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    side = 0.999 * eps_km / (math.sqrt(2) * KM_OF_DEGREE)
+    top = sites.agg(F.max(F.abs("slat"))).first()[0] or 0.0
+    around = _around(side, eps_km, top + 2 * side)
+    s = sites.select("site", "n", F.col("slat").alias("lat"), F.col("slng").alias("lng"), F.col("sg").alias("g"), F.floor(F.col("slng") / side).alias("cx"), F.floor(F.col("slat") / side).alias("cy"))
+    crowd = s.groupBy(*CELL).agg((F.sum("n") >= min_samples).alias("crowded"))
+    s = checkpoint(s.join(crowd, CELL))
+    lone = s.where("NOT crowded").select(F.col("site").alias("a"), F.col("lat").alias("alat"), F.col("lng").alias("alng"), *CELL)
+    km = haversine(F.col("alat"), F.col("alng"), F.col("lat"), F.col("lng"), K.R_MEAN_KM)
+    seen = _spread(lone, around).join(s.select("n", "lat", "lng", *CELL), CELL).where(km <= eps_km).groupBy("a").agg((F.sum("n") >= min_samples).alias("core"))
+    seen = checkpoint(seen)
+    more = s.join(seen.where("core").select(F.col("a").alias("site")), "site", "left_semi").select(*s.columns)
+    core = checkpoint(s.where("crowded").unionByName(more).select("site", "lat", "lng", *CELL))
+    nodes = core.groupBy(*CELL).agg(F.min("site").alias("node"))
+    core = checkpoint(core.join(nodes, CELL))
+    comp = connected_components(near_cells(core, eps_km, side, around), "a", "b")
+    label = nodes.join(comp, "node", "left").select(*CELL, F.coalesce("component", "node").alias("cluster"))
+    core = checkpoint(core.join(label, CELL).select("site", "lat", "lng", *CELL, "cluster"))
+    edge = lone.join(seen.where("NOT core").select("a"), "a")
+    border = _spread(edge, around).join(core, CELL).where(km <= eps_km).groupBy("a").agg(F.min_by("cluster", "site").alias("cluster"))
+    found = core.select(F.col("site").alias("a"), "cluster", F.lit(True).alias("is_core")).unionByName(border.withColumn("is_core", F.lit(False)))
+    return s.select(F.col("site").alias("a")).join(found, "a", "left").select(F.col("a").alias("site"), "cluster", F.coalesce("is_core", F.lit(False)).alias("is_core"))
+
+
+def near_cells(core: DataFrame, eps_km: float, side: float, around: list[tuple[int, int]], split: int = 4, levels: int = 6) -> DataFrame:
+    """(a, b): nodes of neighbouring cells with a pair of sites within ``eps_km``; core has site, lat, lng, g, cx, cy, node.
+
+    No pairs of sites of crowded cells are listed: boxes around each cell's sites are compared first. Two boxes that are near wherever their
+    sites lie link the cells, two that are far are forgotten, and what is undecided is split into smaller boxes, ``split`` by ``split``, again and
+    again; only sites of the smallest undecided boxes are compared.
+    """
+
+    def boxes(sites: DataFrame, level: int) -> DataFrame:
+        unit = side / split**level
+        at = sites.withColumns({"kx": F.floor(F.col("lng") / unit), "ky": F.floor(F.col("lat") / unit)})
+        return at.groupBy(*CELL, "node", "kx", "ky").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lng").alias("w"), F.max("lng").alias("e"))
+
+    def bound(far: bool) -> Column:
+        """Least or greatest great-circle distance of points in two boxes."""
+        d = lambda lo, hi: F.radians(F.greatest(F.abs(F.col(f"b_{hi}") - F.col(f"a_{lo}")), F.abs(F.col(f"a_{hi}") - F.col(f"b_{lo}"))) if far else F.greatest(F.lit(0.0), F.col(f"b_{lo}") - F.col(f"a_{hi}"), F.col(f"a_{lo}") - F.col(f"b_{hi}")))
+        low = lambda x: F.when((F.col(f"{x}_s") <= 0) & (F.col(f"{x}_n") >= 0), 0.0).otherwise(F.least(F.abs(f"{x}_s"), F.abs(f"{x}_n")))
+        lat = low if far else lambda x: F.greatest(F.abs(f"{x}_s"), F.abs(f"{x}_n"))
+        h = F.pow(F.sin(d("s", "n") / 2), F.lit(2)) + F.cos(F.radians(lat("a"))) * F.cos(F.radians(lat("b"))) * F.pow(F.sin(d("w", "e") / 2), F.lit(2))
+        return 2 * K.R_MEAN_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+
+    named = lambda df, x, keep: df.select(*keep, *[F.col(c).alias(f"{x}_{c}") for c in ("node", "kx", "ky", "s", "n", "w", "e")])
+    half = [(dx, dy) for dx, dy in around if (dy, dx) > (0, 0)]
+    first = checkpoint(boxes(core, 0))
+    met = _spread(named(first, "a", CELL), half).join(named(first, "b", CELL), CELL)
+    found = None
+    slack = 1e-9 * eps_km
+    for level in range(levels + 1):
+        judged = checkpoint(met.withColumns({"lo": bound(False), "hi": bound(True)}).where(F.col("lo") <= eps_km + slack).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_kx", "a_ky", "b_kx", "b_ky", "hi"))
+        near = judged.where(F.col("hi") <= eps_km - slack).select("a", "b").distinct()
+        found = near if found is None else checkpoint(found.unionByName(near))
+        open_ = checkpoint(judged.join(near, ["a", "b"], "left_anti").drop("hi"))
+        if open_.limit(1).count() == 0:
+            return found
+        wanted = open_.select(F.col("a").alias("node")).union(open_.select("b")).distinct()
+        sites = checkpoint(core.join(wanted, "node", "left_semi"))
+        unit = side / split**level
+        if level == levels:
+            cell = lambda x: sites.select(F.col("node").alias(x), F.floor(F.col("lng") / unit).alias(f"{x}_kx"), F.floor(F.col("lat") / unit).alias(f"{x}_ky"), F.col("lat").alias(f"{x}lat"), F.col("lng").alias(f"{x}lng"))
+            pairs = open_.join(cell("a"), ["a", "a_kx", "a_ky"]).join(cell("b"), ["b", "b_kx", "b_ky"])
+            km = haversine(F.col("alat"), F.col("alng"), F.col("blat"), F.col("blng"), K.R_MEAN_KM)
+            return found.unionByName(pairs.where(km <= eps_km).select("a", "b").distinct())
+        small = boxes(sites, level + 1)
+        parent = lambda x: named(small, x, []).withColumns({x: F.col(f"{x}_node"), f"p{x}x": F.floor(F.col(f"{x}_kx") / split), f"p{x}y": F.floor(F.col(f"{x}_ky") / split)})
+        up = open_.select("a", "b", F.col("a_kx").alias("pax"), F.col("a_ky").alias("pay"), F.col("b_kx").alias("pbx"), F.col("b_ky").alias("pby"))
+        met = up.join(parent("a"), ["a", "pax", "pay"]).join(parent("b"), ["b", "pbx", "pby"])
+    return found
 
 
 def hotspot_summary(points: DataFrame, clusters: DataFrame, pid: str = "request_id") -> DataFrame:
@@ -160,10 +243,8 @@ def hotspot_summary(points: DataFrame, clusters: DataFrame, pid: str = "request_
 
 def cluster_numbers(clusters: DataFrame, points: DataFrame, pid: str = "request_id", step: int = 1000) -> DataFrame:
     """(pid, cluster_id): clusters numbered within their category, ``step`` apart from category to category."""
-    from pyspark.sql import Window
-
     named = clusters.where("cluster IS NOT NULL").join(points.select(pid, "category"), pid)
-    firsts = named.select("category", "cluster").distinct().withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy("cluster")))
-    cats = points.select("category").distinct().withColumn("one", F.lit(1)).withColumn("c", F.row_number().over(Window.partitionBy("one").orderBy("category")) - 1)
-    ids = firsts.join(cats, "category").select("category", "cluster", (F.col("c") * step + F.col("k")).alias("cluster_id"))
-    return named.join(ids, ["category", "cluster"]).select(pid, "cluster_id")
+    firsts = positions(named.select("category", "cluster").distinct(), ["category"], "cluster", "k")
+    cats = positions(points.select("category").distinct(), [], "category", "c")
+    ids = firsts.join(cats, "category")
+    return named.join(ids.select("category", "cluster", (F.col("c") * step + F.col("k") + 1).alias("cluster_id")), ["category", "cluster"]).select(pid, "cluster_id")

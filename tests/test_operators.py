@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placestat.functions import scalars as S
-from placestat.operators import boosting, filters, forecasting, learning, planning, quality, raster, scenarios, spatial, summarize, text, textmodel
+from placestat.operators import boosting, filters, forecasting, learning, planning, quality, ranking, raster, scenarios, spatial, summarize, text, textmodel
 from placestat.operators.graph import connected_components
 
 
@@ -303,6 +303,41 @@ def test_dbscan_of_crowded_places_is_brute_force_dbscan(spark):
     assert {i: got[i] for i in want} == want and 1000 not in got
 
 
+def test_cells_near_each_other_match_all_pairs(spark):
+    """Crowded cells next to each other, some with pairs just within and just beyond the distance."""
+    rng = random.Random(21)
+    for trial, eps in enumerate((0.1, 0.5)):
+        centres = [(19 + rng.random() * 0.03, 72.8 + rng.random() * 0.03) for _ in range(9)]
+        pts = []
+        for lat, lng in centres:
+            for _ in range(40):
+                pts.append((len(pts), lat + rng.gauss(0, eps / 400), lng + rng.gauss(0, eps / 400)))
+        got = {r.request_id: (r.cluster, r.is_core) for r in spatial.dbscan(spark.createDataFrame(pts, "request_id long, lat double, lng double"), eps, 5).collect()}
+        lat, lng = (np.radians(np.array([p[k] for p in pts])) for k in (1, 2))
+        h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lng[:, None] - lng) / 2) ** 2
+        near = 2 * 6371.0088 * np.arcsin(np.sqrt(h)) <= eps
+        core = near.sum(axis=1) >= 5
+        label = np.full(len(pts), -1)
+        for i in np.flatnonzero(core):
+            todo = [i] if label[i] < 0 else []
+            while todo:
+                x = todo.pop()
+                if label[x] < 0:
+                    label[x] = i
+                    todo += np.flatnonzero(near[x] & core & (label < 0)).tolist()
+        for i in range(len(pts)):
+            around = np.flatnonzero(near[i] & core)
+            want = (int(label[i]), True) if core[i] else (int(label[around[0]]) if len(around) else None, False)
+            assert got[i] == want, (trial, i)
+
+
+def test_positions_within_keys(spark):
+    rows = [(k, i) for k in ("a", "b", None) for i in range(37)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    assert sorted((r.k or "", r.v, r.at) for r in ranking.positions(df, ["k"], "v", "at").collect()) == sorted((k or "", v, v) for k, v in rows)
+    assert sorted(r.at for r in ranking.positions(df, [], "v", "at").collect()) == list(range(111))
+
+
 def test_facility_rules_in_order(spark):
     tags = [({"amenity": "doctors"}, ("HEALTHCARE", "clinic")), ({"amenity": "police", "leisure": "park"}, ("PUBLIC_SAFETY", "police")), ({"station": "subway"}, ("METRO_STATION", "metro"))]
     tags += [({"railway": "station", "station": "monorail"}, ("METRO_STATION", "monorail")), ({"railway": "station"}, ("RAIL_STATION", "suburban_rail")), ({"amenity": "kindergarten"}, None), ({}, None)]
