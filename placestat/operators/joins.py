@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from placestat.operators.ranking import first_rows
 
 
 def join_region(df: DataFrame, regions: DataFrame, key: str = "ward_id") -> DataFrame:
@@ -44,13 +49,36 @@ def zero_fill_panel(counts: DataFrame, regions: DataFrame, key: str = "ward_id",
     return grid.join(counts, [key, month], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)).cast("long"))
 
 
+def grams(x: Column, n: Column | int) -> Column:
+    """Distinct runs of ``n`` characters."""
+    n = F.lit(n) if isinstance(n, int) else n
+    last = F.length(x) - n + 1
+    return F.array_distinct(F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(x, i, n))).otherwise(F.array().cast("array<string>")))
+
+
+def names_containing(wants: DataFrame, names: DataFrame, want: str, name: str, key: str, q: int = 3) -> DataFrame:
+    """(want, key): for each distinct ``want`` the least key whose name contains it, by an index of the names' runs of up to ``q`` characters.
+
+    A want's rarest run gives its candidates, and ``contains`` is the check. An empty want is in every name.
+    """
+    known = names.where(F.col(name).isNotNull() & F.col(key).isNotNull()).select(key, name)
+    index = known.select(key, name, F.explode(F.concat(*[grams(F.col(name), n) for n in range(1, q + 1)])).alias("__gram"))
+    often = index.groupBy("__gram").agg(F.count("*").alias("__often"))
+    each = wants.where(F.length(want) > 0).select(want).distinct()
+    runs = each.select(want, F.explode(grams(F.col(want), F.least(F.length(want), F.lit(q)))).alias("__gram")).join(often, "__gram", "left")
+    rarest = runs.groupBy(want).agg(F.min_by("__gram", F.struct(F.coalesce("__often", F.lit(0)), "__gram")).alias("__gram"))
+    hit = rarest.join(index, "__gram").where(F.col(name).contains(F.col(want))).groupBy(want).agg(F.min(key).alias(key))
+    least = known.agg(F.min(key).alias(key)).where(F.col(key).isNotNull())
+    return hit.unionByName(least.select(F.lit("").alias(want), key))
+
+
 def resolve_region(refs: DataFrame, regions: DataFrame, ref: str = "ref", code: str = "ward_code", name: str = "zone", key: str = "ward_id") -> DataFrame:
     """refs with the region of that code, else the least region whose name contains the reference."""
     want = F.upper(F.trim(F.col(ref)))
     by_code = regions.select(F.upper(code).alias("__code"), F.col(key).alias("__by_code"))
     exact = refs.withColumn("__want", want).join(by_code, F.col("__want") == F.col("__code"), "left")
-    rest = exact.where("__by_code IS NULL").select("__want").distinct()
-    part = rest.join(regions.select(key, F.upper(name).alias("__name")), F.col("__name").contains(F.col("__want"))).groupBy("__want").agg(F.min(key).alias("__by_name"))
+    rest = exact.where("__by_code IS NULL").select("__want")
+    part = names_containing(rest, regions.select(F.col(key).alias("__by_name"), F.upper(name).alias("__name")), "__want", "__name", "__by_name")
     return exact.join(part, "__want", "left").withColumn(key, F.coalesce("__by_code", "__by_name")).drop("__want", "__code", "__by_code", "__by_name")
 
 
@@ -59,12 +87,56 @@ def filter_scope(df: DataFrame, scope: DataFrame | None, key: str = "ward_id") -
     return df if scope is None else df.join(scope.select(key).distinct(), key, "left_semi")
 
 
-def dot_product_join(queries: DataFrame, vectors: DataFrame, query_id: str, query_vec: str, vec_id: str, vec: str) -> DataFrame:
-    """(query, vector, similarity) of a stated query set against all vectors; unlike lengths are skipped."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("__q"))
-    pairs = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec).alias("__v")).join(q, F.size("__v") == F.size("__q"))
-    dot = F.aggregate(F.zip_with("__v", "__q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return pairs.select("query_id", "vec_id", dot.alias("similarity"))
+def dot_product_join(queries: DataFrame, vectors: DataFrame, query_id: str, query_vec: str, vec_id: str, vec: str, k: int | None = None, block: int = 16_384) -> DataFrame:
+    """(query_id, vec_id, similarity) of a stated query set against all vectors, or of the ``k`` best of each query (ties by vec_id).
+
+    Both sides are dealt into blocks of about ``block`` rows by a hash of their ids; a block of queries meets a block of vectors in one task, as a
+    product of matrices in slices. With ``k`` at most that many rows of a query leave a task, and those are merged. Vectors of unlike
+    lengths are skipped; null ids and vectors are left out. Similarities are rounded to twelve places, so that equal vectors tie.
+    """
+    q = queries.where(F.col(query_id).isNotNull() & F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("q"))
+    v = vectors.where(F.col(vec_id).isNotNull() & F.col(vec).isNotNull()).select(F.col(vec_id).alias("vec_id"), F.col(vec).cast("array<double>").alias("v"))
+    nq, nv = (max(1, -(-df.count() // block)) for df in (q, v))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("vb", every(nv))
+    v = v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(nv)).cast("int")).withColumn("qb", every(nq))
+    schema = StructType([q.schema["query_id"], v.schema["vec_id"], StructField("similarity", DoubleType())])
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        sides = []
+        for t, name in ((left, "q"), (right, "v")):
+            column = t[name].combine_chunks()
+            sides.append((column, column.value_lengths().to_numpy()))
+        (qs, ql), (vs, vl) = sides
+        for size in np.intersect1d(ql, vl):
+            at_q, at_v = np.flatnonzero(ql == size), np.flatnonzero(vl == size)
+            matrix = lambda x, at: x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size)  # noqa: B023, E731
+            b, ids = matrix(vs, at_v), right["vec_id"].take(pa.array(at_v))
+            order = np.argsort(ids.to_numpy(), kind="stable")
+            b, ids = b[order], ids.take(pa.array(order))
+            for low in range(0, len(at_q), 256):
+                rows = at_q[low : low + 256]
+                s = np.round(matrix(qs, rows) @ b.T, 12) + 0.0
+                if k is None or k >= s.shape[1]:
+                    col = np.tile(np.arange(s.shape[1]), len(rows))
+                    row = np.repeat(np.arange(len(rows)), s.shape[1])
+                else:
+                    # vectors are in the order of their ids, so a stable order breaks ties by id
+                    bar = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                    row, col = np.nonzero(s >= bar)
+                    order = np.lexsort((col, -s[row, col], row))
+                    row, col = row[order], col[order]
+                    first = np.searchsorted(row, np.arange(len(rows)))
+                    keep = np.arange(len(row)) - first[row] < k
+                    row, col = row[keep], col[keep]
+                out.append((left["query_id"].take(pa.array(rows[row])), ids.take(pa.array(col)), s[row, col]))
+        cast = [left.schema.field("query_id").type, right.schema.field("vec_id").type]
+        chunks = [pa.chunked_array([c for x in out for c in (x[i].chunks if isinstance(x[i], pa.ChunkedArray) else [x[i]])], type=cast[i]) for i in (0, 1)]
+        return pa.table([*chunks, pa.array(np.concatenate([x[2] for x in out]) if out else np.zeros(0))], names=schema.names)
+
+    pairs = q.groupBy("vb", "qb").cogroup(v.groupBy("vb", "qb")).applyInArrow(product, schema)
+    return pairs if k is None else first_rows(pairs, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], k)
 
 
 def unresolved_references(df: DataFrame, regions: DataFrame, key: str = "ward_id") -> DataFrame:

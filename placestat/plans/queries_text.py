@@ -516,8 +516,7 @@ def _(t):
     p = scratch(t)
     q = ST.stream_latest_status(c, p, scratch(t))
     q.awaitTermination()
-    last = t.spark.read.parquet(p).agg(F.max("v")).first()[0]
-    return t.spark.read.parquet(f"{p}/v={last}").select("request_id", "status")
+    return ST.read_latest_status(t.spark, p).select("request_id", "status")
 
 
 # remaining reports

@@ -1,6 +1,7 @@
 """Fixed expectations and edge cases of operators."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from placestat.functions import scalars as S
-from placestat.operators import boosting, filters, forecasting, learning, planning, quality, ranking, raster, scenarios, spatial, summarize, text, textmodel
+from placestat.operators import boosting, filters, forecasting, joins, learning, planning, quality, ranking, raster, scenarios, spatial, summarize, text, textmodel
 from placestat.operators.graph import connected_components
+from placestat.streaming import streams
 
 
 def one(spark, column):
@@ -338,6 +340,45 @@ def test_positions_within_keys(spark):
     assert sorted(r.at for r in ranking.positions(df, [], "v", "at").collect()) == list(range(111))
 
 
+def test_best_products_match_all_products(spark):
+    rng = np.random.default_rng(4)
+    v = [(i, rng.integers(-2, 3, 4 if i % 10 else 3).astype(float).tolist()) for i in range(400)] + [(900, None), (901, [])]
+    df = spark.createDataFrame(v, "vec_id long, e array<float>")
+    q = df.where("vec_id % 7 = 0")
+    want = {i: sorted(((-float(np.dot(a, b)), j) for j, b in v if b and len(a) == len(b)))[:5] for i, a in v if a and i % 7 == 0}
+    got: dict = {}
+    for r in joins.dot_product_join(q, df, "vec_id", "e", "vec_id", "e", k=5, block=64).collect():
+        got.setdefault(r.query_id, []).append((-r.similarity, r.vec_id))
+    assert {i: sorted(x) for i, x in got.items()} == want
+    every = joins.dot_product_join(q, df, "vec_id", "e", "vec_id", "e", block=64)
+    assert every.count() == sum(len(a) == len(b) for i, a in v if a and i % 7 == 0 for _, b in v if b)
+
+
+def test_names_that_contain_a_reference(spark):
+    rng = random.Random(5)
+    names = [(i, "".join(rng.choice("ABC ") for _ in range(rng.randrange(1, 12)))) for i in range(80)] + [(90, None), (None, "XYZ")]
+    wants = ["".join(rng.choice("ABC ") for _ in range(n)) for n in range(1, 6) for _ in range(12)] + ["", None, "ZZZ", "XYZ"]
+    got = joins.names_containing(spark.createDataFrame([(w,) for w in wants], "w string"), spark.createDataFrame(names, "k int, n string"), "w", "n", "k")
+    want = {w: min((k for k, n in names if n is not None and k is not None and w in n), default=None) for w in wants if w is not None}
+    assert {r.w: r.k for r in got.collect()} == {w: k for w, k in want.items() if k is not None}
+    regions = spark.createDataFrame(names, "ward_id int, zone string").withColumn("ward_code", F.col("ward_id").cast("string"))
+    plan = joins.resolve_region(spark.createDataFrame([("a",)], "ref string"), regions)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    import datetime as dt
+
+    source, table, schema = f"{tmp_path}/in", f"{tmp_path}/out", "request_id long, status string, ts timestamp, event_id long"
+    batches = [[(i, "OPEN", dt.datetime(2024, 1, 1), i) for i in range(200)], [(7, "CLOSED", dt.datetime(2024, 2, 1), 500)], [(7, "OPEN", dt.datetime(2023, 2, 1), 501), (1000, "OPEN", dt.datetime(2024, 3, 1), 502)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        streams.stream_latest_status(spark.readStream.schema(schema).parquet(source), table, f"{tmp_path}/c", buckets=16).awaitTermination()
+    assert [len(os.listdir(f"{table}/v={b}")) - sum(x.startswith(("_", ".")) for x in os.listdir(f"{table}/v={b}")) for b in (0, 1)] == [16, 1]
+    got = {r.request_id: (r.status, r.resolved_at is not None) for r in streams.read_latest_status(spark, table).collect()}
+    assert len(got) == 201 and got[7] == ("CLOSED", True) and got[8] == ("OPEN", False) and got[1000] == ("OPEN", False)
+
+
 def test_facility_rules_in_order(spark):
     tags = [({"amenity": "doctors"}, ("HEALTHCARE", "clinic")), ({"amenity": "police", "leisure": "park"}, ("PUBLIC_SAFETY", "police")), ({"station": "subway"}, ("METRO_STATION", "metro"))]
     tags += [({"railway": "station", "station": "monorail"}, ("METRO_STATION", "monorail")), ({"railway": "station"}, ("RAIL_STATION", "suburban_rail")), ({"amenity": "kindergarten"}, None), ({}, None)]
