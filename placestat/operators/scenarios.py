@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placestat.functions import constants as K
@@ -97,13 +97,41 @@ def scenario_deltas(simulated: DataFrame) -> DataFrame:
     return simulated.select("scope", "scenario", F.explode(pairs).alias("d")).select("scope", "scenario", "d.*").where("delta <> 0")
 
 
+#: What is compared besides ``INDICATORS``: made from them, before and after.
+DERIVED = ("water_gap", "uncollected_waste", "residents_per_health", "residents_per_school")
+
+
+def derived(prefix: str = "") -> dict[str, Column]:
+    """Water short of demand, percent of waste not processed, and residents per facility and per school."""
+    c = lambda n: F.col(f"{prefix}{n}")
+    return {
+        "water_gap": F.round(F.greatest(F.lit(0.0), c("water_required") - c("water_supplied")), 2),
+        "uncollected_waste": F.round(F.greatest(F.lit(0.0), 100 * (1 - c("waste_processed") / F.greatest(F.lit(0.01), c("waste_generated")))), 1),
+        "residents_per_health": F.round(c("population") / F.greatest(F.lit(1.0), c("health")), 0), "residents_per_school": F.round(c("population") / F.greatest(F.lit(1.0), c("schools")), 0),
+    }
+
+
 def compare_scenarios(simulated: DataFrame, names: list[str]) -> DataFrame:
-    """One row a scope and indicator, one column a scenario."""
-    values = F.array(*[F.struct(F.lit(i).alias("indicator"), F.col(i).cast("double").alias("baseline"), F.col(f"s_{i}").cast("double").alias("value")) for i in INDICATORS])
+    """One row a scope and indicator (``INDICATORS`` and ``DERIVED``), one column a scenario."""
+    before, after = ({i: F.col(f"{p}{i}") for i in INDICATORS} | derived(p) for p in ("", "s_"))
+    values = F.array(*[F.struct(F.lit(i).alias("indicator"), before[i].cast("double").alias("baseline"), after[i].cast("double").alias("value")) for i in before])
     long = simulated.select("scope", "scenario", F.explode(values).alias("v")).select("scope", "scenario", "v.*")
     return long.groupBy("scope", "indicator", "baseline").pivot("scenario", names).agg(F.first("value"))
 
 
+def rank_scenarios(scored: DataFrame) -> DataFrame:
+    """(scope, scenario, score, score_change, capital_cost, gain_per_100, rank, most_effective) by score, ties by name.
+
+    The most effective scenario of a scope gains most for its cost; free ones come last.
+    """
+    by = Window.partitionBy("scope")
+    best = by.orderBy(F.desc(F.coalesce("gain_per_100", F.lit(-1.0))), F.desc("score"), "scenario")
+    return scored.select(
+        "scope", "scenario", "score", "score_change", F.round("cost", 1).alias("capital_cost"), "gain_per_100",
+        F.row_number().over(by.orderBy(F.desc("score"), "scenario")).alias("rank"), (F.row_number().over(best) == 1).alias("most_effective"),
+    )
+
+
 def assumption_list(scenarios: DataFrame, parameters: str = "parameters") -> DataFrame:
     """scenario, the groups of levers used and the levers of the map that are not known."""
     p = F.col(parameters)

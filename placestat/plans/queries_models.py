@@ -192,13 +192,36 @@ def _(t):
     return SC.scenario_deltas(simulated(t))
 
 
+def _compared(p: str) -> dict[str, str]:
+    """SQL of what is compared, of columns with a prefix."""
+    return {x: f"{p}{x}" for x in SC.INDICATORS} | {
+        "water_gap": f"round(greatest(0e0, {p}water_required - {p}water_supplied), 2)", "uncollected_waste": f"round(greatest(0e0, 100 * (1 - {p}waste_processed / greatest(0.01e0, {p}waste_generated))), 1)",
+        "residents_per_health": f"round({p}population / greatest(1e0, {p}health), 0)", "residents_per_school": f"round({p}population / greatest(1e0, {p}schools), 0)",
+    }
+
+
+COMPARED = ["transit", "drains", "growth", "services"]
+
+
 @query(
     "scn5_compare_scenarios",
-    "SELECT scope, 'population' AS indicator, max(population)::DOUBLE AS baseline, " + ", ".join(f"max(s_population) FILTER (scenario = '{n}') AS {n}" for n in ("transit", "growth")) + " FROM l2 GROUP BY 1",
+    " UNION ALL ".join(
+        f"SELECT scope, '{x}' AS indicator, max({before})::DOUBLE AS baseline, " + ", ".join(f"(max({after}) FILTER (scenario = '{n}'))::DOUBLE AS {n}" for n in COMPARED) + " FROM l2 GROUP BY 1"
+        for (x, before), after in zip(_compared("").items(), _compared("s_").values(), strict=True)
+    ),
+    INPUT_FIXTURES, SCN_SQL,
+)
+def _(t):
+    return SC.compare_scenarios(simulated(t), COMPARED)
+
+
+@query(
+    "scn5_rank_scenarios",
+    "SELECT scope, scenario, score, score_change, capital_cost, gain_per_100, row_number() OVER (PARTITION BY scope ORDER BY score DESC, scenario)::INT AS rank, row_number() OVER (PARTITION BY scope ORDER BY coalesce(gain_per_100, -1) DESC, score DESC, scenario) = 1 AS most_effective FROM (SELECT *, round(score - base_score, 2) AS score_change, round(cost, 1) AS capital_cost, CASE WHEN cost > 0 THEN round((score - base_score) / (cost / 100), 3) END AS gain_per_100 FROM ls)",
     INPUT_FIXTURES, SCN_SQL,
 )
 def _(t):
-    return SC.compare_scenarios(simulated(t), ["transit", "growth"]).where("indicator = 'population'")
+    return SC.rank_scenarios(SC.scored(simulated(t)))
 
 
 @query("scn6_assumption_list", "SELECT c_custkey::VARCHAR AS scenario, CASE WHEN c_custkey % 3 <> 0 THEN 'drainage' ELSE '' END AS used, CASE WHEN c_custkey % 2 = 0 THEN 'magic' ELSE '' END AS unknown FROM customer")

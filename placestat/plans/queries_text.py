@@ -193,13 +193,26 @@ def entities(t):
     return t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+ing)"), F.lit(1))).alias("text"), F.lit("LOCATION").alias("label"))
 
 
-TOP = "SELECT source, lang, string_agg(place, ',' ORDER BY n DESC, place) AS places FROM (SELECT d.source, d.lang, en.text AS place, count(*) AS n FROM en JOIN documents d USING (doc_id) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY d.source, d.lang ORDER BY count(*) DESC, en.text) <= 3) GROUP BY 1, 2"
+def top_sql(table, k):
+    return f"SELECT source, lang, string_agg(place, ',' ORDER BY n DESC, place) AS places FROM (SELECT d.source, d.lang, x.text AS place, count(*) AS n FROM {table} x JOIN documents d USING (doc_id) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY d.source, d.lang ORDER BY count(*) DESC, x.text) <= {k}) GROUP BY 1, 2"
 
 
-@query("txt14_group_summary", f"SELECT c.source, c.lang, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS open, any_value(places) AS places FROM documents c LEFT JOIN ({TOP}) p ON p.source = c.source AND p.lang = c.lang GROUP BY 1, 2", more=ENT)
+ISSUE_SQL = "iu AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:tion|keit|ment)'))) AS text FROM documents)"
+
+
+def source_requests(t):
+    return t.documents.select("doc_id", "source", "lang", "text", F.when(F.col("doc_id") % 3 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
+
+
+@query("txt14_group_summary", f"SELECT c.source, c.lang, count(*) AS total, count(*) FILTER (doc_id % 3 = 0) AS open, any_value(p.places) AS places, any_value(i.places) AS issues FROM documents c LEFT JOIN ({top_sql('en', 3)}) p ON p.source = c.source AND p.lang = c.lang LEFT JOIN ({top_sql('iu', 5)}) i ON i.source = c.source AND i.lang = c.lang GROUP BY 1, 2", more=f"{ENT}, {ISSUE_SQL}")
+def _(t):
+    issues = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]+(?:tion|keit|ment))"), F.lit(1))).alias("issue"))
+    return T.group_summary(source_requests(t), entities(t).select("doc_id", F.col("text").alias("place")), ["source", "lang"], "doc_id", issues)
+
+
+@query("txt14_representative_texts")
 def _(t):
-    requests = t.documents.select("doc_id", "source", "lang", F.when(F.col("doc_id") % 3 == 0, "OPEN").otherwise("RESOLVED").alias("status"))
-    return T.group_summary(requests, entities(t).select("doc_id", F.col("text").alias("place")), ["source", "lang"], "doc_id")
+    return T.representative_texts(source_requests(t), ["source", "lang"], "doc_id")
 
 
 @query("txt15_analyze_documents")

@@ -189,6 +189,23 @@ def test_sentence_ranks_match_the_dense_matrix(spark):
     assert batch == joined
 
 
+def test_representative_texts_of_groups(spark):
+    rng = random.Random(14)
+    vocabulary = [f"word{i}" for i in range(12)]
+    rows = [(i, "abc"[i % 3] if i % 7 else None, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 8))) if i % 11 else None) for i in range(120)] + [(200, "short", "a b"), (201, "short", "c")]
+    df = spark.createDataFrame(rows, "request_id long, zone string, text string")
+    got: dict = {}
+    for r in text.representative_texts(df, ["zone"]).collect():
+        got.setdefault(r.zone, {})[r.request_id] = r.score
+    for zone in ("a", "b", "c", None):
+        mine = [(i, t) for i, z, t in rows if z == zone and t and len(t.split()) >= 3]
+        want = dense_ranks([t for _, t in mine], set(summarize.STOP))
+        assert len(got[zone]) == 3
+        assert np.allclose(sorted(got[zone].values()), np.sort(want)[-3:], atol=1e-8)
+        assert all(math.isclose(s, want[[i for i, _ in mine].index(k)], abs_tol=1e-8) for k, s in got[zone].items())
+    assert got["short"] == {200: 1.0, 201: 1.0}
+
+
 def test_sections(spark):
     long = " ".join(f"{' '.join(['need'] * 99)} end{i}." for i in range(8)).replace(". need", ". Need")
     body = "An opening line without any heading comes first.\nWater Supply\n" + long + "\nRoads in 2020\nthe roads are in a poor state,\nthis year indeed.\nShort Part\nToo short."
