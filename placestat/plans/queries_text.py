@@ -16,6 +16,7 @@ from placestat.operators import quality as D
 from placestat.operators import ranking as R
 from placestat.operators import spatial as G
 from placestat.operators import summarize as S
+from placestat.operators import terms as TM
 from placestat.operators import text as T
 from placestat.plans.queries_spatial import INSIDE, shapes
 from placestat.plans.registry import query
@@ -139,6 +140,17 @@ def _(t):
     )
 
 
+@query(
+    "txt8_match_terms",
+    "SELECT d.doc_id, d.w AS text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents) d JOIN gz ON gz.key = d.w GROUP BY 1, 2",
+    more=GAZ,
+)
+def _(t):
+    terms = gazetteer(t).select(F.col("key").alias("term"), F.lit("LANDMARK").alias("label"), F.lit("lexicon").alias("source"), F.lit(0.85).alias("confidence"))
+    found = TM.match_terms(t.documents.select("doc_id", "text"), terms).select("doc_id", F.explode("terms").alias("e"))
+    return found.groupBy("doc_id", F.lower("e.text").alias("text")).agg(F.count("*").alias("n"))
+
+
 @query("txt9_resolve_overlaps")
 def _(t):
     spans = t.conversations.select("conv_id", "turn", T.resolve_overlaps(T.match_patterns(F.col("text"), TERMS)).alias("e"))

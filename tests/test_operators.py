@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placestat.functions import scalars as S
-from placestat.operators import boosting, filters, forecasting, joins, learning, planning, quality, ranking, raster, scenarios, spatial, summarize, text, textmodel
+from placestat.operators import boosting, filters, forecasting, joins, learning, planning, quality, ranking, raster, scenarios, spatial, summarize, terms, text, textmodel
 from placestat.operators.graph import connected_components
 from placestat.streaming import streams
 
@@ -423,6 +423,32 @@ def test_entities_take_names_leftmost_then_longest_with_places_in_the_text(spark
     assert found == [(1, 2, 3, "green lake station"), (1, 6, 2, "mill road"), (4, 1, 2, "mill road"), (4, 5, 2, "mill road"), (5, 0, 2, "green lake")]
 
 
+def test_a_thousand_terms_match_a_scan_for_each(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 4)))
+    table = sorted({" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(1500)})[:1000]
+    texts = ["".join(rng.choice([word(), word().upper(), " ", "  ", "\n", ", ", "_"]) for _ in range(60)) for _ in range(30)] + [None, "", "İ ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = spark.createDataFrame([(t, "X", "lexicon", 0.5) for t in table], "term string, label string, source string, confidence double")
+    want = set()
+    for i, t in enumerate(texts):
+        for x in table:
+            for m in re.finditer(rf"(?=(?<![^\W]){re.escape(x)}(?!\w))".replace("\\ ", r"\s+"), terms.small(t or "")):
+                whole = re.compile(re.escape(x).replace("\\ ", r"\s+")).match(terms.small(t), m.start())
+                want.add((i, m.start(), whole.end()))
+    for most in (200_000, 300):
+        got = [(r.id, e.start, e.end, e.text == r.text[e.start : e.end]) for r in terms.match_terms(df, rows, max_terms=most).collect() for e in r.terms]
+        assert {g[:3] for g in got} == want and all(g[3] for g in got) and len(got) == len(want) > 100
+
+
+def test_region_codes_organisations_and_places_after_prepositions(spark):
+    df = spark.createDataFrame([(1, "Potholes near Shivaji Park in ward K/E, the Water Board said; street  light off since yesterday"), (2, None)], "id int, text string")
+    table = terms.default_terms(spark, organisations=("Water Board",))
+    got = {r.id: [(e.text, e.label) for e in r.entities] for r in text.extract_entities(df, places_table(spark), "id", terms=table).collect()}
+    assert {"ROAD_INFRA", "LANDMARK", "WARD", "ORGANIZATION", "TEMPORAL"} <= {label for _, label in got[1]} and got[2] == []
+    assert {("Shivaji Park", "LANDMARK"), ("ward K/E", "WARD"), ("Water Board", "ORGANIZATION"), ("since yesterday", "TEMPORAL")} <= set(got[1])
+
+
 def test_overlaps_by_source_length_and_confidence(spark):
     spans = [(0, 9, "a", "X", "lexicon", 0.9), (5, 7, "b", "X", "gazetteer", 0.5), (7, 9, "c", "X", "pattern", 0.1), (8, 12, "d", "X", "pattern", 0.1), (20, 22, "e", "X", "lexicon", 0.8), (20, 22, "f", "X", "lexicon", 0.9)]
     df = spark.createDataFrame([(spans,)], f"s array<{text.SPAN}>")
