@@ -130,6 +130,19 @@ def test_lm_scores_and_base(spark, vocabulary):
     assert mixing_lm.score_texts(d.limit(0), F.lit(True)).count() == 0
 
 
+def test_held_out_scores_beat_the_base(spark):
+    """Texts of nearly only known words, as unknown ones are spelled in the score and not in the base."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = mixing_lm.score_texts(d, held_out(7) != 2).where(held_out(7) == 2).where("n_known > 0.9 * n_tokens").collect()
+    assert len(out) > 30 and sum(r.score for r in out) > sum(r.base_score for r in out)
+    assert sum(r.score > r.base_score for r in out) >= 0.6 * len(out)
+
+
+def test_blocks_of_counts_come_back():
+    c = np.array([0, 1, 254, 255, 70_000, 2**31 - 1, 0], dtype=np.int32)
+    assert np.array_equal(mixing_lm.unsqueeze(mixing_lm.squeeze(c)), c)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
