@@ -155,7 +155,8 @@ def known_digests(known: DataFrame) -> DataFrame:
 def known_licences(spark: SparkSession) -> DataFrame:
     """(digest, licence) of the texts and digests above."""
     texts = known_digests(spark.createDataFrame(KNOWN, "licence string, text string"))
-    return texts.unionByName(spark.createDataFrame(DIGESTS, "licence string, digest string"))
+    both = texts.unionByName(spark.createDataFrame(DIGESTS, "licence string, digest string"))
+    return both.groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def scan_licences(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

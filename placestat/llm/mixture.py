@@ -21,6 +21,17 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that ``df`` doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def source_rates(
     docs: DataFrame, source_col: str, weights: dict[str | None, float] | None, power: float, total: float | None
 ) -> DataFrame:
@@ -68,15 +79,16 @@ def poisson_mixture(
     (from 1), n_copies and shuffle_key (rows are sorted by it, then by id and copy). Null ids draw one
     number among them. Empty input gives empty output. Columns named like a new one are replaced.
     """
+    of, parts, cdf = free_names(docs, "source", "parts", "cdf")
     rates = source_rates(docs, source_col, weights, power, total).withColumn("__parts", F.greatest(F.lit(1), F.ceil(F.col("__rate") / PART)))
-    rates = rates.withColumn("__cdf", cumulative(F.col("__rate") / F.col("__parts"))).select("__source", "__parts", "__cdf")
-    joined = docs.join(sized_broadcast(rates, 10_000), F.col(source_col).eqNullSafe(F.col("__source")))
+    rates = rates.select(F.col("__source").alias(of), F.col("__parts").alias(parts), cumulative(F.col("__rate") / F.col("__parts")).alias(cdf))
+    joined = docs.join(sized_broadcast(rates, 10_000), F.col(source_col).eqNullSafe(F.col(of)))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     draws = F.transform(
-        F.sequence(F.lit(1).cast("long"), F.col("__parts").cast("long")),
-        lambda part: let(unit_hash(F.lit(str(seed)), part.cast("string"), ident), lambda u: F.size(F.filter("__cdf", lambda c: c <= u))),
+        F.sequence(F.lit(1).cast("long"), F.col(parts).cast("long")),
+        lambda part: let(unit_hash(F.lit(str(seed)), part.cast("string"), ident), lambda u: F.size(F.filter(cdf, lambda c: c <= u))),
     )
     copies = F.aggregate(draws, F.lit(0).cast("long"), lambda a, x: a + x)
     out = joined.withColumn("n_copies", copies).where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     out = out.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), ident, F.col("copy").cast("string"))))
-    return out.drop("__source", "__parts", "__cdf").orderBy("shuffle_key", id_col, "copy")
+    return out.drop(of, parts, cdf).orderBy("shuffle_key", id_col, "copy")

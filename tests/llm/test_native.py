@@ -242,3 +242,16 @@ def test_poisson_moments(spark, mean):
     m = sum(got) / n
     assert abs(m - mean) < 5 * (mean / n) ** 0.5
     assert 0.7 * mean < sum((x - m) ** 2 for x in got) / n < 1.35 * mean
+
+
+def test_mixture_takes_columns_of_any_name(spark):
+    rows = [(i, "ab"[i % 2], f"t{i}", i, i, i) for i in range(40)]
+    plain = spark.createDataFrame([r[:3] for r in rows], "doc_id long, source string, text string")
+    odd = spark.createDataFrame(rows, "doc_id long, source string, text string, __CDF int, __source int, __parts int")
+    pick = lambda df: [(r.doc_id, r.copy) for r in mixture.poisson_mixture(df).select("doc_id", "copy").collect()]
+    assert pick(odd) == pick(plain) and {"__CDF", "__source", "__parts"} <= set(mixture.poisson_mixture(odd).columns)
+
+
+def test_known_licences_have_one_row_a_digest(spark):
+    k = licences.known_licences(spark)
+    assert k.count() == k.select("digest").distinct().count()
