@@ -103,14 +103,33 @@ def eps_neighbours(points: DataFrame, eps_km: float, pid: str = "request_id", gr
 
     Cells are eps high and wide at ``max_abs_lat``, so that neighbours are in the 3 x 3 cells around.
     """
+    g = F.col(group) if group else F.lit(0)
+    p = points.where("lat IS NOT NULL AND lng IS NOT NULL").select(F.col(pid).alias("id"), g.alias("g"), "lat", "lng")
+    return near_pairs(p, eps_km, max_abs_lat).select("a", "b", "g")
+
+
+def near_pairs(p: DataFrame, eps_km: float, max_abs_lat: float) -> DataFrame:
+    """(a, g, b, and b's other columns) of points (id, g, lat, lng, ...) within ``eps_km``."""
     high = 1.001 * eps_km / 111.19
     wide = high / math.cos(math.radians(max_abs_lat))
-    g = F.col(group) if group else F.lit(0)
-    p = points.where("lat IS NOT NULL AND lng IS NOT NULL").select(F.col(pid).alias("id"), g.alias("g"), "lat", "lng", F.floor(F.col("lat") / high).alias("cy"), F.floor(F.col("lng") / wide).alias("cx"))
+    p = p.withColumns({"cy": F.floor(F.col("lat") / high), "cx": F.floor(F.col("lng") / wide)})
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     left = p.withColumn("d", F.explode(around)).select(F.col("id").alias("a"), "g", F.col("lat").alias("alat"), F.col("lng").alias("alng"), (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
     km = haversine(F.col("alat"), F.col("alng"), F.col("lat"), F.col("lng"), K.R_MEAN_KM)
-    return left.join(p, ["g", "cx", "cy"]).where(km <= eps_km).select("a", F.col("id").alias("b"), "g")
+    return left.join(p, ["g", "cx", "cy"]).where(km <= eps_km).drop("alat", "alng", "lat", "lng", "cx", "cy").withColumnRenamed("id", "b")
+
+
+def eps_neighbour_counts(points: DataFrame, eps_km: float, pid: str = "request_id", group: str | None = None, max_abs_lat: float = 60.0) -> DataFrame:
+    """(a, n): how many pairs of ``eps_neighbours`` each id has, without listing them.
+
+    Points at one place have the same neighbours, so only places are compared, each with its number of points.
+    """
+    g = F.col(group) if group else F.lit(0)
+    p = points.where("lat IS NOT NULL AND lng IS NOT NULL").select(F.col(pid).alias("a"), g.alias("g"), "lat", "lng")
+    places = checkpoint(p.groupBy("g", "lat", "lng").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    near = near_pairs(places, eps_km, max_abs_lat).groupBy("a").agg(F.sum("n").alias("n"))
+    counts = places.drop("n").join(near, F.col("id") == F.col("a")).drop("id", "a")
+    return p.join(counts, ["g", "lat", "lng"]).groupBy("a").agg(F.sum("n").alias("n"))
 
 
 def dbscan(points: DataFrame, eps_km: float, min_samples: int, pid: str = "request_id", group: str | None = None) -> DataFrame:
