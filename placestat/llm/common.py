@@ -14,8 +14,21 @@ from placestat.operators.graph import checkpoint, ensure_checkpoint_dir
 #: Words are what stands between ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Runs of letters (category L) for Python's ``re``, whose word characters also have number signs such as ½.
-LETTERS = r"[^\W\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+"
+
+def _letters(first: int, last: int) -> str:
+    """Set of the letters (category L) within these code points, as ranges for Python's ``re``."""
+    runs: list[list[str]] = []
+    for c in filter(str.isalpha, map(chr, range(first, last + 1))):
+        if runs and ord(c) == ord(runs[-1][1]) + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"{a}-{b}" for a, b in runs) + "]"
+
+
+#: Runs of letters for ``re``, whose word characters also have number signs such as ½. A set below U+10000 is looked up in a table; ranges
+#: beyond are tried one by one for each character, so they are asked only about characters that are beyond.
+LETTERS = rf"(?:{_letters(0, 0xFFFF)}+|(?![\0-\uFFFF]){_letters(0x10000, sys.maxunicode)}+)+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

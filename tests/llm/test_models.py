@@ -1,6 +1,10 @@
 """Language ID, language-model scores and toxicity on held-out rows and small fixtures."""
 
 import math
+import random
+import re
+import sys
+import time
 import zlib
 from collections import Counter
 
@@ -9,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placestat.llm import langid, mixing_lm, toxicity
+from placestat.llm.common import LETTERS
 
 def held_out(m):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % m
@@ -223,3 +228,20 @@ def test_the_score_is_the_sum_of_mixed_bits():
             p = 1 / (1 + math.exp(-max(-7.99, min(7.99, x))))
             want[owner[np.searchsorted(ends, k, side="right")]] += math.log10(p if bit else 1 - p)
     assert np.allclose(got, want, rtol=0.02)
+
+
+def test_letters_are_those_of_category_l_and_cost_little():
+    every = list(map(chr, range(sys.maxunicode + 1)))
+    random.Random(3).shuffle(every)
+    assert re.findall(LETTERS, "".join(every)) == "".join(c if c.isalpha() else " " for c in every).split()
+    text = "der schnelle Fuchs, été 2024 naïve; " * 5000
+
+    def seconds(pattern):
+        found, best = re.compile(pattern), math.inf
+        for _ in range(3):
+            start = time.perf_counter()
+            found.findall(text)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert seconds(LETTERS) < 6 * seconds(r"[^\W\d_]+")
