@@ -7,8 +7,8 @@ after the two words before it (in a spelled word: after two, three and four of i
 that grows with the number of training tokens, filled from all training texts. Their log-odds are added with
 weights from a set that is selected by how much the two longer contexts have seen (the gate); the weights are
 learned online by gradient steps on the coding cost, and the mixed probability is refined by an adaptive
-table of its own (indexed by gate and quantised log-odds). Tasks learn weights and table from a share of the
-training texts that grows with them; the parts are averaged. A text's bits add up to a proper log-probability.
+table of its own (indexed by gate and quantised log-odds). Tasks learn weights and table from all training
+texts, each from its own; the parts are averaged. A text's bits add up to a proper log-probability.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -245,29 +246,30 @@ class Mixer:
 
 def fit_mixer(stream: Iterator[tuple[list[np.ndarray], np.ndarray, bool]], counts: np.ndarray, rate: float = 0.1, step: int = 2048) -> Mixer:
     """One online pass over (slots, bits, spelled) of training texts whose own counts are left out one by one."""
+    return fit_left_out(stream, left_out(counts), rate, step)
+
+
+def fit_left_out(stream: Iterator[tuple[list[np.ndarray], np.ndarray, bool]], left: np.ndarray, rate: float = 0.1, step: int = 2048) -> Mixer:
+    """``fit_mixer`` from packed entries without the count of the bit itself (``left_out``)."""
     grid = 1 / (1 + np.exp(-(np.arange(STEPS) / 2 - 8)))
     mixer = Mixer(np.array([[0.6] * GATES, [0.3] * GATES, [0.3] * GATES, [0.0] * GATES]), np.tile(grid, (GATES, 1)))
     for ids, bits, spelled in stream:
+        found = [left.take(x.astype(np.int64) * 2 + bits) for x in ids]
+        all_gates = gates(spelled, found[1] & 3, found[2] & 3)
+        all_odds = [(v >> 2) * np.float32(1 / 64) for v in found]
         for i in range(0, len(bits), step):
-            bit = bits[i : i + step]
-            odds, conf = [], []
-            for x in ids:
-                n = counts[:, x[i : i + step]].astype(np.float64)
-                n[bit, np.arange(len(bit))] = np.maximum(n[bit, np.arange(len(bit))] - 1, 0)
-                odds.append(log_odds(n[0], n[1]))
-                conf.append(confidence(n[0] + n[1]))
-            gate = gates(spelled, conf[1], conf[2])
+            bit, gate, odds = bits[i : i + step], all_gates[i : i + step], [o[i : i + step] for o in all_odds]
             x = mixer.mixed(odds, gate)
             error = bit - 1 / (1 + np.exp(-x))
             uses = np.maximum(np.bincount(gate, minlength=GATES), 1)
-            for k, o in enumerate([*odds, np.ones(len(bit))]):
-                mixer.weights[k] += rate * np.bincount(gate, weights=error * o, minlength=GATES) / (uses + 50)
-            at = np.rint((x + 8) * 2).astype(np.int64)
-            row = gate * STEPS + at
+            mixer.weights[:CONTEXTS] += rate * np.array([np.bincount(gate, weights=error * o, minlength=GATES) for o in odds]) / (uses + 50)
+            mixer.weights[CONTEXTS] += rate * np.bincount(gate, weights=error, minlength=GATES) / (uses + 50)
+            row = gate * STEPS + np.rint((x + 8) * 2).astype(np.int64)
             seen, ones = np.bincount(row, minlength=GATES * STEPS), np.bincount(row, weights=bit, minlength=GATES * STEPS)
-            keep = 0.995 ** seen
-            mean = (ones + 1e-9) / (seen + 2e-9)
-            mixer.refine = (mixer.refine.ravel() * keep + mean * (1 - keep)).reshape(GATES, STEPS)
+            met = np.flatnonzero(seen)
+            keep = 0.995 ** seen[met]
+            flat = mixer.refine.reshape(-1)
+            flat[met] = flat[met] * keep + ones[met] / seen[met] * (1 - keep)
     return mixer
 
 
@@ -309,6 +311,28 @@ def pack(counts: np.ndarray, step: int = 1 << 18) -> np.ndarray:
     return out
 
 
+def left_out(counts: np.ndarray) -> np.ndarray:
+    """Packed entries of every slot with one zero less, then with one one less; slot by slot."""
+    small = np.maximum(*counts) < 256
+    out = left_out_bytes().take(np.where(small, counts[0] * 256 + counts[1], 0)).view(np.int16)
+    big = np.flatnonzero(~small)
+    for bit in (0, 1):
+        out[big * 2 + bit] = pack(less(counts[:, big], bit))
+    return out
+
+
+def less(counts: np.ndarray, bit: int) -> np.ndarray:
+    """Counts of zeros and ones without one of ``bit``."""
+    return np.maximum(counts - (np.arange(2) == bit)[:, None], 0)
+
+
+@cache
+def left_out_bytes() -> np.ndarray:
+    """Both entries of ``left_out`` in 32 bits for all pairs of counts below 256."""
+    pairs = np.array(np.divmod(np.arange(1 << 16), 256))
+    return np.stack([pack(less(pairs, bit)) for bit in (0, 1)], axis=1).view(np.int32).ravel()
+
+
 def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     """The words with their counts, most frequent first, that occur so often that at most ``most`` others do.
 
@@ -423,18 +447,18 @@ def bits_for(tokens: int, most: int) -> int:
     return min(max((max(tokens, 1) - 1).bit_length() + 2, 16), most)
 
 
-def learn_mixer(texts: DataFrame, code, table: np.ndarray, table_bits: int, a_task: int = 250) -> Mixer:
-    """Weights and refinement learned from ``texts``, about ``a_task`` of them in a task, averaged by decisions."""
+def learn_mixer(texts: DataFrame, code, table: np.ndarray, table_bits: int) -> Mixer:
+    """Weights and refinement learned from all ``texts`` by an online pass in each task, averaged by decisions."""
     # in compressed blocks, as each executor keeps a copy on its disk
     flat = table.T.reshape(BLOCKS, -1)
     counts = texts.sparkSession.sparkContext.broadcast([squeeze(block) for block in flat])
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, seen = code.value, [0]
-        table = np.empty((2, 1 << table_bits), dtype=np.int32)
+        left = np.empty(2 << table_bits, dtype=np.int16)
         for b, block in enumerate(counts.value):
-            pairs = unsqueeze(block).reshape(-1, 2).T
-            table[:, b * pairs.shape[1] : (b + 1) * pairs.shape[1]] = pairs
+            part = left_out(unsqueeze(block).reshape(-1, 2).T)
+            left[b * len(part) : (b + 1) * len(part)] = part
 
         def stream() -> Iterator[tuple[list[np.ndarray], np.ndarray, bool]]:
             for group in batches(words(t) for pdf in frames for t in pdf["t"]):
@@ -443,14 +467,14 @@ def learn_mixer(texts: DataFrame, code, table: np.ndarray, table_bits: int, a_ta
                     seen[0] += len(bits)
                     yield ids, bits, spelled
 
-        mixer = fit_mixer(stream(), table)
+        mixer = fit_left_out(stream(), left)
         values = np.concatenate([mixer.weights.ravel(), mixer.refine.ravel()])
         yield pd.DataFrame({"at": np.arange(len(values), dtype=np.int32), "value": values, "n": float(seen[0])})
 
-    parts = texts.repartition(max(1, -(-texts.count() // a_task))).mapInPandas(fit, "at int, value double, n double").where("n > 0")
+    parts = texts.mapInPandas(fit, "at int, value double, n double").where("n > 0")
     mean = parts.groupBy("at").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value")).orderBy("at").toPandas()["value"].to_numpy()
     if not len(mean):
-        return fit_mixer(iter(()), table)
+        return fit_left_out(iter(()), np.zeros(2, dtype=np.int16))
     return Mixer(mean[: (CONTEXTS + 1) * GATES].reshape(CONTEXTS + 1, GATES), mean[(CONTEXTS + 1) * GATES :].reshape(GATES, STEPS))
 
 
@@ -464,7 +488,6 @@ def score_texts(
     text_col: str = "text",
     vocabulary: int = 1 << 18,
     max_table_bits: int = 24,
-    mixer_share: float = 0.01,
 ) -> DataFrame:
     """``docs``' ids and texts scored by a model of the rows for which the column ``train`` holds.
 
@@ -473,8 +496,7 @@ def score_texts(
     its only token. Without a training row the model is uniform over the byte tree. ``vocabulary`` bounds
     the words with a code of their own (the rest are spelled). The table has four slots for a training token,
     up to 2^``max_table_bits`` (what a worker holds in memory; beyond, contexts share slots more
-    often). Mixing weights are learned from ``mixer_share`` of the training texts, or from 200 where that is
-    fewer. Word counts for the base score of words out of the vocabulary are joined, so all words count.
+    often). Mixing weights are learned from all training texts. Word counts for the base score of words out of the vocabulary are joined, so all words count.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
@@ -485,9 +507,7 @@ def score_texts(
     code = spark.sparkContext.broadcast(Code.build(top, n_all - sum(n for _, n in top)))
     table_bits = bits_for(n_all, max_table_bits)
     table = slot_counts(texts, code, table_bits)
-    n_texts = dict(top).get(END, 0)
-    share = min(1.0, max(mixer_share, 200 / max(n_texts, 1)))
-    mixer = learn_mixer(base.where("train").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("t"), code, table, table_bits)
+    mixer = learn_mixer(texts, code, table, table_bits)
     base_log = np.log10((np.array([n for _, n in top], dtype=np.float64) + 1) / (n_all + n_words + 1))
     model = spark.sparkContext.broadcast((pack(table), Folded.of(mixer), np.append(base_log, 0.0)))
     whole = n_words <= len(top)

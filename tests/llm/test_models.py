@@ -245,3 +245,28 @@ def test_letters_are_those_of_category_l_and_cost_little():
         return best
 
     assert seconds(LETTERS) < 6 * seconds(r"[^\W\d_]+")
+
+
+def test_left_out_entries_are_those_of_counts_less_one():
+    rng = np.random.default_rng(2)
+    counts = np.concatenate([rng.integers(0, 5, (2, 500)), rng.integers(0, 2000, (2, 500))], axis=1).astype(np.int32)
+    got = mixing_lm.left_out(counts).reshape(-1, 2)
+    for bit in (0, 1):
+        less = counts.copy()
+        less[bit] = np.maximum(less[bit] - 1, 0)
+        assert np.array_equal(got[:, bit], mixing_lm.pack(less))
+
+
+def test_mixing_weights_are_learned_from_all_training_texts(spark, monkeypatch):
+    """Every training text has its bits in the averaged parts, and no text that isn't one."""
+    taken = []
+    learn = mixing_lm.learn_mixer
+
+    def watched(texts, *more):
+        taken.extend(r.t for r in texts.collect())
+        return learn(texts, *more)
+
+    monkeypatch.setattr(mixing_lm, "learn_mixer", watched)
+    d = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a b a c"), F.col("id") % 7, "id").alias("text"))
+    assert mixing_lm.score_texts(d, F.col("doc_id") % 5 != 0, max_table_bits=16).count() == 1500
+    assert sorted(taken) == sorted(f"a b a c {i % 7} {i}" for i in range(1500) if i % 5)
