@@ -1,8 +1,8 @@
 """N-gram Jaccard join with several global token orders.
 
 Two sets with at least p % similarity share one of their first n - ceil(p n / 100) + 1 elements under every
-total order of the elements. Candidates come from an equality join on the prefixes of a first order; each must
-then share a prefix element under the other orders too; what all orders let through is verified. The orders sort
+total order of the elements. Candidates come from an equality join on the prefixes of a first order, whose condition
+also bounds the symmetric difference of the two sets from below by their parity sketches; each must then share a prefix element under the other orders too; what all orders let through is verified. The orders sort
 by hashes of their own, so a pair that meets by chance under one seldom meets under all; elements that stand in very many
 prefixes come last in each.
 """
@@ -21,6 +21,7 @@ from placestat.llm.common import sized_broadcast, stored
 from placestat.llm.simhash import _WordHashes, shingle_set, words
 from placestat.operators.graph import checkpoint, connected_components
 
+SKETCH = 16  # longs
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -71,8 +72,17 @@ def _digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, shared: Shared) -> DataFrame:
-    """(doc_id, n, digest, prefix) of each row: size and digest of its set and the first order's prefix."""
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """Bits dealt to the elements by hash, each set if an odd number of elements has it, in ``SKETCH`` longs.
+
+    Two sets' sketches differ in no more bits than the sets in elements, as common elements change the same bits of both.
+    """
+    at = ((mixed(h, 3) >> np.uint64(32)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, shared: Shared, sketched: bool = True) -> DataFrame:
+    """(doc_id, n, digest, prefix, sketch; null unless ``sketched``) of each row: size, digest and sketch of its set and the first order's prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -81,10 +91,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
         for b in batches:
             sets = list(_sets(b.column(1), shingle, known))
             first = [prefix(h, 0, percent, sent.value) for h in sets]
-            cols = [b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(_digest, sets)), pa.binary()), _lists(first, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "digest", "prefix"])
+            cols = [b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(map(_digest, sets)), pa.binary()), _lists(first, pa.int64()), _lists(list(map(parity_sketch, sets)), pa.int64()) if sketched else pa.nulls(len(sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "digest", "prefix", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(sign, f"doc_id {kind}, n long, digest binary, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(sign, f"doc_id {kind}, n long, digest binary, prefix array<long>, sketch array<long>")
 
 
 def other_prefixes(docs: DataFrame, text_col: str, shingle: int, percent: int, orders: int, shared: Shared) -> DataFrame:
@@ -128,16 +138,51 @@ def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("node").agg(F.max(F.struct("c", (-F.col("src")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("src"), F.col("node").alias("dst"))
 
 
-def rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _sketch_distance(a: str, b: str) -> Column:
+    bits = [F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH)]
+    return sum(bits[1:], bits[0])
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes allow the similarity, and the sketches differ in no more bits than sets of these sizes with it do in elements."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return _sizes_fit(n, m, percent) & ((100 + percent) * _sketch_distance(a, b) <= (100 - percent) * (n + m))
+
+
+def meeting_groups(rows: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(h, node, n, grp, s0, ...) of the rows whose element is in prefixes of several groups.
+
+    Elements whose nodes are all of one group are taken out by map-side minima first, so that groups of any size cost nothing after this.
+    """
+    grouped = checkpoint(rows.select("h", "node", "n").join(groups.select("node", F.col("component").alias("grp")), "node", "left").withColumn("grp", F.coalesce("grp", "node")))
+    several = grouped.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("h")
+    some = grouped.join(several, "h", "left_semi").join(sketches, "node")
+    return checkpoint(some.select("h", "node", "n", "grp", *[F.get("sketch", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]))
+
+
+def likely_pairs(some: DataFrame, percent: int, seed: int, hubs: int = 4) -> DataFrame:
+    """(node, src, d): each node and those of ``hubs`` nodes drawn for each of its elements that may be linked to it and are of another group.
+
+    Not all candidates; their number follows the rows'. Draws differ by element, so a node of a large family meets many of its members.
+    Sets of more elements than the sketch has bits are left to the comparison of all candidates, as sketches tell too little of them.
+    """
+    some = some.where(F.col("n") <= 64 * SKETCH)
+    what = ["node", "n", "grp", *[f"s{k}" for k in range(SKETCH)]]
+    drawn = some.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("node", "h", F.lit(seed * hubs + k)).alias("o"), *what)).alias(f"m{k}") for k in range(hubs)])
+    drawn = drawn.select("h", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"m{k}")[c].alias(c) for c in what]) for k in range(hubs)]))).alias("m")).select("h", "m.*")
+    a, b = some.alias("a"), drawn.alias("b")
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.grp") != F.col("b.grp")) & _may_link("a", "b", percent))
+    return met.select(F.col("a.node").alias("node"), F.col("b.node").alias("src"), _sketch_distance("a", "b").alias("d")).distinct()
+
+
+def rest_pairs(some: DataFrame, percent: int) -> DataFrame:
     """(src, dst) of all candidates in different groups; complete.
 
-    Elements whose nodes are all of one group are taken out by map-side minima first, so that groups of any size cost nothing here. Pairs
-    whose common prefix elements are too few for the similarity go.
+    The join lets through only pairs whose sketches allow the similarity, so texts of one family that are mostly below it make no rows.
+    Pairs whose common prefix elements are too few for the similarity go.
     """
-    mixed_keys = rows.groupBy("h").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("h")
-    some = checkpoint(rows.join(mixed_keys, "h", "left_semi"))
     a, b = some.alias("a"), some.alias("b")
-    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.grp") < F.col("b.grp")) & _sizes_fit(F.col("a.n"), F.col("b.n"), percent)
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.grp") < F.col("b.grp")) & _may_link("a", "b", percent)
     met = a.join(b, apart).groupBy(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).agg(F.count("*").alias("c"), F.min("a.n").alias("n"), F.min("b.n").alias("m"))
     return met.where(_enough(F.col("c"), F.col("n"), F.col("m"), percent)).select("src", "dst")
 
@@ -160,7 +205,7 @@ def shared_elements(counts: DataFrame, most: int) -> Shared:
     return h[order], kind[order]
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, orders: int = 3, most_shared: int = 500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, orders: int = 3, most_shared: int = 500_000, rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its set of word shingles and the least id reachable by links.
 
     A set has the distinct ``shingle``-word windows of the A-Z lower-cased words; a text of fewer words has one element, all
@@ -172,6 +217,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Prefixes are made by hash first. Elements in two or more of them (the ``most_shared`` most frequent, whatever the input) then go last in every
     order, the most frequent at the end: texts that differ in over a fifth have prefixes of their own elements only and never meet. Just the
     documents with such an element in their prefix get a new one, as for others nothing changes.
+
+    Groups are joined by likely links first, in up to ``rounds`` more passes while nodes have many candidates in other groups; then all
+    candidates between groups are compared.
     """
     if not 0 < percent <= 100 or not 1 <= orders <= 3:
         raise ValueError("percent must be in 1..100 and orders in 1..3")
@@ -208,7 +256,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         moved = checkpoint(reps.select("row", "prefix").mapInArrow(touched, "row long"))
         texts, who = texts_of(moved)
-        again = signatures(texts, "doc_id", "text", shingle, percent, shared).drop("doc_id").join(who, "digest")
+        again = signatures(texts, "doc_id", "text", shingle, percent, shared, False).drop("doc_id", "sketch").join(who, "digest")
         again = again.dropDuplicates(["row"]) if repeated else again
         again = stored(again.select("row", "n", "prefix"), "jaccard-signatures")
         reps = reps.join(sized_broadcast(moved, 1_000_000), "row", "left_anti").unionByName(again)
@@ -235,9 +283,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return checkpoint(both.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("src", "dst"))
 
     near = verified(hub_pairs(rows, percent))
-    groups = checkpoint(connected_components(near))
-    grouped = rows.join(groups.select("node", F.col("component").alias("grp")), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    more = verified(rest_pairs(checkpoint(grouped), percent))
+    sketches = f.select(F.col("row").alias("node"), "sketch")
+    some = None
+    for seed in range(rounds + 1):
+        some = meeting_groups(rows if some is None else some, checkpoint(connected_components(near)), sketches)
+        if seed == rounds:
+            break
+        likely = checkpoint(likely_pairs(some, percent, seed))
+        pairs, nodes = likely.agg(F.count("*"), F.count_distinct("node")).first()
+        if pairs <= 2 * nodes:
+            break
+        # the nearest alone would leave many small groups
+        few = likely.groupBy("node").agg(F.array_distinct(F.array(F.min(F.struct("d", "src"))["src"], F.min("src"), F.max("src"))).alias("few"))
+        few = few.select(F.explode("few").alias("src"), "node").select(F.least("src", "node").alias("src"), F.greatest("src", "node").alias("dst"))
+        near = near.union(verified(few.distinct()))
+    more = verified(rest_pairs(some, percent))
     comp = connected_components(near.union(more))
     rooted = checkpoint(classes.join(comp, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("root")))
     label = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")

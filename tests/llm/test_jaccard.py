@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from placestat.llm import jaccard
 from placestat.llm.jaccard import jaccard_components, prefix_length
 
 
@@ -93,3 +95,38 @@ def test_very_long_text(spark):
 def test_prefixes_hold_a_common_element():
     for n in range(1, 300):
         assert n - prefix_length(n, 80) + 1 >= 0.8 * n - 1e-9
+
+
+def test_sketches_bound_the_symmetric_difference():
+    rng = np.random.default_rng(7)
+    for n in (1, 30, 400, 5000):
+        a = rng.integers(-(2**63), 2**63 - 1, n)
+        b = np.concatenate([a[: n * 3 // 4], rng.integers(-(2**63), 2**63 - 1, n // 3)])
+        apart = sum(int(x).bit_count() for x in (jaccard.parity_sketch(a) ^ jaccard.parity_sketch(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
+
+
+def test_a_family_below_the_similarity_makes_few_candidates(spark, monkeypatch):
+    """Each two have 172 common elements of 228, 75 %, and more common prefix elements than the bound by number asks for."""
+    base, rows = [f"b{i}" for i in range(204)], []
+    for i in range(12):
+        t = list(base)
+        for at in (16 * i + 4, 16 * i + 12):
+            t[at : at + 3] = [f"own{i}x{at}x{k}" for k in range(3)]
+        rows.append((i, " ".join(t)))
+    seen, real = [], jaccard.rest_pairs
+    monkeypatch.setattr(jaccard, "rest_pairs", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert result(spark, rows) == brute(rows)
+    assert seen[0].count() <= 6
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_a_family_around_the_similarity_is_joined_in_rounds(spark, rounds):
+    rng = random.Random(9)
+    base, rows = [f"b{i}" for i in range(100)], []
+    for i in range(120):
+        t = list(base)
+        for at in rng.sample(range(100), rng.choice([0, 1, 2, 3])):
+            t[at] = f"own{i % 7}x{at}"
+        rows.append((i, " ".join(t)))
+    assert result(spark, rows, rounds=rounds) == brute(rows)
