@@ -110,7 +110,8 @@ def links(fps: DataFrame, node: str, fp: str, radius: int = 4) -> DataFrame:
     A pair is emitted only under the first variant that it shares, so it comes out once.
     """
     variants, segs = _variants(radius), segments(radius)
-    key = _keyed(fps, node, fp, radius)
+    # merged by name: Spark sizes the keys by the rows before the explode, and would broadcast some fifty times what it expects
+    key = _keyed(fps, node, fp, radius).hint("merge")
     a, b = key.alias("a"), key.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     differ = [F.bit_count(diff.bitwiseAND(F.lit(_mask(low, width)))) for low, width, _ in segs]
