@@ -18,12 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placestat.llm.common import sized_broadcast, stored
-from placestat.llm.simhash import _WordHashes, shingle_set, words
+from placestat.llm.simhash import SKETCH, _WordHashes, mixed, parity_sketch, shingle_set, words
 from placestat.operators.graph import checkpoint, connected_components
 
-SKETCH = 16  # longs
-MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-
 
 def overlap_length(n: int, percent: int) -> int:
     """Least overlap of a set of ``n`` with any set of that similarity."""
@@ -34,11 +31,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - overlap_length(n, percent) + 1 if n else 0
 
 
-def mixed(h: np.ndarray, order: int) -> np.ndarray:
-    x = h.view(np.uint64) * np.uint64(MIX[order] | 1)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(MIX[(order + 1) % len(MIX)] | 1)
-
-
 Shared = tuple[np.ndarray, np.ndarray]  # elements, sorted, and the class of each
 
 
@@ -72,15 +64,6 @@ def _digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def parity_sketch(h: np.ndarray) -> np.ndarray:
-    """Bits dealt to the elements by hash, each set if an odd number of elements has it, in ``SKETCH`` longs.
-
-    Two sets' sketches differ in no more bits than the sets in elements, as common elements change the same bits of both.
-    """
-    at = ((mixed(h, 3) >> np.uint64(32)) % np.uint64(64 * SKETCH)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, shared: Shared, sketched: bool = True) -> DataFrame:
     """(doc_id, n, digest, prefix, sketch; null unless ``sketched``) of each row: size, digest and sketch of its set and the first order's prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)

@@ -16,13 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placestat.llm.common import sized_broadcast
 from placestat.operators.graph import checkpoint, connected_components
 
 ONE64 = (1 << 64) - 1
+SKETCH = 16  # longs
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -133,13 +135,13 @@ def hub_links(fps: DataFrame, node: str, fp: str, radius: int) -> DataFrame:
     """(src, dst): under each index key the least node with every other within ``radius`` bits of it.
 
     As many rows at most as there are keys, however many nodes share one; not all links, but enough of them
-    to join most large groups. The least node of a key is found with map-side minima.
+    to join most large groups. The keys are dealt out once; a node has one row under each variant, so a key that
+    many share is a small part of them.
     """
-    keyed = _keyed(fps, node, fp, radius)
-    hubs = keyed.groupBy("tag", "bits").agg(F.min(F.struct("node", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hub = F.min(F.struct("node", "fp")).over(Window.partitionBy("tag", "bits"))
+    keyed = _keyed(fps, node, fp, radius).withColumn("hub", hub)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= radius
-    pairs = keyed.join(sized_broadcast(hubs), ["tag", "bits"]).where((F.col("hub.node") < F.col("node")) & near)
-    return pairs.select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
+    return keyed.where((F.col("hub.node") < F.col("node")) & near).select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -182,6 +184,20 @@ def shingle_set(tokens: list[bytes], size: int, known: _WordHashes) -> np.ndarra
     return np.unique((h ^ (h >> np.uint64(31))).view(np.int64))
 
 
+def mixed(h: np.ndarray, order: int) -> np.ndarray:
+    x = h.view(np.uint64) * np.uint64(MIX[order] | 1)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(MIX[(order + 1) % len(MIX)] | 1)
+
+
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """Bits dealt to the elements by hash, each set if an odd number of elements has it, in ``SKETCH`` longs.
+
+    Two sets' sketches differ in no more bits than the sets in elements, as common elements change the same bits of both.
+    """
+    at = ((mixed(h, 3) >> np.uint64(32)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
+
+
 def _shingle_hashes(text: Column, size: int) -> Column:
     @F.pandas_udf("array<long>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -217,26 +233,27 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def text_signatures(text: Column, size: int, similarity: float, frequent: np.ndarray) -> Column:
-    """(fp, n, prefix): fingerprint of the distinct words, each weighted by the root of its count; number of
-    distinct shingles; the first of them, by hash, the ``frequent`` last."""
+    """(fp, n, prefix, sketch): fingerprint of the distinct words, each weighted by the root of its count; number of
+    distinct shingles; the first of them, by hash, the ``frequent`` last; their parity sketch."""
 
-    @F.pandas_udf("struct<fp:long,n:int,prefix:array<long>>")
+    @F.pandas_udf("struct<fp:long,n:int,prefix:array<long>,sketch:array<long>>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _WordHashes()
         for s in batches:
-            fps, ns, out = [], [], []
+            fps, ns, out, sketches = [], [], [], []
             for t in s:
                 ws = words(t)
                 c = Counter(ws)
                 h = np.fromiter(map(known.__getitem__, c), dtype=np.uint64, count=len(c))
                 fps.append(majority(h, np.sqrt(np.fromiter(c.values(), dtype=np.float64, count=len(c)))))
                 hs = shingle_set(ws, size, known)
+                sketches.append(parity_sketch(hs))
                 if len(frequent):
                     last = frequent[np.minimum(np.searchsorted(frequent, hs), len(frequent) - 1)] == hs
                     hs = np.concatenate([hs[~last], hs[last]])
                 ns.append(len(hs))
                 out.append(hs[: prefix_length(len(hs), similarity)])
-            yield pd.DataFrame({"fp": np.array(fps, dtype=np.int64), "n": np.array(ns, dtype=np.int32), "prefix": pd.Series(out, dtype=object)})
+            yield pd.DataFrame({"fp": np.array(fps, dtype=np.int64), "n": np.array(ns, dtype=np.int32), "prefix": pd.Series(out, dtype=object), "sketch": pd.Series(sketches, dtype=object)})
 
     return udf(text)
 
@@ -258,8 +275,17 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct()
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least that Jaccard similarity."""
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches (id, n, sketch) differ in no more bits than sets of their sizes with that similarity do in elements."""
+    side = lambda node, c: sketches.select(F.col("id").alias(node), F.struct("n", "sketch").alias(c))
+    bits = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    met = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    return met.where((1 + similarity) * bits <= (1 - similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6).select("src", "dst").distinct()
+
+
+def _similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have at least that Jaccard similarity. Whole sets are made only where the sketches allow it."""
+    pairs = checkpoint(_likely(pairs, sketches, similarity))
     wanted = sized_broadcast(pairs.select(F.col("src").alias("id")).union(pairs.select(F.col("dst").alias("id"))).distinct(), 2_000_000)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
     sets = checkpoint(texts.select("id", _shingle_hashes(F.col("t"), shingle).alias("hs"))).dropDuplicates(["id"])
@@ -292,27 +318,28 @@ def near_duplicate_survivors(
     a word are equal only to the same text. Rows with a null id are kept as they are; a row that repeats
     another with its id and text is kept once. All columns stay.
     """
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    digest = F.concat(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), F.when(F.col(text_col).isNull(), "n").otherwise(""))
     frequent = frequent_shingles(docs, id_col, text_col, shingle)
-    f = checkpoint(
-        docs.where(F.col(id_col).isNotNull()).select(
-            F.col(id_col).alias("id"),
-            F.concat(digest, F.when(F.col(text_col).isNull(), "n").otherwise("")).alias("digest"),
-            text_signatures(F.col(text_col), shingle, similarity, frequent).alias("s"),
-        )
-    )
-    reps = checkpoint(f.groupBy("digest").agg(F.min(F.struct("id", "s.fp")).alias("x")).select("x.id", "digest", "x.fp"))
+    signed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), digest.alias("digest"), text_signatures(F.col(text_col), shingle, similarity, frequent).alias("s"))
+    f = checkpoint(signed.select("id", "digest", "s.*", F.monotonically_increasing_id().alias("row")))
+    reps = checkpoint(f.groupBy("digest").agg(F.min(F.struct("id", "row", "fp")).alias("x")).select("x.*", "digest"))
+    # prefixes and texts stay where they are as long as what is taken from or put to them is small enough to be sent there
+    copies = checkpoint(f.select("id", "row", "digest").join(reps.select("digest", F.col("row").alias("first")), "digest").where("row <> first").select("id", "row"))
+    whole = f.join(sized_broadcast(copies.select("row"), 1_000_000), "row", "left_anti")
+    sketches = whole.select("id", "n", "sketch")
     pairs = checkpoint(hub_links(reps.where("fp <> 0"), "id", "fp", radius))
-    groups = checkpoint(connected_components(_similar(pairs, docs, id_col, text_col, shingle, similarity)))
-    grouped = reps.select("id", "digest").join(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
-    grouped = grouped.withColumn("grp", F.coalesce("grp", "id"))
-    sets = f.select("id", "digest", "s.n", "s.prefix").join(grouped, ["id", "digest"]).dropDuplicates(["id", "digest"])
-    rest = checkpoint(prefix_pairs(checkpoint(sets.drop("digest")), similarity))
-    near = _similar(rest, docs, id_col, text_col, shingle, similarity)
+    groups = checkpoint(connected_components(_similar(pairs, sketches, docs, id_col, text_col, shingle, similarity)))
+    known = sized_broadcast(groups.select(F.col("node").alias("id"), F.col("component").alias("grp")), 1_000_000)
+    sets = whole.select("id", "n", "prefix").join(known, "id", "left").withColumn("grp", F.coalesce("grp", "id"))
+    rest = checkpoint(prefix_pairs(sets, similarity))
+    near = _similar(rest, sketches, docs, id_col, text_col, shingle, similarity)
     comp = connected_components(near.union(groups.select("node", "component")))
     gone = comp.where("node <> component").select(F.col("node").alias("id"))
+    if f.groupBy("id").count().where("count > 1").limit(1).count() == 0:
+        dropped = sized_broadcast(gone.union(copies.select("id")).select(F.col("id").alias("__id")), 2_000_000)
+        return docs.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
     keep = reps.select("id", "digest").join(gone, "id", "left_anti")
-    marked = docs.withColumn("__digest", F.concat(digest, F.when(F.col(text_col).isNull(), "n").otherwise("")))
+    marked = docs.withColumn("__digest", digest)
     kept = marked.join(
         keep.select(F.col("id").alias("__id"), F.col("digest").alias("__kept")),
         (F.col(id_col) == F.col("__id")) & (F.col("__digest") == F.col("__kept")),
